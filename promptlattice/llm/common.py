@@ -88,21 +88,31 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return cps, starts
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased \\w+ words of all texts, and each text's offsets into them."""
-    cps, starts = code_points([t.lower() for t in texts])
+def words_in(cps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, begin, length) of each \\w+ word among code points that end with a newline."""
     word = is_word_char()[cps]
     edge = np.diff(word.astype(np.int8), prepend=0)
-    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # every text ends with a newline, so each word has an end
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # the newline ends the last word
     if not len(begin):
-        return np.empty(0, dtype=U64), np.zeros(len(texts) + 1, dtype=np.int64)
+        return np.empty(0, dtype=U64), begin, end
     length = end - begin
     at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
     h = char_hash()[cps[word]] * powers(int(length.max()))[at]
-    return mix64(np.add.reduceat(h, np.cumsum(length) - length)), np.searchsorted(begin, starts)
+    return mix64(np.add.reduceat(h, np.cumsum(length) - length)), begin, length
+
 
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-cased \\w+ words of all texts, and each text's offsets into them."""
+    cps, starts = code_points([t.lower() for t in texts])
+    h, begin, _ = words_in(cps)
+    return h, np.searchsorted(begin, starts)
 
-def chunks(texts: list, chars: int = 2_000_000) -> Iterator[slice]:
+
+def word_hash(word: str) -> int:
+    return int(word_hashes([word])[0][0])
+
+
+def chunks(texts: list, chars: int = 1_000_000) -> Iterator[slice]:
     """Slices of successive texts of about so many characters in all; a longer text is a slice of its own."""
     at, size = 0, 0
     for i, t in enumerate(texts):
@@ -144,6 +154,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
+    """Texts and 0/1 labels of at most `most` labelled documents, those of the least hash of their id, on the driver.
+
+    Null ids, texts and labels are left out. Of several labels of an id the largest counts, of several texts the least."""
+    name = F.col(f"`{label_col}`").cast("int")
+    marked = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), name.alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
+    some = marked.orderBy(F.xxhash64("id"), "id").limit(most)
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null and text is not null")
+    rows = texts.join(F.broadcast(some), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label")).collect()
+    rows.sort(key=lambda r: r["id"])
+    return [r["text"] for r in rows], [int(r["label"] > 0) for r in rows]
+
+
 def as_frames(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
     """Cuts frames that are longer than rows."""
     for frame in batches:
