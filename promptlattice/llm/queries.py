@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, crf, sigtree, toxicity
+from . import bpe, crf, sharding, sigtree, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's shard, and its shard once one more is added."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    return sharding.assign_shards(docs, "doc_id", sharding.SHARDS, "shard", {"shard_after": {**sharding.SHARDS, **sharding.ADDED}})
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.classify(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")), ["doc_id"])
@@ -32,6 +38,7 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_rendezvous_sharding": op1_rendezvous_sharding,
     "op4_toxicity": op4_toxicity,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_bpe_encoding": op6_bpe_encoding,
@@ -39,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_rendezvous_sharding": sharding.sql_shard("doc_id", "documents", {"shard": sharding.SHARDS, "shard_after": {**sharding.SHARDS, **sharding.ADDED}}, "t.doc_id, t.source"),
     "op5_ngram_jaccard_join": rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {sigtree.N} THEN list_transform(range(1, len(w) - {sigtree.N} + 2), lambda i: array_to_string(w[i:i + {sigtree.N - 1}], ' '))
