@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, crf, sharding, sigtree, toxicity
+from . import bpe, crf, mixing, sharding, sigtree, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,15 +37,21 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.classify(docs, crf.train(docs, _table(spark, sf_dir, "labels")), ["doc_id"])
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rendezvous_sharding": op1_rendezvous_sharding,
     "op4_toxicity": op4_toxicity,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_bpe_encoding": op6_bpe_encoding,
     "op8_line_quality": op8_line_quality,
+    "op10_source_mixing": op10_source_mixing,
 }
 
 ORACLE: dict[str, str] = {
+    "op10_source_mixing": mixing.sql_mix(),
     "op1_rendezvous_sharding": sharding.sql_shard("doc_id", "documents", {"shard": sharding.SHARDS, "shard_after": {**sharding.SHARDS, **sharding.ADDED}}, "t.doc_id, t.source"),
     "op5_ngram_jaccard_join": rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
