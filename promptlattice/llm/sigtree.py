@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, chunks, components, materialise, mix64, word_hashes
 
-N, THRESHOLD, BANDS, ROWS, BLOCK = 3, 0.6, 32, 4, 3000
+N, THRESHOLD, BANDS, ROWS, BLOCK = 3, 0.6, 32, 4, 1000
 #: A table of at most so many bytes by count and row width may be broadcast; a larger one is joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 
