@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, crf, mixing, sharding, sigtree, toxicity
+from . import ann, bpe, chat, covertree, crf, mixing, sharding, sigtree, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,15 @@ def op1_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, "doc_id", sharding.SHARDS, "shard", {"shard_after": {**sharding.SHARDS, **sharding.ADDED}})
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op3_warc_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written as archives and read back in byte ranges."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.classify(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")), ["doc_id"])
@@ -32,25 +41,39 @@ def op6_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return crf.classify(docs, crf.train(docs, _table(spark, sf_dir, "labels")), ["doc_id"])
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rendezvous_sharding": op1_rendezvous_sharding,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_warc_reader": op3_warc_reader,
     "op4_toxicity": op4_toxicity,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_bpe_encoding": op6_bpe_encoding,
+    "op7_chat_formatting": op7_chat_formatting,
     "op8_line_quality": op8_line_quality,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_source_mixing": op10_source_mixing,
 }
 
 ORACLE: dict[str, str] = {
+    "op2_embedding_near_dedup": covertree.sql_near_duplicates(),
+    "op3_warc_reader": "SELECT page_id, url, html, octet_length(encode(html))::BIGINT AS n_bytes FROM pages",
     "op10_source_mixing": mixing.sql_mix(),
     "op1_rendezvous_sharding": sharding.sql_shard("doc_id", "documents", {"shard": sharding.SHARDS, "shard_after": {**sharding.SHARDS, **sharding.ADDED}}, "t.doc_id, t.source"),
     "op5_ngram_jaccard_join": rf"""
