@@ -1 +1 @@
-"""Evaluation of prompt compression as Spark DataFrame plans."""
+"""Evaluation of prompt compression, as Spark plans."""

@@ -1,0 +1 @@
+"""Operators of the evaluation and of the latency matrix."""

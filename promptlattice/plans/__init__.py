@@ -1,0 +1 @@
+"""Whole runs: settings, the accuracy run, the catalogue of queries."""
