@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import answer_letter, py_strip, verdict
 
 
-def letter_grade(gold: Column, response: Column) -> tuple[Column, Column, Column]:
-    """(correct, extracted letter, explanation) of a multiple-choice response; correct is null where no letter is found."""
-    letter = answer_letter(response)
-    wanted = F.upper(py_strip(gold))
-    right = letter == wanted
-    said = F.concat(F.lit("Found '"), letter, F.lit("', gold '"), wanted, F.lit("': "), F.when(right, "CORRECT").otherwise("INCORRECT"))
-    none = F.concat(F.lit("No answer letter in: "), F.substring(response, 1, 200))
-    return right, letter, F.coalesce(said, none)
-
-
 def grade_letters(df: DataFrame) -> DataFrame:
-    """df (gold_answer, model_answer, ...) with correct, extracted_answer and explanation."""
-    right, letter, why = letter_grade(F.col("gold_answer"), F.col("model_answer"))
-    return df.withColumns({"correct": right, "extracted_answer": letter, "explanation": why})
+    """df (gold_answer, model_answer, ...) with extracted_answer, correct, which is null where no letter is found, and explanation. The letter is a column of its own
+    first, so that the shapes are searched once a row."""
+    letter, gold = F.col("extracted_answer"), F.upper(py_strip(F.col("gold_answer")))
+    right = letter == gold
+    said = F.concat(F.lit("Found '"), letter, F.lit("', gold '"), gold, F.lit("': "), F.when(right, "CORRECT").otherwise("INCORRECT"))
+    none = F.concat(F.lit("No answer letter in: "), F.substring("model_answer", 1, 200))
+    return df.withColumn("extracted_answer", answer_letter(F.col("model_answer"))).withColumns({"correct": right, "explanation": F.coalesce(said, none)})
 
 
 def grade_verdicts(df: DataFrame) -> DataFrame:

@@ -20,10 +20,12 @@ KEYS = ("openai", "anthropic", "router", "gateway")
 
 
 def dimensions(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    from ..plans.config import small_frame
+
     return (
-        spark.createDataFrame([(i, *m) for i, m in enumerate(MODELS)], "model_no int, model string, vendor string, openai_id string, anthropic_id string, router_id string, gateway_id string"),
-        spark.createDataFrame([(i, *p) for i, p in enumerate(PROVIDERS)], "provider_no int, provider string, kind string, compression string"),
-        spark.createDataFrame([(i, *s) for i, s in enumerate(SIZES)], "size_no int, input_size string, target_tokens int"),
+        small_frame(spark, [(i, *m) for i, m in enumerate(MODELS)], "model_no int, model string, vendor string, openai_id string, anthropic_id string, router_id string, gateway_id string"),
+        small_frame(spark, [(i, *p) for i, p in enumerate(PROVIDERS)], "provider_no int, provider string, kind string, compression string"),
+        small_frame(spark, [(i, *s) for i, s in enumerate(SIZES)], "size_no int, input_size string, target_tokens int"),
     )
 
 

@@ -324,8 +324,8 @@ def q30_answer_letter(spark, d):
         a, _, b = r.partition("{}")
         said = F.when(F.col("event_id") % 7 == i, F.concat(F.lit(a), x, F.lit(b)) if "{}" in r else F.lit(r)).otherwise(said)
     gold = F.substring(F.lit("ABCD"), (F.pmod(F.floor(F.col("event_id") / 2), F.lit(4)) + 1).cast("int"), F.lit(1))
-    right, letter, _ = grading.letter_grade(F.col("gold"), F.col("r"))
-    return table(spark, d, "events").select("event_id", gold.alias("gold"), said.alias("r")).select("event_id", letter.alias("extracted_answer"), right.alias("correct"))
+    rows = table(spark, d, "events").select("event_id", gold.alias("gold_answer"), said.alias("model_answer"))
+    return grading.grade_letters(rows).select("event_id", "extracted_answer", "correct")
 
 
 @query("SELECT doc_id, starts_with(upper(trim(CASE WHEN quality = 1 THEN ' Correct: ' WHEN toxic = 1 THEN '**CORRECT** ' ELSE 'incorrect ' END || doc_id::VARCHAR)), 'CORRECT') AS correct FROM labels")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BENCHMARKS = ("financebench", "longbench_v2", "squad_v2", "coqa")
 LEVELS = (0.05, 0.1, 0.3, 0.4, 0.5, 0.7)
@@ -67,6 +69,13 @@ def load_settings(benchmark: str, path: str | None = None, root: str = ".") -> S
     )
 
 
+def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as one constant of the plan: no Python worker, one partition."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    return spark.range(1, numPartitions=1).select(F.explode(F.from_json(F.lit(text), f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in schema.split(', '))}>>")).alias("r")).select("r.*")
+
+
 def config_grid(compressors, levels) -> dict[str, dict]:
     """control, then each compressor at each level, in order; names carry the level as Python prints it."""
     grid: dict[str, dict] = {"control": {"compressed": False, "aggressiveness": None, "compressor": None}}
@@ -81,7 +90,7 @@ def grid_frame(spark: SparkSession, grid: dict[str, dict], only: list[str] | Non
     names = list(grid) if only is None else only
     place = {n: i for i, n in enumerate(grid)}
     rows = [(place[n], n, grid[n]["compressed"], None if grid[n]["aggressiveness"] is None else float(grid[n]["aggressiveness"]), grid[n]["compressor"]) for n in names]
-    return spark.createDataFrame(rows, GRID)
+    return small_frame(spark, rows, GRID)
 
 
 def missing_key(grid: dict[str, dict], names: list[str], key: str | None) -> list[str]:
