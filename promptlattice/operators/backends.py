@@ -16,6 +16,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import estimate_tokens
 
@@ -147,9 +148,7 @@ class HttpJudge:
 def _map(df: DataFrame, added: str, one: Callable[[dict], tuple]) -> DataFrame:
     """df with added columns, which one(row) gives in order."""
     new = df.sparkSession.createDataFrame([], added).schema
-    schema = df.schema
-    for f in new.fields:
-        schema = schema.add(f)
+    schema = StructType([*df.schema.fields, *new.fields])
     names = [f.name for f in new.fields]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
