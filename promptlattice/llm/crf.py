@@ -182,7 +182,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 200, l2: float = 1e-3
         emit[:, 1] = x @ w.astype(np.float32)
         alpha, beta, z, marginal = forward_backward(emit, starts, trans)
         g = np.empty_like(theta)
-        g[:-4] = (unit * (marginal[:, 1] - target)) @ x
+        g[:-4] = (unit * (marginal[:, 1] - target)).astype(np.float32) @ x
         for a in (0, 1):
             for b in (0, 1):
                 pair = np.exp(alpha[i - 1, a] + trans[a, b] + emit[i, b] + beta[i, b] - z[i])

@@ -82,23 +82,30 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-worst))
 
 
+def _merged(tally: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, documents, toxic documents) of several such tables, words in order."""
+    words, word = np.unique(np.concatenate([t[0] for t in tally]), return_inverse=True)
+    return (words, *(np.bincount(word, weights=np.concatenate([t[k] for t in tally]), minlength=len(words)) for k in (1, 2)))
+
+
 def fit(texts: list[str], labels: list[int], groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS, counterfactual: float = 5.0, strictness: float = 0.05, rounds: int = 150) -> ToxicityModel:
     """Fits the model. counterfactual weighs the penalty on score changes under swaps; 0 leaves it out. strictness over the root of the
     sample's size is the L1 penalty. With one class only, or no text, the bias alone says so (not toxic if there is none)."""
     y = np.asarray(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(np.empty(0, dtype=U64), np.empty(0), 10.0 if len(y) and y[0] else -10.0)
-    hs, ss, docs, n, seen = [], [], [], 0, 0
-    for part in chunks(texts):
-        h, s, d, k = _sentences(texts[part])
-        hs.append(h), ss.append(s + n), docs.append(d + seen)
-        n, seen = n + k, seen + part.stop - part.start
-    h, sentence, doc = np.concatenate(hs), np.concatenate(ss), np.concatenate(docs)
-    # words by how many documents of each class have them
-    vocabulary, word = np.unique(h, return_inverse=True)
-    owner = np.unique(doc[sentence] * len(vocabulary) + word)
-    in_toxic = np.bincount((owner % len(vocabulary)), weights=y[owner // len(vocabulary)], minlength=len(vocabulary))
-    in_all = np.bincount(owner % len(vocabulary), minlength=len(vocabulary))
+    # words by how many documents of each class have them, slice by slice, so that memory does not hold every word of the sample
+    parts = list(chunks(texts))
+    tally: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for p in parts:
+        h, s, d, _ = _sentences(texts[p])
+        words, word = np.unique(h, return_inverse=True)
+        owner = np.unique(d[s] * len(words) + word)
+        which = owner % max(1, len(words))
+        tally.append((words, np.bincount(which, minlength=len(words)), np.bincount(which, weights=y[p][owner // max(1, len(words))], minlength=len(words))))
+        if len(tally) > 16:
+            tally = [_merged(tally)]
+    vocabulary, in_all, in_toxic = _merged(tally)
     expected = in_all * y.mean()
     telling = np.abs(in_toxic - expected) / np.sqrt(expected * (1 - y.mean()) + 1e-9)
     telling[in_all <= RARE] = -1
@@ -106,10 +113,17 @@ def fit(texts: list[str], labels: list[int], groups: tuple[tuple[str, ...], ...]
     order = np.argsort(-telling, kind="stable")[:FEATURES]
     known = np.unique(np.concatenate([vocabulary[order[telling[order] > 2]], np.array(list(terms.values()), dtype=U64)]))
     column = {t: int(np.searchsorted(known, v)) for t, v in terms.items()}
+    del vocabulary, in_all, in_toxic, expected, telling, order, tally
     # distinct (sentence, known word) pairs
-    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    hit = known[at] == h
-    pair = np.unique(sentence[hit] * len(known) + at[hit])
+    pairs, docs, n = [], [], 0
+    for p in parts:
+        h, s, d, k = _sentences(texts[p])
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        hit = known[at] == h
+        pairs.append(np.unique((s[hit] + n) * len(known) + at[hit]))
+        docs.append(d + p.start)
+        n += k
+    pair, doc = np.concatenate(pairs), np.concatenate(docs)
     row, col = pair // len(known), pair % len(known)
     # swaps: (from, to) and how many labelled sentences they apply to
     mention = np.bincount(col, minlength=len(known))
