@@ -256,16 +256,16 @@ def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BL
     """(copies, pairs): copies (id, rep) has every vector with a direction and the least id of its equals, pairs (a, b, cosine) those of representatives, a < b. See near_duplicates."""
     spark = vectors.sparkSession
     d = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).where("id is not null and v is not null and not exists(v, e -> e is null or isnan(e) or abs(e) = double('inf')) and exists(v, e -> e <> 0)")
-    d = d.where(F.size("v") == _width(d))
+    d = d.where(F.size("v") == _width(d)).groupBy("id").agg(F.min("v").alias("v"))
     copies = materialise(d.withColumn("rep", F.min("id").over(Window.partitionBy("v"))), "vectors")
-    one = copies.where("id = rep").select("id", "v").dropDuplicates(["id", "v"])
+    one = copies.where("id = rep").select("id", "v")
     n = one.count()
     blocks = max(1, ceil(n / block))
     share = min(1.0, blocks * PIVOTS_EACH / max(n, 1))
     wanted = one.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(max(1, ceil(share * (1 << 30))))) if n else one
     rows = wanted.select("v").collect()  # a few for each block's worth of vectors: this grows with the blocks, not the rows' bytes
     pivots = units(pa.array([r["v"] for r in rows], pa.list_(pa.float64())))[1] if rows else units(pa.array([r["v"] for r in one.limit(1).collect()], pa.list_(pa.float64())))[1]
-    names = copies.select("id", "rep").distinct()
+    names = copies.select("id", "rep")
     if not n:
         return names, spark.createDataFrame([], "a long, b long, cosine double")
     placed = materialise(one.mapInArrow(_assign(spark.sparkContext.broadcast(pivots)), "id long, v array<double>, pivot long, distance double"), "placed")
@@ -304,7 +304,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     """(vec_a, vec_b, cosine), vec_a < vec_b: all pairs of vectors whose cosine, rounded to PLACES, is at least threshold.
 
     Vectors without a direction (null, empty, zero, or with null, NaN or infinite entries), null ids, and vectors not of the most common length
-    match nothing. Rows that share an id are one record, which matches what any of its rows matches, with the greatest cosine. Other columns are ignored. No rows give no rows."""
+    match nothing. Rows that share an id are one record, that of the least vector, entry by entry. Other columns are ignored. No rows give no rows."""
     names, pairs = near_pairs(vectors, threshold, block, id_col, vector_col)
     x, y = names.select(F.col("id").alias("x"), F.col("rep").alias("a")), names.select(F.col("id").alias("y"), F.col("rep").alias("b"))
     same = x.join(y, (F.col("a") == F.col("b")) & (F.col("x") < F.col("y"))).select("x", "y", F.lit(1.0).alias("cosine"))

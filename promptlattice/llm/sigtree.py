@@ -199,6 +199,9 @@ def _joiner(n: int, threshold: float):
         sets: list[np.ndarray] = []
         for part in chunks(texts):
             sets += gram_sets(texts[part], n)
+        # of the rows that share an id only those of the chosen n-gram set take part
+        same = np.array([len(s) > 0 and np.add.reduce(s) == h for s, h in zip(sets, frame["h1"].to_numpy().astype(U64))], dtype=bool)
+        frame, sets = frame[same], [s for s, k in zip(sets, same) if k]
         ids, side = frame["id"].to_numpy(), frame["side"].to_numpy()
         for rows in frame.groupby(["component", "task"], sort=False).indices.values():
             i, j, jac = tree_join([sets[r] for r in rows], threshold)
@@ -216,14 +219,15 @@ def near_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands:
     """(copies, pairs): copies (id, rep) has each document with at least one word; rep is the least id of those with the same n-gram set.
     pairs (a, b, jaccard), a < b, has each pair of representatives of at least threshold.
 
-    Rows of null id or null text, and texts without a word, match nothing. Rows that share an id are one document, which matches
-    what any of its rows matches. Other columns are ignored, whatever their names."""
+    Rows of null id or null text, and texts without a word, match nothing. Rows that share an id are one document: where their
+    n-grams differ, the row of least set hash counts. Other columns are ignored, whatever their names."""
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     sigs = d.mapInArrow(_signatures(n, bands, rows), "id long, size long, h1 long, h2 long, keys array<long>")
-    copies = materialise(sigs.withColumn("rep", F.min("id").over(Window.partitionBy("h1", "h2", "size"))).select("id", "rep", "size", F.when(F.col("id") == F.col("rep"), F.col("keys")).alias("keys")), "copies")
+    sigs = sigs.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("h1", "h2", "size"))).where("nth = 1")
+    copies = materialise(sigs.withColumn("rep", F.min("id").over(Window.partitionBy("h1", "h2", "size"))).select("id", "rep", "size", "h1", F.when(F.col("id") == F.col("rep"), F.col("keys")).alias("keys")), "copies")
     keyed = copies.where("id = rep").select("rep", F.explode("keys").alias("key"))
     linked = keyed.withColumn("first", F.min("rep").over(Window.partitionBy("key"))).where("rep <> first")
-    parts = components(linked, "rep", "first").join(copies.where("id = rep").groupBy("id").agg(F.max("size").alias("size")), "id")
+    parts = components(linked, "rep", "first").join(copies.where("id = rep").select("id", "size", "h1"), "id")
     total = parts.groupBy("component").agg(F.sum("size").alias("grams"))
     k = F.ceil(F.col("grams") / F.lit(block * 500))
     own, other = F.pmod(F.xxhash64("id"), "k"), F.col("other")
@@ -232,16 +236,16 @@ def near_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands:
         .withColumn("k", k)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        .select("id", "component", (F.least("own", other) * F.col("k") + F.greatest("own", other)).alias("task"), F.when(F.col("own") == other, 0).when(F.col("own") < other, 1).otherwise(2).alias("side"), "size")
+        .select("id", "component", (F.least("own", other) * F.col("k") + F.greatest("own", other)).alias("task"), F.when(F.col("own") == other, 0).when(F.col("own") < other, 1).otherwise(2).alias("side"), "size", "h1")
     )
     tasks = materialise(tasks, "tasks")
     count, grams = tasks.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     buckets = max(1, grams // (block * 500))
     tasks = tasks.withColumn("bucket", F.pmod(F.xxhash64("component", "task"), F.lit(buckets))).drop("size")
-    small = F.broadcast(tasks) if count * 60 <= BROADCAST_BYTES else tasks
+    small = F.broadcast(tasks) if count * 70 <= BROADCAST_BYTES else tasks
     pairs = d.join(small, "id").groupBy("bucket").applyInPandas(_joiner(n, threshold), "a long, b long, jaccard double")
     pairs = materialise(pairs.where("a < b").groupBy("a", "b").agg(F.max("jaccard").alias("jaccard")), "pairs")
-    return copies.select("id", "rep").distinct(), pairs
+    return copies.select("id", "rep"), pairs
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
