@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import gc
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How texts are split into words before merging: contractions, letters, numbers, other signs, each with the space before it, and white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries at which a worker's tables (words, arcs, byte states) start anew. They bound memory and change no result.
-CACHE, ARCS, STATES = 250_000, 400_000, 120_000
+CACHE, ARCS, STATES = 400_000, 600_000, 400_000
 
 
 def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -55,6 +56,22 @@ def merge_parts(token: bytes, ranks: dict[bytes, int], rank: int) -> tuple[bytes
     return parts[0], parts[1]
 
 
+class ByteState(dict):
+    """A row of the table: byte -> (next state, token that ends there). Filled on first use."""
+
+    __slots__ = ("automaton", "config")
+
+    def __init__(self, automaton: Automaton, config: tuple):
+        self.automaton, self.config = automaton, config
+
+    def __missing__(self, byte: int) -> tuple[ByteState, int]:
+        got = self[byte] = self.automaton.step(self.config, byte)
+        return got
+
+    def __hash__(self):
+        return id(self)
+
+
 class Automaton:
     """The compiled automaton. Pickles as its vocabulary and merge list, which are small; the rest is built where it is used."""
 
@@ -99,17 +116,16 @@ class Automaton:
             self.left[x], self.right[x], self.born[x], self.state[x] = u, v, time, target
             self.lost_at[u << 32 | v] = time
         self.arcs: dict[int, bool] = {}
-        self.trie: list[dict[int, int]] = [{}]
+        self.trie: dict[int, int] = {}  # node << 8 | byte -> node
         self.ends: list[int] = [-1]
         for token, i in self.tokens.items():
             if self.born[i] > n:
                 continue
             node = 0
             for byte in token:
-                nxt = self.trie[node].get(byte)
+                nxt = self.trie.get(node << 8 | byte)
                 if nxt is None:
-                    nxt = self.trie[node][byte] = len(self.trie)
-                    self.trie.append({})
+                    nxt = self.trie[node << 8 | byte] = len(self.ends)
                     self.ends.append(-1)
                 node = nxt
             self.ends[node] = i
@@ -149,47 +165,48 @@ class Automaton:
 
     def _clear(self) -> None:
         """Byte states. One holds, for each token that may still be growing, its node of the trie and the state before it, the longest first;
-        its table has, by byte, the next byte state and the one token that ends there in the encoding so far."""
+        the nodes are shifted to make room for a byte. It maps a byte to the next byte state and the one token that ends there in the encoding so far."""
         first = ((0, 0),)
-        self.config, self.number, self.table = [first], {first: 0}, [{}]
-
-    def _step(self, at: int, byte: int) -> tuple[int, int]:
-        found, alive = -1, []
-        for node, state in self.config[at]:
-            nxt = self.trie[node].get(byte)
+        self.first = ByteState(self, first)
+        self.number: dict[tuple, ByteState] = {first: self.first}
+
+    def step(self, config: tuple, byte: int) -> tuple[ByteState, int]:
+        """The byte state that a byte leads to from the one of config, and the token that ends there."""
+        found, alive, ends, arcs = -1, [], self.ends, self.arcs
+        get, add = self.trie.get, alive.append
+        for pair in config:
+            nxt = get(pair[0] | byte)
             if nxt is not None:
-                alive.append((nxt, state))
-                token = self.ends[nxt]
-                if token >= 0 and found < 0 and self.allows(state, token):
-                    found = token
+                state = pair[1]
+                add((nxt << 8, state))
+                if found < 0 and (token := ends[nxt]) >= 0:
+                    ok = arcs.get(state << 32 | token)
+                    if self.allows(state, token) if ok is None else ok:
+                        found = token
         if found < 0:
             raise ValueError(f"byte {byte} has no token")
         alive.append((0, self.state[found]))
-        config = tuple(alive)
-        to = self.number.get(config)
+        after = tuple(alive)
+        to = self.number.get(after)
         if to is None:
-            to = self.number[config] = len(self.config)
-            self.config.append(config)
-            self.table.append({})
-        got = self.table[at][byte] = (to, found)
-        return got
+            to = self.number[after] = ByteState(self, after)
+        return to, found
 
     def encode_word(self, word: bytes) -> list[int]:
         """The encoding of one pre-split word. ValueError for a byte that the vocabulary lacks."""
-        if len(self.config) >= STATES:
+        if len(self.number) >= STATES:
             self._clear()
-        at, last, table = 0, [], self.table
+        at, last = self.first, []
+        add, length = last.append, self.length
         for byte in word:
-            step = table[at].get(byte)
-            if step is None:
-                step = self._step(at, byte)
-            at = step[0]
-            last.append(step[1])
-        out, i = [], len(word)
+            at, token = at[byte]
+            add(token)
+        i = len(word)
+        out = []
         while i:
             token = last[i - 1]
             out.append(token)
-            i -= self.length[token]
+            i -= length[token]
         out.reverse()
         return out
 
@@ -209,10 +226,13 @@ class Words(dict):
         super().__init__()
         self.automaton = automaton
 
+    def encode(self, word: str) -> bytes:
+        return array("i", self.automaton.encode_word(word.encode())).tobytes()
+
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        got = self[word] = np.array(self.automaton.encode_word(word.encode()), dtype=np.int32).tobytes()
+        got = self[word] = self.encode(word)
         return got
 
 
@@ -228,8 +248,13 @@ class Units(dict):
     def __missing__(self, unit: str) -> bytes | None:
         if len(self) >= CACHE:
             self.clear()
-        whole = bool(unit) and not unit[0].isspace() and not unit[-1].isspace()
-        got = self[unit] = b"".join(map(self.words.__getitem__, self.split(" " + unit))) if whole else None
+        if unit.isalpha():  # one word; it is kept here alone
+            got = self.words.encode(" " + unit)
+        elif not unit or unit[0].isspace() or unit[-1].isspace():
+            got = None
+        else:
+            got = b"".join(map(self.words.__getitem__, self.split(" " + unit)))
+        self[unit] = got
         return got
 
 
