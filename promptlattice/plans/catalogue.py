@@ -251,10 +251,8 @@ CASE WHEN sum(o) > sum(k) THEN (sum(o) - sum(k)) / sum(o)::DOUBLE * 100 END AS s
 def q24_comparison(spark, d):
     # each text is cut once for each level; the join carries its lengths, not its text
     grid = grid_frame(spark, GRID)
-    words = F.split("text", " ")
-    kept = lambda share: F.aggregate(F.transform(words, lambda w, i: F.when(F.pmod(i * 37, F.lit(100)) >= share, F.length(w) + 1).otherwise(0)), F.lit(0).cast("long"), lambda a, b: a + b)
     before = T.estimate_tokens(F.col("text"))
-    sizes = F.array(*(F.struct(F.lit(float(level)).alias("aggressiveness"), F.least(F.floor(F.greatest(kept(round(level * 100)) - 1, F.lit(0)) / 4).cast("long"), before).alias("compressed_tokens")) for level in LEVELS))
+    sizes = F.array(*(F.struct(F.lit(float(level)).alias("aggressiveness"), backends.compressed_columns(F.col("text"), F.lit(level))[2].alias("compressed_tokens")) for level in LEVELS))
     docs = table(spark, d, "documents").select("doc_id", before.alias("original_tokens"), sizes.alias("sizes")).join(graded(spark, d), "doc_id")
     rows = docs.crossJoin(F.broadcast(grid)).withColumn("size", F.filter("sizes", lambda s: s["aggressiveness"] == F.col("aggressiveness")))
     rows = rows.select("config", "correct", F.when(F.col("compressed"), F.col("original_tokens")).alias("original_tokens"), F.try_element_at("size", F.lit(1))["compressed_tokens"].alias("compressed_tokens"))
