@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, extra_column
+from .common import chunks, extra_column, held
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How texts are split into words before merging: contractions, letters, numbers, other signs, each with the space before it, and white space.
@@ -276,20 +276,9 @@ class Encoder:
         return np.frombuffer(b"".join(map(self.words.__getitem__, self.split(text))), dtype=np.int32)
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
-def _encoder_of(shared, key: tuple) -> Encoder:
-    """The worker's encoder of a broadcast automaton; it is kept for the worker's later tasks."""
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(shared.value, key[1])
-    return _ENCODERS[key]
-
-
 def _encode_batches(shared, key: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder_of(shared, key)
+        encoder = held(key, lambda: Encoder(shared.value, key[1]))
         label = encoder.automaton.label.__getitem__
         gc.disable()  # the tables are millions of small objects without cycles
         for batch in batches:

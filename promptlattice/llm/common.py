@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -167,12 +169,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: in
     return [r["text"] for r in rows], [int(r["label"] > 0) for r in rows]
 
 
-def as_frames(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
-    """Cuts frames that are longer than rows."""
-    for frame in batches:
-        for i in range(0, len(frame), rows):
-            yield frame.iloc[i : i + rows]
+_HELD: dict = {}
 
 
-def local_path(path: str) -> str:
-    return path[7:] if path.startswith("file://") else path[5:] if path.startswith("file:/") else os.fspath(path)
+def held(key, build):
+    """What build gives, kept in this Python worker for later tasks that ask for the same key. A worker keeps one such thing."""
+    if key not in _HELD:
+        release()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Frees what the worker holds. Workers serve all operators of a session in turn, so one that needs room of its own calls this first."""
+    if _HELD:
+        _HELD.clear()
+        gc.enable()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):
+            pass

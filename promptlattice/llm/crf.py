@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, char_hash, chunks, code_points, extra_column, labelled_sample, mix64, powers, words_in
+from .common import U64, char_hash, chunks, code_points, extra_column, labelled_sample, mix64, powers, release, words_in
 
 #: At most so many labelled documents are used for fitting, those of the least hash of their id; every document is scored.
 MAX_TRAIN = 6000
@@ -195,6 +195,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 200, l2: float = 1e-3
 
 def _score(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             quality, lines, bad = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 LENGTH, SLOTS, SEED, CHUNK, ROUNDS = 512, 256, 17, 1024, 24
 #: Target weights are the sources' shares to this power, normalised: below 1 evens them out.
@@ -71,6 +71,7 @@ def _cut(length: int):
     """(source, id, lang, start, text) -> pieces (source, block, position, id, lang, n, piece)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             rows: list[tuple] = []
             size = 0

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, components, materialise, mix64, word_hashes
+from .common import U64, chunks, components, materialise, mix64, release, word_hashes
 
 N, THRESHOLD, BANDS, ROWS, BLOCK = 3, 0.6, 32, 4, 1000
 #: A table of at most so many bytes by count and row width may be broadcast; a larger one is joined by shuffle.
@@ -72,6 +72,7 @@ def _signatures(n: int, bands: int, rows: int):
     """(id, text) -> (id, size, set hashes h1 and h2, band keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for part in chunks(texts):
@@ -98,6 +99,8 @@ class Node:
 
 
 FAN = 8
+#: Node pairs that are taken on at a time; each has FAN * FAN pairs of children.
+SLICE = 1 << 14
 
 
 def build_tree(sets: list[np.ndarray]) -> tuple[np.ndarray, list[Node]]:
@@ -127,7 +130,7 @@ def _may_match(x: Node, y: Node, a: np.ndarray, b: np.ndarray, threshold: float)
     idx = np.flatnonzero(ok)
     need = np.ceil((x.lo[a[idx]] + y.lo[b[idx]]) * (threshold / (1 + threshold)) - 1e-9)
     keep = np.zeros(len(a), dtype=bool)
-    step = max(1, 4_000_000 // x.bits.shape[1])
+    step = max(1, 1_000_000 // x.bits.shape[1])
     for i in range(0, len(idx), step):
         j = idx[i : i + step]
         common = np.bitwise_count(x.bits[a[j]] & y.bits[b[j]]).sum(axis=1, dtype=np.int64)
@@ -154,8 +157,8 @@ def dual_traversal(levels: list[Node], threshold: float) -> Iterator[tuple[np.nd
         y = np.broadcast_to((b * FAN)[:, None, None] + kids[None, None, :], (len(a), FAN, FAN)).ravel()
         real = (x < below) & (y < below) & ((x < y) if level == 1 else (x <= y))
         x, y = x[real], y[real]
-        for i in range(0, len(x), 1 << 18):
-            stack.append((level - 1, x[i : i + (1 << 18)], y[i : i + (1 << 18)]))
+        for i in range(0, len(x), SLICE):
+            stack.append((level - 1, x[i : i + SLICE], y[i : i + SLICE]))
 
 
 def tree_join(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,6 +197,7 @@ def tree_join(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.
 def _joiner(n: int, threshold: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         """All tasks of one bucket; a task is a component, or a pair of blocks of one."""
+        release()
         out = []
         texts = frame["text"].tolist()
         sets: list[np.ndarray] = []

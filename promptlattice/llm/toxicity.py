@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, char_hash, chunks, code_points, extra_column, labelled_sample, mix64, powers, word_hash, words_in
+from .common import U64, char_hash, chunks, code_points, extra_column, labelled_sample, mix64, powers, release, word_hash, words_in
 
 #: At most so many labelled documents are used for fitting, those of the least hash of their id; every document is scored.
 MAX_TRAIN = 12000
@@ -184,6 +184,7 @@ def fit(texts: list[str], labels: list[int], groups: tuple[tuple[str, ...], ...]
 
 def _score(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             p = np.zeros(len(texts))
