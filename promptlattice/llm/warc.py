@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import materialise, shared_folder
 
 SPLIT = 8 << 20
+#: Beyond so many ranges a task reads several.
+MOST_TASKS = 50_000
 #: Bytes read at a time, and of a batch of records.
 READ, BATCH = 1 << 20, 8 << 20
 MAGIC = b"\x1f\x8b\x08"
@@ -166,8 +168,9 @@ def read_files(files: DataFrame, split: int = SPLIT) -> DataFrame:
     cut = files.where("path is not null and size > 0").select("path", F.col("size").cast("long").alias("size"))
     begins = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long")))
     splits = cut.select("path", "size", begins.alias("begin")).select("path", "begin", F.least(F.col("begin") + split, F.col("size")).alias("end"))
-    # as many tasks as the session shuffles into, ranges spread over them by hash; each range is read by itself
-    return splits.repartition("path", "begin").mapInArrow(_reader, _OUT)
+    # a task a range, until there are too many: the number is given, as the few bytes of the list would be coalesced into one task
+    tasks = max(1, min(MOST_TASKS, splits.count()))
+    return splits.repartition(tasks, "path", "begin").mapInArrow(_reader, _OUT)
 
 
 def read(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
