@@ -3,8 +3,8 @@
 A document is as toxic as its worst sentence. A sentence's score is a bias and the weights of the distinct known words in it; the
 model is fitted on document labels by logistic loss on the worst sentence (multiple-instance learning), with an L1 penalty that
 leaves few words. For every labelled sentence with identity terms, each term is swapped for each other term of its group,
-neutral words for people among them, and the squared change of the score is penalised. So the mention of a group
-cannot carry the verdict, however often toxic texts in the sample name it, and neutral mentions are left alone.
+neutral words for people among them, and the squared change of the score is penalised: of all that a swap changes in the sentence, words and
+first letters of words alike. So the mention of a group carry the verdict, however often toxic texts in the sample name it, and neutral mentions are left alone.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
 )
 
 
-def _sentences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(hash, sentence, document of each sentence, sentences), hashes of words and of the first STEM letters of longer words. Sentences end at . ! ? … or a new line, and count only if they have a word."""
+def _sentences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]:
+    """(hash, sentence, document of each sentence, sentences, word of each stem), hashes of words and of the first STEM letters of longer words. Sentences end at . ! ? … or a new line, and count only if they have a word."""
     cps, starts = code_points([t.lower() for t in texts])
     h, begin, length = words_in(cps)
     stop = np.flatnonzero((cps == 10) | (cps == 46) | (cps == 33) | (cps == 63) | (cps == 0x2026))
@@ -51,7 +51,7 @@ def _sentences(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, in
     stem = np.zeros(int(long.sum()), dtype=U64)
     for k in range(STEM):
         stem += char_hash()[cps[begin[long] + k]] * powers(STEM)[k]
-    return np.concatenate([h, mix64(stem) ^ U64(0x5851F42D4C957F2D)]), np.concatenate([sentence, sentence[long]]), doc, n
+    return np.concatenate([h, mix64(stem) ^ U64(0x5851F42D4C957F2D)]), np.concatenate([sentence, sentence[long]]), doc, n, np.flatnonzero(long)
 
 
 @dataclass
@@ -66,7 +66,7 @@ class ToxicityModel:
         """The probability that each text is toxic."""
         worst = np.full(len(texts), self.bias)
         if len(self.known):
-            h, sentence, doc, n = _sentences(texts)
+            h, sentence, doc, n, _ = _sentences(texts)
             at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
             hit = self.known[at] == h
             pair = np.unique(sentence[hit].astype(np.int64) * len(self.known) + at[hit])
@@ -88,6 +88,77 @@ def _merged(tally: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.
     return (words, *(np.bincount(word, weights=np.concatenate([t[k] for t in tally]), minlength=len(words)) for k in (1, 2)))
 
 
+class _Swaps:
+    """Counts how each swap of a term for another of its group changes the features of the sentences that have the term.
+
+    A feature that another word of the sentence gives too does not go, and one that is there already does not come: counts (from, to, kind) has in kind's bits
+    whether the sentence has the new term (4), a further word with the old one's stem (2), and a word with the new one's stem (1)."""
+
+    #: Sentences looked at together.
+    SLICE = 4096
+
+    def __init__(self, groups: tuple[tuple[str, ...], ...]):
+        self.terms = sorted({t for g in groups for t in g})
+        number = {t: i for i, t in enumerate(self.terms)}
+        self.groups = [np.array(sorted({number[t] for t in g})) for g in groups]
+        self.words = np.array([word_hash(t) for t in self.terms], dtype=U64)
+        # one sentence a term: the stem follows its word; terms without one have the last, which no word has
+        stems = [_sentences([t])[0] for t in self.terms]
+        self.stems, at = np.unique(np.array([h[1] for h in stems if len(h) > 1], dtype=U64), return_inverse=True)
+        self.stem = np.full(len(self.terms), len(self.stems))
+        self.stem[[len(h) > 1 for h in stems]] = at
+        self.counts = [np.zeros((len(self.terms), len(g), 8)) for g in self.groups]
+
+    def add(self, h: np.ndarray, sentence: np.ndarray, n: int, long: np.ndarray) -> None:
+        size = len(h) - len(long)
+        for first in range(0, n, self.SLICE):
+            lo, hi = np.searchsorted(sentence[:size], [first, first + self.SLICE])
+            a, b = np.searchsorted(long, [lo, hi])
+            self._add(np.concatenate([h[lo:hi], h[size + a : size + b]]), np.concatenate([sentence[lo:hi], sentence[size + a : size + b]]) - first, min(self.SLICE, n - first), long[a:b] - lo)
+
+    def _add(self, h: np.ndarray, sentence: np.ndarray, n: int, long: np.ndarray) -> None:
+        size = len(h) - len(long)
+        order = np.argsort(self.words)
+        at = order[np.minimum(np.searchsorted(self.words[order], h[:size]), len(order) - 1)]
+        hit = self.words[at] == h[:size]
+        if not hit.any():
+            return
+        have = np.zeros((n, len(self.terms)), dtype=bool)
+        have[sentence[:size][hit], at[hit]] = True
+        # distinct words of each stem of a term in each sentence
+        at = np.minimum(np.searchsorted(self.stems, h[size:]), max(len(self.stems) - 1, 0))
+        hit = np.flatnonzero(self.stems[at] == h[size:]) if len(self.stems) else np.empty(0, dtype=np.int64)
+        forms = np.unique(np.rec.fromarrays([sentence[size:][hit], at[hit], h[long[hit]]], names="s,t,w"))
+        with_stem = np.zeros((n, len(self.stems) + 1), dtype=np.int64)
+        np.add.at(with_stem, (forms.s, forms.t), 1)
+        for group, counts in zip(self.groups, self.counts):
+            for a in group:
+                rows = np.flatnonzero(have[:, a])
+                if len(rows):
+                    kind = 4 * have[np.ix_(rows, group)] + 2 * (with_stem[rows, self.stem[a]] > 1)[:, None] + (with_stem[np.ix_(rows, self.stem[group])] > 0)
+                    counts[a] += np.bincount((kind + 8 * np.arange(len(group))).ravel(), minlength=8 * len(group)).reshape(-1, 8)
+
+    def changes(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(columns, signs, times) of each kind of swap: four columns of known, with len(known) for none, whether each goes (1), comes (-1) or neither (0), and a share of the mentions that adds up to 1."""
+
+        def place(v: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(known, v), len(known) - 1)
+            return np.where(known[at] == v, at, len(known))
+
+        word, stem = place(self.words), np.append(place(self.stems), len(known))[self.stem]
+        columns, signs, times = [np.empty((0, 4), dtype=np.int64)], [np.empty((0, 4))], [np.empty(0)]
+        for group, counts in zip(self.groups, self.counts):
+            a, j, kind = np.nonzero(counts)
+            b = group[j]
+            a, b, j, kind = (x[a != b] for x in (a, b, j, kind))
+            apart = self.stem[a] != self.stem[b]
+            columns.append(np.stack([word[a], word[b], stem[a], stem[b]], axis=1))
+            signs.append(np.stack([np.ones(len(a)), -1.0 * (kind & 4 == 0), 1.0 * (apart & (kind & 2 == 0)), -1.0 * (apart & (kind & 1 == 0))], axis=1))
+            times.append(counts[a, j, kind] / max(len(group) - 1, 1))
+        share = np.concatenate(times)
+        return np.concatenate(columns), np.concatenate(signs), share / max(share.sum(), 1)
+
+
 def fit(texts: list[str], labels: list[int], groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS, counterfactual: float = 5.0, strictness: float = 0.05, rounds: int = 150) -> ToxicityModel:
     """Fits the model. counterfactual weighs the penalty on score changes under swaps; 0 leaves it out. strictness over the root of the
     sample's size is the L1 penalty. With one class only, or no text, the bias alone says so (not toxic if there is none)."""
@@ -98,7 +169,7 @@ def fit(texts: list[str], labels: list[int], groups: tuple[tuple[str, ...], ...]
     parts = list(chunks(texts))
     tally: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for p in parts:
-        h, s, d, _ = _sentences(texts[p])
+        h, s, d, _, _ = _sentences(texts[p])
         words, word = np.unique(h, return_inverse=True)
         owner = np.unique(d[s] * len(words) + word)
         which = owner % max(1, len(words))
@@ -112,29 +183,22 @@ def fit(texts: list[str], labels: list[int], groups: tuple[tuple[str, ...], ...]
     terms = {t: U64(word_hash(t)) for g in groups for t in g}
     order = np.argsort(-telling, kind="stable")[:FEATURES]
     known = np.unique(np.concatenate([vocabulary[order[telling[order] > 2]], np.array(list(terms.values()), dtype=U64)]))
-    column = {t: int(np.searchsorted(known, v)) for t, v in terms.items()}
     del vocabulary, in_all, in_toxic, expected, telling, order, tally
     # distinct (sentence, known word) pairs
     pairs, docs, n = [], [], 0
+    swaps = _Swaps(groups)
     for p in parts:
-        h, s, d, k = _sentences(texts[p])
+        h, s, d, k, long = _sentences(texts[p])
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
         hit = known[at] == h
         pairs.append(np.unique((s[hit] + n) * len(known) + at[hit]))
         docs.append(d + p.start)
+        if counterfactual:
+            swaps.add(h, s, k, long)
         n += k
     pair, doc = np.concatenate(pairs), np.concatenate(docs)
     row, col = pair // len(known), pair % len(known)
-    # swaps: (from, to) and how many labelled sentences they apply to
-    mention = np.bincount(col, minlength=len(known))
-    swap_from, swap_to, swap_n = [], [], []
-    for g in groups:
-        for a in g:
-            for b in g:
-                if a != b and mention[column[a]]:
-                    swap_from.append(column[a]), swap_to.append(column[b]), swap_n.append(mention[column[a]] / (len(g) - 1))
-    source, target, times = np.array(swap_from, dtype=np.int64), np.array(swap_to, dtype=np.int64), np.array(swap_n)
-    times = times / max(times.sum(), 1)
+    columns, signs, times = swaps.changes(known)
     l1 = strictness / np.sqrt(len(y))
     first = np.flatnonzero(np.diff(doc, prepend=-1))  # sentences come in the order of documents
     length = np.diff(np.append(first, n))
@@ -169,9 +233,9 @@ def fit(texts: list[str], labels: list[int], groups: tuple[tuple[str, ...], ...]
                 g[:-1] = np.bincount(col[where], weights=np.repeat(slope[picked], hi - lo), minlength=len(known))
             g[-1] = slope.sum()
             g[:-1] += 1e-4 * w
-            if counterfactual and len(source):
-                change = 2 * counterfactual * times * (w[source] - w[target])
-                g[:-1] += np.bincount(source, weights=change, minlength=len(known)) - np.bincount(target, weights=change, minlength=len(known))
+            if counterfactual and len(times):
+                change = 2 * counterfactual * times * (np.append(w, 0.0)[columns] * signs).sum(axis=1)
+                g[:-1] += np.bincount(columns.ravel(), weights=(change[:, None] * signs).ravel(), minlength=len(known) + 1)[:-1]
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             rate = 0.1 / (np.sqrt(v / (1 - 0.99**r)) + 1e-4)
             step = rate * m / (1 - 0.9**r)

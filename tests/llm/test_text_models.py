@@ -43,6 +43,44 @@ def test_counterfactual_penalty_clears_group_mentions():
     assert abs(a - b) <= abs(free.score(["Muslims walk there."]) - free.score(["People walk there."])) + 1e-9
 
 
+def test_counterfactual_penalty_holds_stems():
+    def corpus(n, term):
+        y = [int(i % 4 == 0) for i in range(n)]
+        # the cue is in 6 of 10 toxic texts, the group in 9 of 10, and in 1 of 20 others; sentences about all kinds of people are in all
+        one = [sentence(*(["vermin"] if RNG.random() < 0.6 else []), *([term] if RNG.random() < 0.9 else [])) if bad else sentence(*([term] if RNG.random() < 0.05 else [])) for bad in y]
+        return [f"{sentence()} {s}" for s in one], y
+
+    for term, other in (("immigrants", "immigration"), ("jewish", "jewel")):
+        group = next(g for g in toxicity.IDENTITY_GROUPS if term in g)
+        model = toxicity.fit(*corpus(800, term))
+        logit = lambda t: float(np.log(p / (1 - p))) if (p := model.score([t])[0]) else -np.inf  # noqa: B023, E731
+        for swapped in group:
+            assert abs(logit(f"The town walls and {term} there.") - logit(f"The town walls and {swapped} there.")) < 0.25, (term, swapped)
+        assert model.score([sentence("vermin")])[0] > 0.5 and model.score([f"The {term} walk there."])[0] < 0.5
+
+
+def test_swaps_change_what_words_share():
+    groups = (("people", "muslims", "men"),)
+    texts = ["People talk.", "Muslims and Muslim men walk.", "Muslims pray, muslims rest."]
+    model_words = np.unique(np.concatenate([toxicity._sentences([t])[0] for t in (*groups[0], "muslim")]))
+    swaps = toxicity._Swaps(groups)
+    swaps.SLICE = 2
+    h, s, _, n, long = toxicity._sentences(texts)
+    swaps.add(h, s, n, long)
+    columns, signs, times = swaps.changes(model_words)
+    w = np.random.RandomState(3).randn(len(model_words))
+    got = (np.append(w, 0.0)[columns] * signs).sum(axis=1)
+
+    def score(t):
+        return w[np.isin(model_words, toxicity._sentences([t])[0])].sum()
+
+    want = []
+    for t in (x.lower().replace("muslim ", "Muslim ") for x in texts):
+        have = set(t.replace(",", "").replace(".", "").split())
+        want += [score(t) - score(t.replace(a, b)) for a in groups[0] for b in groups[0] if a != b and a in have]
+    assert np.allclose(sorted(np.repeat(got, np.round(times * 8).astype(int))), sorted(want)) and abs(times.sum() - 1) < 1e-12
+
+
 def frame(spark, texts):
     return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
 
