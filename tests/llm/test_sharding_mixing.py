@@ -67,6 +67,19 @@ def test_shares_follow_target_weights(spark):
     assert abs(got["b"] / 4000 - 0.75) < 0.03 and sum(got.values()) == 4000
 
 
+def test_no_small_source_is_missing(spark):
+    rows = [(0, " ".join(f"h{k}" for k in range(2000)), "hot")] + [(i, f"w{i}", f"s{i}") for i in range(1, 401)]
+    got = mixing.mixed_documents(docs(spark, rows), length=4).select("source").distinct().count()
+    assert got == 401
+    # a start that is short is added to
+    blocks = {"a": 1, "b": 50}
+    total = mixing.slots_enough(spark, blocks, {"a": 1e-3, "b": 0.999}, slots=8)
+    drawn = Counter(r["source"] for r in mixing.draw_slots(spark, blocks, {"a": 1e-3, "b": 0.999}, total, 8).select("source", "block").distinct().collect())
+    assert drawn == blocks
+    with pytest.raises(ValueError):
+        mixing.slots_enough(spark, blocks, {"a": 1e-12, "b": 1 - 1e-12})
+
+
 def test_mixing_edges(spark):
     d = docs(spark, [(1, "a b", "s")])
     assert mixing.mix(d.where("false")).count() == 0 and mixing.mix(docs(spark, [(1, None, "s"), (2, "", "s")])).count() == 0
