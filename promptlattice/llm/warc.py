@@ -31,8 +31,6 @@ MOST_TASKS = 50_000
 #: Bytes read at a time, and of a batch of records.
 READ, BATCH = 1 << 20, 8 << 20
 MAGIC = b"\x1f\x8b\x08"
-#: A record's header may be so long.
-HEADER = 1 << 16
 
 
 def _fs(path: str) -> tuple[pafs.FileSystem, str]:
@@ -71,10 +69,19 @@ def _starts_record(window: _Window) -> bool:
     """Whether a member begins here whose content begins as an archive record."""
     if not _looks_right(window.fill(10)):
         return False
+    z = zlib.decompressobj(31)
+    head, used, step = b"", 0, 4096
     try:
-        return zlib.decompressobj(31).decompress(window.fill(4096)[:4096], 16).startswith(b"WARC/")
+        # a gzip header's extra field and name may be longer than the first step
+        while len(head) < 5 and not z.eof:
+            piece = window.fill(used + step)[used : used + step]
+            if not piece:
+                break
+            head += z.decompress(piece, 16)
+            used, step = used + len(piece), 2 * step
     except zlib.error:
         return False
+    return head.startswith(b"WARC/")
 
 
 def _member(window: _Window) -> tuple[bytes, int] | None:
@@ -101,7 +108,7 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers by lower-case name, block) of the records of a member. A record whose length is wrong or missing ends at the member's end."""
     at = 0
     while content.startswith(b"WARC/", at):
-        end = content.find(b"\r\n\r\n", at, at + HEADER)
+        end = content.find(b"\r\n\r\n", at)
         if end < 0:
             return
         headers = {}

@@ -160,6 +160,21 @@ def test_empty_archives(spark, tmp_path):
     assert warc.read(spark, str(tmp_path)).count() == 0 and warc.read(spark, str(tmp_path / "none.warc.gz")).count() == 0
 
 
+def test_long_headers_come_back(spark, tmp_path):
+    urls = ["http://x.org/" + "a" * 100_000, "http://x.org/" + "é\n " * 40_000, "http://x.org/"]
+    rows = [(i, u, f"page {i}") for i, u in enumerate(urls)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert sorted((r["page_id"], r["url"], r["html"]) for r in got) == rows
+    # members whose gzip header has a long extra field and a long name
+    record = b"WARC/1.1\r\nWARC-Type: a\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    plain = gzip.compress(record)
+    named = plain[:3] + bytes([plain[3] | 12]) + plain[4:10] + (60_000).to_bytes(2, "little") + b"x" * 60_000 + b"n" * 70_000 + b"\0" + plain[10:]
+    path = str(tmp_path / "f.warc.gz")
+    with open(path, "wb") as f:
+        f.write(plain + named + plain)
+    assert [(o, b) for o, _, b in warc.records_in(path, 0, 10**9)] == [(0, b"hi"), (len(plain), b"hi"), (len(plain) + len(named), b"hi")]
+
+
 def test_every_split_owns_its_records_once(tmp_path):
     rng = random.Random(3)
     members = [warc.encode_record(i, "u", rng.randbytes(rng.randint(0, 400)).hex()) for i in range(60)]
