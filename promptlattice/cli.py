@@ -1,4 +1,4 @@
-"""Command line: python -m promptlattice.cli {accuracy,latency} ... ; both use the library's own calls, offline unless URLs and keys are given."""
+"""Command line: python -m promptlattice.cli {accuracy,latency} ... ; accuracy runs by the library's own calls, offline unless URLs and keys are given; latency lists the matrix and times nothing."""
 
 from __future__ import annotations
 
