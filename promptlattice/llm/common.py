@@ -12,8 +12,9 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -26,6 +27,9 @@ def shared_folder(spark: SparkSession) -> str:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = jdir.get() if jdir.isDefined() else None
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster's executors need a folder that all of them share")
         at = tempfile.mkdtemp(prefix="promptlattice-")
         atexit.register(shutil.rmtree, at, True)
         spark.sparkContext.setCheckpointDir(at)
@@ -126,6 +130,18 @@ def chunks(texts: list, chars: int = 1_000_000) -> Iterator[slice]:
         yield slice(at, len(texts))
 
 
+def text_parts(batch: pa.RecordBatch, column: int, most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of a batch with their texts, of about so many bytes each, so that few texts at a time are Python's; a longer text is a slice of its own."""
+    texts = batch.column(column)
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
+        part = batch.slice(at, end - at)
+        yield part, part.column(column).to_pylist()
+        at = end
+
+
 def extra_column(df: DataFrame, name: str) -> str:
     """name, or with underscores added until df has no such column."""
     have = {c.lower() for c in df.columns}
@@ -134,20 +150,32 @@ def extra_column(df: DataFrame, name: str) -> str:
     return name
 
 
+def join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """label, by which each point names the first point of its set, after the sets of i[k] and j[k] are joined for every k."""
+    while True:
+        a, b = label[i], label[j]
+        if np.array_equal(a, b):
+            return label
+        label = label.copy()
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := label[label], label):
+            label = up
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of every node of the undirected graph; component is the least id in it.
 
-    Alternating large-star and small-star steps: O(log**2 n) rounds of one shuffle each, every row two longs. Each round ends
-    in a written table. Self-loops and nulls are dropped, repeated edges count once; no edges give an empty result."""
+    Alternating large-star and small-star steps: O(log**2 n) rounds, every row two longs. A node's least neighbour is an aggregate, combined before the shuffle, and is
+    joined back, so that a node of very many edges is no task of its own. Each round ends in a written table. Self-loops and nulls are dropped, repeated edges count once; no edges give an empty result."""
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     e = materialise(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        w = Window.partitionBy("u")
-        large = both.withColumn("m", F.least("u", F.min("v").over(w))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.withColumn("m", F.min("v").over(w))
+        least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         pairs = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         e = materialise(small.select(F.explode(pairs).alias("p")).select("p.u", "p.v").where("u <> v").distinct(), "edges")
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:

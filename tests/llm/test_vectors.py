@@ -29,48 +29,92 @@ def brute_pairs(x, threshold):
     return {(int(a), int(b)): float(c[a, b]) for a, b in zip(i, j)}
 
 
-@pytest.mark.parametrize("threshold", [0.5, 0.9, 0.99, 1.0])
+def unit(x):
+    u = x.astype(np.float64)
+    return u / np.linalg.norm(u, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.9, 0.99, 1.0])
 def test_trees_are_exact(threshold):
-    x = clustered()
+    x = np.vstack([clustered(1500), np.random.RandomState(5).randn(300, 16)]).astype(np.float32)
     x[7] = x[3]
-    u = x.astype(np.float64)
-    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    u = unit(x)
     i, j, c = covertree.tree_pairs(u, None, threshold)
     got = {(min(a, b), max(a, b)) for a, b in zip(i, j)}
     assert got == set(brute_pairs(x, threshold)) and len(got) == len(i)
-    a, b, _ = covertree.tree_pairs(u[:150], u[150:], threshold)
-    assert {(p, q + 150) for p, q in zip(a, b)} == {k for k in brute_pairs(x, threshold) if k[0] < 150 <= k[1]}
+    a, b, _ = covertree.tree_pairs(u[:700], u[700:], threshold)
+    assert {(p, q + 700) for p, q in zip(a, b)} == {k for k in brute_pairs(x, threshold) if k[0] < 700 <= k[1]} and len(a) == len(set(zip(a, b)))
+
+
+def test_tree_levels_cover_nest_and_part():
+    x = unit(clustered(500))
+    order, t = covertree.tree_of(x, 0.05)
+    rs = covertree.radii(0.05)
+    assert sorted(order) == list(range(500)) and np.array_equal(t.nodes[-1], np.arange(500))
+    for k, (centre, below) in enumerate(zip(t.nodes, t.nodes[1:])):
+        assert t.count[k].sum() == len(below) and set(centre) <= set(below)
+        apart = np.linalg.norm(t.x[centre][:, None] - t.x[centre][None], axis=2) + 9 * np.eye(len(centre))
+        assert apart.min() > rs[k] or k == 0
+        for n in range(len(centre)):
+            kids = below[t.first[k][n] : t.first[k][n] + t.count[k][n]]
+            points = np.arange(centre[n], centre[n + 1] if n + 1 < len(centre) else 500)  # a node's points are neighbours
+            assert kids[0] == centre[n] and set(kids) <= set(points)
+            assert np.all(np.linalg.norm(t.x[kids] - t.x[centre[n]], axis=1) <= rs[k] + 1e-9)
+            assert np.all(np.linalg.norm(t.x[points] - t.x[centre[n]], axis=1) <= t.cover[k][centre[n]] + 1e-9)
 
 
-def test_tree_levels_cover_and_nest():
-    x = clustered(200)
-    t = covertree.CoverTree(x.astype(np.float64) / 20)
-    for k, (centre, cover, first, count) in enumerate(t.levels[:-1]):
-        below = t.levels[k + 1][0]
-        assert count.sum() == len(below) and set(centre) <= set(below)
-        for n in range(len(centre)):
-            kids = below[first[n] : first[n] + count[n]]
-            assert centre[n] in kids and np.all(np.linalg.norm(t.x[kids] - t.x[centre[n]], axis=1) <= cover[n] + 1e-9)
+def brute_classes(ids, pairs):
+    up, links = {i: i for i in ids}, {i: 0 for i in ids}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {i: (root(i), links[i]) for i in ids}
+
+
+def classes(df):
+    rows = df.collect()
+    got = {r["vec_id"]: (r["class_id"], r["links"]) for r in rows}
+    assert len(got) == len(rows)
+    return got
+
+
+def odd_rows(x):
+    return [(1000, x[0]), (1001, x[0] * 3), (1002, None), (1003, []), (1004, [0.0] * 16), (1005, [1.0]), (1006, [float("nan")] * 16), (1007, [None] * 16), (None, x[0]), (1008, [2.0])]
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("threshold,block", [(0.9, 64), (0.9, None), (0.6, 40)])
+def test_near_duplicates(spark, threshold, block):
     x = clustered(300)
-    rows = list(enumerate(x)) + [(1000, x[0]), (1001, x[0] * 3), (1002, None), (1003, []), (1004, [0.0] * 16), (1005, [1.0]), (1006, [float("nan")] * 16), (1007, [None] * 16), (None, x[0])]
-    got = {(r["vec_a"], r["vec_b"]): r["cosine"] for r in covertree.near_duplicates(frame(spark, rows), block=64).collect()}
+    rows = list(enumerate(x)) + odd_rows(x)
     all_ = np.vstack([x, x[:1], x[:1] * 3])
     ids = list(range(300)) + [1000, 1001]
-    want = {(ids[a], ids[b]): c for (a, b), c in brute_pairs(all_, covertree.THRESHOLD).items()}
-    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    want = {(ids[a], ids[b]): c for (a, b), c in brute_pairs(all_, threshold).items()}
+    assert classes(covertree.near_duplicates(frame(spark, rows), threshold, block)) == brute_classes([*range(300), *range(1000, 1009)], [*want, (1005, 1008)])
+    copies, pairs = covertree.near_pairs(frame(spark, rows), threshold, block)
+    rep = {r["id"]: r["rep"] for r in copies.collect()}
+    got = {(r["a"], r["b"]): r["cosine"] for r in pairs.collect()}
+    want = {k: c for k, c in want.items() if rep[k[0]] == k[0] and rep[k[1]] == k[1]} | {(1005, 1008): 1.0}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want) and rep[1000] == 0
 
 
 def test_near_duplicates_edges(spark):
     assert covertree.near_duplicates(frame(spark, [])).count() == 0
-    assert covertree.near_duplicates(frame(spark, [(1, None)])).count() == 0
+    assert classes(covertree.near_duplicates(frame(spark, [(1, None)]))) == {1: (1, 0)}
     one = frame(spark, [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0])])
-    assert [tuple(r) for r in covertree.near_duplicates(one).collect()] == [(1, 2, 1.0)]
-    assert [tuple(r) for r in covertree.near_duplicates(frame(spark, [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0])])).collect()] == [(1, 2, 1.0)]
-    same = frame(spark, [(i, [1.0, 2.0]) for i in range(50)])
-    assert covertree.near_duplicates(same).count() == 50 * 49 // 2
+    assert classes(covertree.near_duplicates(one)) == {1: (1, 1), 2: (1, 1)}
+    assert classes(covertree.near_duplicates(frame(spark, [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0])]))) == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
+    same = frame(spark, [(i, [1.0, 2.0]) for i in range(50)] + [(i, [2.0, 4.0]) for i in range(50, 70)])
+    assert set(classes(covertree.near_duplicates(same)).values()) == {(0, 69)}
+    names = frame(spark, [(1, [1.0, 0.0]), (2, [1.0, 0.0])]).selectExpr("vec_id", "embedding", "label as id", "1 as v", "2 as rep", "3 as n", "4 as links", "5 as `a.b`", "6 as component")
+    assert classes(covertree.near_duplicates(names)) == {1: (1, 1), 2: (1, 1)}
 
 
 def test_chi_square():
