@@ -26,13 +26,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, extra_column, held
+from .common import extra_column, held, text_parts
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How texts are split into words before merging: contractions, letters, numbers, other signs, each with the space before it, and white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries at which a worker's tables (words, arcs, byte states) start anew. They bound memory and change no result.
-CACHE, ARCS, STATES = 250_000, 400_000, 160_000
+CACHE, ARCS, STATES = 100_000, 200_000, 200_000
 
 
 def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -56,22 +56,6 @@ def merge_parts(token: bytes, ranks: dict[bytes, int], rank: int) -> tuple[bytes
     return parts[0], parts[1]
 
 
-class ByteState(dict):
-    """A row of the table: byte -> (next state, token that ends there). Filled on first use."""
-
-    __slots__ = ("automaton", "config")
-
-    def __init__(self, automaton: Automaton, config: tuple):
-        self.automaton, self.config = automaton, config
-
-    def __missing__(self, byte: int) -> tuple[ByteState, int]:
-        got = self[byte] = self.automaton.step(self.config, byte)
-        return got
-
-    def __hash__(self):
-        return id(self)
-
-
 class Automaton:
     """The compiled automaton. Pickles as its vocabulary and merge list, which are small; the rest is built where it is used."""
 
@@ -164,43 +148,49 @@ class Automaton:
         return got
 
     def _clear(self) -> None:
-        """Byte states. One holds, for each token that may still be growing, its node of the trie and the state before it, the longest first;
-        the nodes are shifted to make room for a byte. It maps a byte to the next byte state and the one token that ends there in the encoding so far."""
-        first = ((0, 0),)
-        self.first = ByteState(self, first)
-        self.number: dict[tuple, ByteState] = {first: self.first}
-
-    def step(self, config: tuple, byte: int) -> tuple[ByteState, int]:
-        """The byte state that a byte leads to from the one of config, and the token that ends there."""
+        """Byte states, numbered. One holds, for each token that may still be growing, its node of the trie and the state before it, the longest first, as
+        64-bit numbers (configs). The table maps (byte state, byte) to (the next byte state, the one token that ends there in the encoding so far), both pairs packed into a number."""
+        first = array("Q", [0]).tobytes()
+        self.configs: list[bytes] = [first]
+        self.number: dict[bytes, int] = {first: 0}
+        self.table: dict[int, int] = {}
+
+    def step(self, at: int, byte: int) -> int:
+        """Fills the table's entry for a byte in a byte state."""
         found, alive, ends, arcs = -1, [], self.ends, self.arcs
         get, add = self.trie.get, alive.append
-        for pair in config:
-            nxt = get(pair[0] | byte)
+        for pair in array("Q", self.configs[at >> 8]):
+            nxt = get(pair >> 32 << 8 | byte)
             if nxt is not None:
-                state = pair[1]
-                add((nxt << 8, state))
+                state = pair & 0xFFFFFFFF
+                add(nxt << 32 | state)
                 if found < 0 and (token := ends[nxt]) >= 0:
                     ok = arcs.get(state << 32 | token)
                     if self.allows(state, token) if ok is None else ok:
                         found = token
         if found < 0:
             raise ValueError(f"byte {byte} has no token")
-        alive.append((0, self.state[found]))
-        after = tuple(alive)
+        add(self.state[found])
+        after = array("Q", alive).tobytes()
         to = self.number.get(after)
         if to is None:
-            to = self.number[after] = ByteState(self, after)
-        return to, found
+            to = self.number[after] = len(self.configs)
+            self.configs.append(after)
+        got = self.table[at | byte] = to << 32 | found
+        return got
 
     def encode_word(self, word: bytes) -> list[int]:
         """The encoding of one pre-split word. ValueError for a byte that the vocabulary lacks."""
-        if len(self.number) >= STATES:
+        if len(self.configs) >= STATES:
             self._clear()
-        at, last = self.first, []
-        add, length = last.append, self.length
+        at, last, step = 0, [], self.step
+        add, length, get = last.append, self.length, self.table.get
         for byte in word:
-            at, token = at[byte]
-            add(token)
+            got = get(at | byte)
+            if got is None:
+                got = step(at, byte)
+            add(got & 0xFFFFFFFF)
+            at = got >> 32 << 8
         i = len(word)
         out = []
         while i:
@@ -220,42 +210,41 @@ class Automaton:
 
 
 class Words(dict):
-    """word -> its ids as bytes of int32. Words that are not there are encoded; when it is full it starts anew."""
+    """word -> its ids as bytes of int32. Words that are not there are encoded. When it is full it starts anew; what was there before is still found, and kept if it comes again, until it is full once more."""
 
     def __init__(self, automaton: Automaton):
         super().__init__()
-        self.automaton = automaton
+        self.automaton, self.before = automaton, {}
 
     def encode(self, word: str) -> bytes:
         return array("i", self.automaton.encode_word(word.encode())).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word: str) -> bytes | None:
         if len(self) >= CACHE:
+            self.before = dict(self)
             self.clear()
-        got = self[word] = self.encode(word)
+        got = self.before.get(word, self)
+        if got is self:
+            got = self.encode(word)
+        self[word] = got
         return got
 
 
-class Units(dict):
+class Units(Words):
     """What stands between two single spaces -> the ids of it and the space before it; None if it is empty or has white space at an end.
 
     Under PATTERN a single space between other signs always begins a word, so a text without None among its units is encoded unit by unit."""
 
     def __init__(self, words: Words, split):
-        super().__init__()
+        super().__init__(words.automaton)
         self.words, self.split = words, split
 
-    def __missing__(self, unit: str) -> bytes | None:
-        if len(self) >= CACHE:
-            self.clear()
+    def encode(self, unit: str) -> bytes | None:
         if unit.isalpha():  # one word; it is kept here alone
-            got = self.words.encode(" " + unit)
-        elif not unit or unit[0].isspace() or unit[-1].isspace():
-            got = None
-        else:
-            got = b"".join(map(self.words.__getitem__, self.split(" " + unit)))
-        self[unit] = got
-        return got
+            return self.words.encode(" " + unit)
+        if not unit or unit[0].isspace() or unit[-1].isspace():
+            return None
+        return b"".join(map(self.words.__getitem__, self.split(" " + unit)))
 
 
 class Encoder:
@@ -269,10 +258,9 @@ class Encoder:
         if self.units is not None:
             first, *rest = text.split(" ")
             if first and not first[-1].isspace():
-                try:
-                    return np.frombuffer(b"".join([*map(self.words.__getitem__, self.split(first)), *map(self.units.__getitem__, rest)]), dtype=np.int32)
-                except TypeError:  # a unit that is None
-                    pass
+                units = [*map(self.units.__getitem__, rest)]
+                if None not in units:
+                    return np.frombuffer(b"".join([*map(self.words.__getitem__, self.split(first)), *units]), dtype=np.int32)
         return np.frombuffer(b"".join(map(self.words.__getitem__, self.split(text))), dtype=np.int32)
 
 
@@ -282,10 +270,9 @@ def _encode_batches(shared, key: tuple):
         label = encoder.automaton.label.__getitem__
         gc.disable()  # the tables are millions of small objects without cycles
         for batch in batches:
-            strings = batch.column(batch.num_columns - 1).to_pylist()
-            for part in chunks([t or "" for t in strings], 1_000_000):
+            for sub, strings in text_parts(batch, batch.num_columns - 1):
                 ids, exact = [], []
-                for t in strings[part]:
+                for t in strings:
                     ids.append(None if t is None else encoder(t))
                     exact.append(None if t is None else b"".join(map(label, ids[-1].tolist())) == t.encode())
                 size = [0 if x is None else len(x) for x in ids]
@@ -293,7 +280,6 @@ def _encode_batches(shared, key: tuple):
                 offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array([x is None for x in ids]))
                 counts = pa.array([None if x is None else len(x) for x in ids], pa.int64())
-                sub = batch.slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays([*sub.columns[:-1], lists, counts, pa.array(exact, pa.bool_())], names=[*batch.schema.names[:-1], "token_ids", "n_tokens", "exact"])
 
     return run

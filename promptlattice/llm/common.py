@@ -130,7 +130,7 @@ def chunks(texts: list, chars: int = 1_000_000) -> Iterator[slice]:
         yield slice(at, len(texts))
 
 
-def text_parts(batch: pa.RecordBatch, column: int, most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+def text_parts(batch: pa.RecordBatch, column: int, most: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Slices of a batch with their texts, of about so many bytes each, so that few texts at a time are Python's; a longer text is a slice of its own."""
     texts = batch.column(column)
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, char_hash, chunks, code_points, extra_column, labelled_sample, mix64, powers, release, words_in
+from .common import U64, char_hash, chunks, code_points, extra_column, labelled_sample, mix64, powers, release, text_parts, words_in
 
 #: At most so many labelled documents are used for fitting, those of the least hash of their id; every document is scored.
 MAX_TRAIN = 6000
@@ -197,15 +197,13 @@ def _score(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            quality, lines, bad = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
-            for part in chunks([t or "" for t in texts]):
-                quality[part], lines[part], bad[part] = shared.value.quality([t or "" for t in texts[part]])
-            null = np.array([t is None for t in texts], dtype=bool)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(quality, pa.float64(), mask=null), pa.array(np.where(null, 0, lines), pa.int64()), pa.array(np.where(null, 0, bad), pa.int64()), pa.array(~null & (quality >= threshold), pa.bool_())],
-                names=[*batch.schema.names[:-1], "crf_quality", "crf_lines", "crf_bad_lines", "crf_keep"],
-            )
+            for part, texts in text_parts(batch, batch.num_columns - 1):
+                quality, lines, bad = shared.value.quality([t or "" for t in texts])
+                null = np.array([t is None for t in texts], dtype=bool)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:-1], pa.array(quality, pa.float64(), mask=null), pa.array(np.where(null, 0, lines), pa.int64()), pa.array(np.where(null, 0, bad), pa.int64()), pa.array(~null & (quality >= threshold), pa.bool_())],
+                    names=[*batch.schema.names[:-1], "crf_quality", "crf_lines", "crf_bad_lines", "crf_keep"],
+                )
 
     return run
 
@@ -221,7 +219,7 @@ def classify(docs: DataFrame, model: LineCRF, keep: list[str], threshold: float
 
     A null text has null quality, no lines and is not kept; one of white space alone has quality 0. Kept columns named like an added one get underscores."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = {c: extra_column(docs, c + "_") if c.lower().startswith("crf_") else c for c in keep}
+    names = {c: extra_column(docs, c + "_") if c.lower() in ("crf_quality", "crf_lines", "crf_bad_lines", "crf_keep") else c for c in keep}
     d = docs.select(*(F.col(f"`{c}`").alias(names[c]) for c in keep), F.col(f"`{text_col}`").cast("string").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1])
     return d.mapInArrow(_score(shared, threshold), (schema + ", " if schema else "") + "crf_quality double, crf_lines long, crf_bad_lines long, crf_keep boolean")

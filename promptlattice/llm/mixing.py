@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, release
+from .common import materialise, release, text_parts
 
 LENGTH, SLOTS, SEED, CHUNK, ROUNDS = 512, 256, 17, 1024, 24
 #: Target weights are the sources' shares to this power, normalised: below 1 evens them out.
@@ -91,7 +91,7 @@ def _cut(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for batch in batches:
+        for batch in (part for whole in batches for part, _ in text_parts(whole, 4)):
             rows: list[tuple] = []
             size = 0
             for source, doc, lang, start, text in zip(*(c.to_pylist() for c in batch.columns)):

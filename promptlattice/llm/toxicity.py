@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, char_hash, chunks, code_points, extra_column, labelled_sample, mix64, powers, release, word_hash, words_in
+from .common import U64, char_hash, chunks, code_points, extra_column, labelled_sample, mix64, powers, release, text_parts, word_hash, words_in
 
 #: At most so many labelled documents are used for fitting, those of the least hash of their id; every document is scored.
 MAX_TRAIN = 12000
@@ -250,12 +250,10 @@ def _score(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            p = np.zeros(len(texts))
-            for part in chunks([t or "" for t in texts]):
-                p[part] = shared.value.score([t or "" for t in texts[part]])
-            null = np.array([t is None for t in texts], dtype=bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p, pa.float64(), mask=null), pa.array(~null & (p >= threshold), pa.bool_())], names=[*batch.schema.names[:-1], "toxicity", "toxic"])
+            for part, texts in text_parts(batch, batch.num_columns - 1):
+                p = shared.value.score([t or "" for t in texts])
+                null = np.array([t is None for t in texts], dtype=bool)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(p, pa.float64(), mask=null), pa.array(~null & (p >= threshold), pa.bool_())], names=[*batch.schema.names[:-1], "toxicity", "toxic"])
 
     return run
 
