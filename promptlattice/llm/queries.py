@@ -44,9 +44,15 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's class of near duplicates and its number of links."""
     return sigtree.ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def near_documents_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5 at a Jaccard of LOOSE."""
+    return sigtree.ngram_jaccard_join(_table(spark, sf_dir, "documents"), threshold=LOOSE)
+
+
 def op6_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_source_mixing": op10_source_mixing,
     "near_vectors_loose": near_vectors_loose,
+    "near_documents_loose": near_documents_loose,
 }
 
 ORACLE: dict[str, str] = {
@@ -88,12 +95,6 @@ ORACLE: dict[str, str] = {
     "op3_warc_reader": "SELECT page_id, url, html, octet_length(encode(html))::BIGINT AS n_bytes FROM pages",
     "op10_source_mixing": mixing.sql_mix(),
     "op1_rendezvous_sharding": sharding.sql_shard("doc_id", "documents", {"shard": sharding.SHARDS, "shard_after": {**sharding.SHARDS, **sharding.ADDED}}, "t.doc_id, t.source"),
-    "op5_ngram_jaccard_join": rf"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {sigtree.N} THEN list_transform(range(1, len(w) - {sigtree.N} + 2), lambda i: array_to_string(w[i:i + {sigtree.N - 1}], ' '))
-      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
-n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-o AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT doc_a, doc_b, o / (x.n + y.n - o)::DOUBLE AS jaccard FROM o JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b
-WHERE o / (x.n + y.n - o)::DOUBLE >= {sigtree.THRESHOLD}""",
+    "op5_ngram_jaccard_join": sigtree.sql_ngram_jaccard_join(),
+    "near_documents_loose": sigtree.sql_ngram_jaccard_join(LOOSE),
 }

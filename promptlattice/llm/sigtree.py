@@ -1,36 +1,39 @@
 """N-gram Jaccard self-join by signature trees.
 
-Documents become sets of hashed word n-grams (lower case, words as Python's \\w+). The join then has four steps:
-
-1. Documents with the same set collapse to one representative, the least id.
-2. Representatives are routed by banded min-hashes: the value range of the hashes is cut into bins, and a document's value in a
-   bin is its least n-gram hash at or after the bin's start, wrapping round (so one sort of the set gives all bins). Bands of
-   successive bins are keys; documents that share a key are linked, and the components of that graph become the tasks.
-   Routing carries two longs a row, however long the texts are; only documents with a partner ever send their n-grams on.
-3. In each component a signature tree is built: leaves hold documents of similar size, a node holds the OR of the n-gram bitmaps
+Documents become sets of hashed word n-grams (lower case, words as Python's \\w+). The join then has five steps, none of which loses a pair:
+
+1. Documents with the same set collapse to one representative, the least id, with a count.
+2. Maximum overlap of a document with all others. N-grams are counted in ranges of their hashes, and a document learns which of its own some other document has. One that
+   shares fewer than the threshold needs (a share t of its own) has no partner, whatever the others are, and goes: most documents do.
+3. The rest are parted. Of two documents at the threshold, each has a common n-gram among its first size - need + 1 in any order that all documents use; the order here is rarest first
+   (prefix filtering). So documents that have no such n-gram in common, directly or through others, need not meet: the components of that graph become the tasks.
+   Only n-grams' hashes travel so far, four bytes each, with a document's hash for each run of them.
+4. In each component a signature tree is built: leaves hold documents of similar size, a node holds the OR of the n-gram bitmaps
    below it, their size range and the most bit collisions of a document below it. The dual traversal descends from the pair
    (root, root) and drops a node pair as soon as its size ranges are too far apart or its greatest possible overlap,
    common bits plus collisions, is less than the threshold needs. What is left is verified exactly on the whole sets.
    A component of more than block documents is cut into blocks by hash, and each pair of blocks is a task, so no pair is lost.
-4. Pairs of representatives expand to pairs of documents.
-
-Step 3 is exact. Step 2 can miss a pair at the threshold: with the default bands a pair of Jaccard 0.6 shares a key with
-probability 0.988 (1 - (1 - 0.6**4)**32), one of 0.7 with 0.9998, and pairs linked through third documents are found too.
+5. A task returns a row for each document with a partner in it: how many it has, and one that stands for its part of the task. Groups of copies never leave a task as pairs.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, components, materialise, mix64, release, word_hashes
+from .common import U64, chunks, components, join_labels, materialise, mix64, release, text_parts, word_hashes
 
-N, THRESHOLD, BANDS, ROWS, BLOCK = 3, 0.6, 32, 4, 1000
+N, THRESHOLD, BLOCK = 3, 0.6, 1000
+#: Bytes of text whose n-grams a range of hashes has, and ranges at most: beyond these the ranges grow.
+RANGE_BYTES, MOST_RANGES = 12 << 20, 60_000
+#: N-grams that a task takes on at a time.
+GROUP = 400_000
 #: A table of at most so many bytes by count and row width may be broadcast; a larger one is joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -57,34 +60,133 @@ def gram_sets(texts: list[str], n: int) -> list[np.ndarray]:
     return out
 
 
-def band_keys(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """The band keys of one sorted set."""
-    bins = bands * rows
-    low = (np.arange(bins, dtype=np.float64) * (2.0**64 / bins)).astype(U64)
-    value = s[np.searchsorted(s, low) % len(s)].reshape(bands, rows)
-    key = np.arange(bands, dtype=U64) * U64(0x9E3779B97F4A7C15)
-    for k in range(rows):
-        key = mix64(key * U64(5) + value[:, k])
-    return key
+_SENT = pa.schema([("part", pa.int32()), ("range", pa.int32()), ("id", pa.int64()), ("size", pa.int64()), ("need", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("tokens", pa.binary()), ("docs", pa.binary()), ("runs", pa.binary()), ("times", pa.binary())])
+_SENT_SQL = "part int, range int, id long, size long, need long, h1 long, h2 long, tokens binary, docs binary, runs binary, times binary"
+
+
+def _rows(n: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns.get(f.name), pa.Array) else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _SENT], schema=_SENT)
+
+
+def _packed(at: np.ndarray, doc: np.ndarray, hashes: np.ndarray, **values: np.ndarray) -> dict[str, list]:
+    """Entries in order of at (where they go) and doc, as a row for each at: the documents' hashes once a run, and each value's bytes."""
+    turn = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+    run = np.diff(np.append(turn, len(at))).astype(np.uint32)
+    own = hashes[doc[turn]]
+    edge = np.flatnonzero(np.diff(at[turn], prepend=-1))  # the first run of each place
+    stop = np.append(edge[1:], len(turn))
+    lo, hi = turn[edge], np.append(turn, len(at))[stop]
+    return {"at": at[lo], "docs": [own[a:b].tobytes() for a, b in zip(edge, stop)], "runs": [run[a:b].tobytes() for a, b in zip(edge, stop)], **{k: [v[a:b].tobytes() for a, b in zip(lo, hi)] for k, v in values.items()}}
 
 
-def _signatures(n: int, bands: int, rows: int):
-    """(id, text) -> (id, size, set hashes h1 and h2, band keys)."""
+def _spread(n: int, parts: int, threshold: float):
+    """(id, text) -> a row a document, and rows of n-grams by range: a range is a slice of the hashes' values, of which the lower half is kept."""
+
+    def send(ids: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        size = np.array([len(s) for s in sets])
+        starts = np.cumsum(size) - size
+        token, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        h1, h2 = np.add.reduceat(token, starts), np.bitwise_xor.reduceat(mix64(token + U64(1)), starts)
+        low = token & U64(0xFFFFFFFF)
+        # n-grams of a document that may become one when their hashes are cut lower what it needs: so nothing is lost by cutting
+        twice = np.sort(doc.astype(U64) << U64(32) | low)
+        merged = np.bincount((twice[1:][twice[1:] == twice[:-1]] >> U64(32)).astype(np.int64), minlength=len(sets))
+        need = np.ceil(threshold * size - 1e-9).astype(np.int64) - merged
+        yield _rows(len(sets), part=(h1 % U64(parts)).astype(np.int32), id=np.array(ids), size=size, need=need, h1=h1.view(np.int64), h2=h2.view(np.int64))
+        at = ((token >> U64(32)) * U64(parts) >> U64(32)).astype(np.uint16)
+        by = np.argsort(at, kind="stable")
+        rows = _packed(at[by].astype(np.int64), doc[by], h1, tokens=low[by].astype(np.uint32))
+        to = rows.pop("at").astype(np.int32)
+        yield _rows(len(to), part=to, range=to, **rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
+        ids, sets, held = [], [], 0
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            for part in chunks(texts):
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for i, s in zip(ids[part], gram_sets(texts[part], n)):
+            for part, texts in text_parts(batch, 1):
+                for i, s in zip(part.column(0).to_pylist(), gram_sets(texts, n)):
                     if len(s):
-                        h1, h2 = np.add.reduce(s), np.bitwise_xor.reduce(mix64(s + U64(1)))
-                        for o, v in zip(out, (i, len(s), h1.astype(np.int64), h2.astype(np.int64), band_keys(s, bands, rows).astype(np.int64))):
-                            o.append(v)
-                if out[0]:
-                    keys = pa.ListArray.from_arrays(pa.array(np.arange(len(out[0]) + 1) * bands, pa.int32()), pa.array(np.concatenate(out[4]), pa.int64()))
-                    yield pa.RecordBatch.from_arrays([*(pa.array(np.asarray(o), pa.int64()) for o in out[:4]), keys], names=["id", "size", "h1", "h2", "keys"])
+                        ids.append(i), sets.append(s)
+                        held += len(s)
+                if held > GROUP:
+                    yield from send(ids, sets)
+                    ids, sets, held = [], [], 0
+        if sets:
+            yield from send(ids, sets)
+
+    return run
+
+
+def _unpacked(rows: list[dict], column: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(r[column] for r in rows), dtype=kind)
+
+
+def _shared(parts: int):
+    """Rows of n-grams by range -> the n-grams that several documents have, with the number of these, by document. Rows of documents go on as they are. Copies count once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[int, list[dict]] = defaultdict(list)
+        for batch in batches:
+            yield batch.filter(batch.column(7).is_null())
+            for r in batch.filter(batch.column(7).is_valid()).select(["range", "tokens", "docs", "runs"]).to_pylist():
+                by[r["range"]].append(r)
+        for at, rows in by.items():
+            hashes, which = np.unique(_unpacked(rows, "docs", U64), return_inverse=True)
+            entry = np.sort(_unpacked(rows, "tokens", np.uint32).astype(U64) << U64(32) | np.repeat(which, _unpacked(rows, "runs", np.uint32)).astype(U64))
+            entry = entry[np.diff(entry, prepend=entry[:1] ^ U64(1)) != 0]
+            token = (entry >> U64(32)).astype(np.uint32)
+            first = np.flatnonzero(np.diff(token, prepend=token[:1] ^ np.uint32(1)))
+            count = np.diff(np.append(first, len(token)))
+            times = np.repeat(count, count)
+            several = times > 1
+            if not several.any():
+                continue
+            token, doc, times = token[several], (entry[several] & U64(0xFFFFFFFF)).astype(np.int64), times[several]
+            # a byte that keeps the order: counts as they are, from 128 on by steps of their logarithm
+            times = np.where(times < 128, times, np.minimum(255, 128 + 8 * np.log2(np.maximum(times, 128) / 128))).astype(np.uint8)
+            to = (hashes[doc] % U64(parts)).astype(np.int64)
+            by_doc = np.argsort(to * len(hashes) + doc, kind="stable")
+            packed = _packed(to[by_doc], doc[by_doc], hashes, tokens=token[by_doc], times=times[by_doc])
+            to = packed.pop("at").astype(np.int32)
+            yield _rows(len(to), part=to, range=np.full(len(to), at, dtype=np.int32), **packed)
+
+    return run
+
+
+_ROUTE = pa.schema([("id", pa.int64()), ("size", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("token", pa.int64())])
+
+
+def _prefixes():
+    """(id, size, h1, h2) of each document, and (h1, token) for each n-gram by which a document that may have partners meets them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, h, need = [], [], []
+        for batch in batches:
+            docs = batch.filter(batch.column(7).is_null())
+            if docs.num_rows:
+                yield pa.RecordBatch.from_arrays([*docs.select(["id", "size", "h1", "h2"]).columns, pa.nulls(docs.num_rows, pa.int64())], schema=_ROUTE)
+                h.append(docs.column(5).to_numpy().view(U64)), need.append(docs.column(4).to_numpy())
+            rows += batch.filter(batch.column(7).is_valid()).select(["range", "tokens", "docs", "runs", "times"]).to_pylist()
+        if not rows:
+            return
+        hashes, at = np.unique(np.concatenate(h), return_inverse=True)
+        least = np.full(len(hashes), np.iinfo(np.int64).max)
+        np.minimum.at(least, at, np.concatenate(need))
+        doc = np.repeat(np.searchsorted(hashes, _unpacked(rows, "docs", U64)), _unpacked(rows, "runs", np.uint32))
+        low, times = _unpacked(rows, "tokens", np.uint32), _unpacked(rows, "times", np.uint8)
+        token = np.repeat(np.array([r["range"] for r in rows], dtype=np.int64), [len(r["times"]) for r in rows]) << 32 | low
+        shared = np.bincount(doc, minlength=len(hashes))
+        maybe = (shared >= least)[doc]
+        doc, token, times = doc[maybe], token[maybe], times[maybe]
+        order = np.lexsort((token, times, doc))
+        doc, token = doc[order], token[order]
+        first = np.flatnonzero(np.diff(doc, prepend=-1))
+        place = np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc))))
+        head = place <= (shared - least)[doc]  # those that no other document has come before all these
+        for i in range(0, len(doc), 100_000):
+            k = np.flatnonzero(head[i : i + 100_000]) + i
+            none = pa.nulls(len(k), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(hashes[doc[k]].view(np.int64)), none, pa.array(token[k])], schema=_ROUTE)
 
     return run
 
@@ -194,83 +296,131 @@ def tree_join(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.
     return a[hit], b[hit], jaccard[hit]
 
 
-def _joiner(n: int, threshold: float):
+def _tasks_of(frame: pd.DataFrame, n: int, threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(rows, i, j, jaccard) of each task of a bucket, a component or a pair of blocks of one: rows of the frame, and pairs of places in rows."""
+    texts, every = frame["text"].tolist(), []
+    for part in chunks(texts):
+        every += gram_sets(texts[part], n)
+    # of the rows that share an id one of the chosen n-gram set takes part
+    chosen = np.array([len(s) > 0 and np.add.reduce(s) == h for s, h in zip(every, frame["h1"].to_numpy().astype(U64))], dtype=bool)
+    ids, sides = frame["id"].to_numpy(), frame["side"].to_numpy()
+    for rows in frame.groupby(["component", "task"], sort=False).indices.values():
+        rows = rows[chosen[rows]]
+        rows = rows[np.unique(ids[rows], return_index=True)[1]]
+        i, j, jac = tree_join([every[r] for r in rows], threshold)
+        side = sides[rows]
+        if side.any():  # two blocks: pairs within a block are found where the block meets itself
+            cross = side[i] != side[j]
+            i, j, jac = i[cross], j[cross], jac[cross]
+        yield rows, i, j, jac
+
+
+def _pairer(n: int, threshold: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        """All tasks of one bucket; a task is a component, or a pair of blocks of one."""
         release()
-        out = []
-        texts = frame["text"].tolist()
-        sets: list[np.ndarray] = []
-        for part in chunks(texts):
-            sets += gram_sets(texts[part], n)
-        # of the rows that share an id only those of the chosen n-gram set take part
-        same = np.array([len(s) > 0 and np.add.reduce(s) == h for s, h in zip(sets, frame["h1"].to_numpy().astype(U64))], dtype=bool)
-        frame, sets = frame[same], [s for s, k in zip(sets, same) if k]
-        ids, side = frame["id"].to_numpy(), frame["side"].to_numpy()
-        for rows in frame.groupby(["component", "task"], sort=False).indices.values():
-            i, j, jac = tree_join([sets[r] for r in rows], threshold)
+        ids, out = frame["id"].to_numpy(), [pd.DataFrame({"a": [], "b": [], "jaccard": []})]
+        for rows, i, j, jac in _tasks_of(frame, n, threshold):
             x, y = ids[rows[i]], ids[rows[j]]
-            if side[rows].any():  # blocks x and y: pairs within a block are found where the block meets itself
-                cross = side[rows[i]] != side[rows[j]]
-                x, y, jac = x[cross], y[cross], jac[cross]
             out.append(pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "jaccard": jac}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "jaccard": []})
+        return pd.concat(out)
 
     return run
 
 
-def near_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(copies, pairs): copies (id, rep) has each document with at least one word; rep is the least id of those with the same n-gram set.
-    pairs (a, b, jaccard), a < b, has each pair of representatives of at least threshold.
-
-    Rows of null id or null text, and texts without a word, match nothing. Rows that share an id are one document: where their
-    n-grams differ, the row of least set hash counts. Other columns are ignored, whatever their names."""
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    sigs = d.mapInArrow(_signatures(n, bands, rows), "id long, size long, h1 long, h2 long, keys array<long>")
-    sigs = sigs.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("h1", "h2", "size"))).where("nth = 1")
-    copies = materialise(sigs.withColumn("rep", F.min("id").over(Window.partitionBy("h1", "h2", "size"))).select("id", "rep", "size", "h1", F.when(F.col("id") == F.col("rep"), F.col("keys")).alias("keys")), "copies")
-    keyed = copies.where("id = rep").select("rep", F.explode("keys").alias("key"))
-    linked = keyed.withColumn("first", F.min("rep").over(Window.partitionBy("key"))).where("rep <> first")
-    parts = components(linked, "rep", "first").join(copies.where("id = rep").select("id", "size", "h1"), "id")
-    total = parts.groupBy("component").agg(F.sum("size").alias("grams"))
-    k = F.ceil(F.col("grams") / F.lit(block * 500))
-    own, other = F.pmod(F.xxhash64("id"), "k"), F.col("other")
+def _linker(n: int, threshold: float):
+    """The documents that have partners in a task: (id, links, root); links counts copies, root is the least id of those that the task's pairs join."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        release()
+        out = [pd.DataFrame({"id": [], "links": [], "root": []}, dtype=np.int64)]
+        for rows, i, j, _ in _tasks_of(frame, n, threshold):
+            ids, times = frame["id"].to_numpy()[rows], frame["n"].to_numpy()[rows]
+            links = np.bincount(i, times[j], len(rows)) + np.bincount(j, times[i], len(rows))
+            label = join_labels(np.arange(len(rows)), i, j)
+            least = np.full(len(rows), np.iinfo(np.int64).max)
+            np.minimum.at(least, label, ids)
+            some = np.flatnonzero(links)
+            out.append(pd.DataFrame({"id": ids[some], "links": links[some].astype(np.int64), "root": least[label[some]]}))
+        return pd.concat(out)
+
+    return run
+
+
+def _routed(docs: DataFrame, n: int, threshold: float, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, object]:
+    """(documents, representatives, tasks): documents (id, size, h1, h2) and representatives (h1, h2, size, rep, n) of those with a word, and the representatives that may have partners, with their texts, grouped by bucket of tasks."""
+    d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null and text is not null")
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = int(min(MOST_RANGES, max(1, size // RANGE_BYTES)))
+    sent = d.mapInArrow(_spread(n, parts, threshold), _SENT_SQL).repartitionById(parts, "part").mapInArrow(_shared(parts), _SENT_SQL).repartitionById(parts, "part")
+    route = materialise(sent.mapInArrow(_prefixes(), "id long, size long, h1 long, h2 long, token long"), "routes")
+    own = route.where("token is null").groupBy("id").agg(F.min(F.struct("h1", "h2", "size")).alias("s")).select("id", "s.*")
+    reps = materialise(own.groupBy("h1", "h2", "size").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "representatives")
+    met = route.where("token is not null").select("token", "h1")
+    edges = met.join(met.groupBy("token").agg(F.min("h1").alias("m")), "token").where("h1 <> m").select("h1", "m")
+    members = components(edges, "h1", "m").select(F.col("id").alias("h1"), "component").join(reps, "h1").select(F.col("rep").alias("id"), "component", "size", "h1", "n")
+    total = members.groupBy("component").agg(F.sum("size").alias("grams"))
+    mine, other = F.pmod(F.xxhash64("id"), "k"), F.col("other")
     tasks = (
-        parts.join(total, "component")
-        .withColumn("k", k)
-        .withColumn("own", own)
+        members.join(total, "component")
+        .withColumn("k", F.ceil(F.col("grams") / F.lit(block * 500)))
+        .withColumn("own", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        .select("id", "component", (F.least("own", other) * F.col("k") + F.greatest("own", other)).alias("task"), F.when(F.col("own") == other, 0).when(F.col("own") < other, 1).otherwise(2).alias("side"), "size", "h1")
+        .select("id", "component", (F.least("own", other) * F.col("k") + F.greatest("own", other)).alias("task"), F.when(F.col("own") == other, 0).when(F.col("own") < other, 1).otherwise(2).alias("side"), "size", "h1", "n")
     )
     tasks = materialise(tasks, "tasks")
     count, grams = tasks.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     buckets = max(1, grams // (block * 500))
     tasks = tasks.withColumn("bucket", F.pmod(F.xxhash64("component", "task"), F.lit(buckets))).drop("size")
-    small = F.broadcast(tasks) if count * 70 <= BROADCAST_BYTES else tasks
-    pairs = d.join(small, "id").groupBy("bucket").applyInPandas(_joiner(n, threshold), "a long, b long, jaccard double")
-    pairs = materialise(pairs.where("a < b").groupBy("a", "b").agg(F.max("jaccard").alias("jaccard")), "pairs")
-    return copies.select("id", "rep"), pairs
-
-
-def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b: all pairs of documents whose n-gram Jaccard is at least threshold. See near_pairs for nulls and ties.
+    small = F.broadcast(tasks) if count * 80 <= BROADCAST_BYTES else tasks
+    return own, reps, d.join(small, "id").groupBy("bucket")
 
-    A group of m copies has m(m-1)/2 pairs: where that is too many, near_duplicate_groups says the same in m rows."""
-    copies, pairs = near_pairs(docs, n, threshold, id_col=id_col, text_col=text_col, **kw)
-    x, y = copies.select(F.col("id").alias("x"), F.col("rep").alias("a")), copies.select(F.col("id").alias("y"), F.col("rep").alias("b"))
-    same = x.join(y, (F.col("a") == F.col("b")) & (F.col("x") < F.col("y"))).select("x", "y", F.lit(1.0).alias("jaccard"))
-    near = pairs.join(x, "a").join(y, "b").where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "jaccard")
-    return same.unionByName(near).groupBy(F.col("x").alias("doc_a"), F.col("y").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))
 
-
-def near_duplicate_groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """(id, component) of each document that has a near duplicate; groups are the components of the join's pairs, named by their least id."""
-    copies, pairs = near_pairs(docs, n, threshold, id_col=id_col, text_col=text_col, **kw)
-    return components(pairs.select("a", "b").unionByName(copies.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))))
-
-
-def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """docs without the documents of a near-duplicate group other than its least id. Rows without id, text or words stay; rows that share an id stay or go together."""
-    gone = near_duplicate_groups(docs, n, threshold, id_col, text_col, **kw).where("id <> component").select(F.col("id").alias(id_col))
-    gone = materialise(gone, "gone")
-    return docs.join(F.broadcast(gone) if gone.count() * 16 <= BROADCAST_BYTES else gone, id_col, "left_anti")
+def near_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(copies, pairs): copies (id, rep) has each document with at least one word; rep is the least id of those with the same n-gram set.
+    pairs (a, b, jaccard), a < b, has each pair of representatives of at least threshold. For results of which the pairs are wanted; see ngram_jaccard_join for nulls and ties."""
+    own, reps, tasks = _routed(docs, n, threshold, block, id_col, text_col)
+    pairs = materialise(tasks.applyInPandas(_pairer(n, threshold), "a long, b long, jaccard double"), "pairs")
+    return own.join(reps, ["h1", "h2", "size"]).select("id", "rep"), pairs
+
+
+def _classes(docs: DataFrame, n: int, threshold: float, block: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, class_id, links) of each document with at least one word."""
+    own, reps, tasks = _routed(docs, n, threshold, block, id_col, text_col)
+    found = materialise(tasks.applyInPandas(_linker(n, threshold), "id long, links long, root long"), "links")
+    classes = components(found, "id", "root").select(F.col("id").alias("rep"), "component")
+    links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
+    by_rep = reps.join(links, "rep", "left").join(classes, "rep", "left").select("h1", "h2", "size", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
+    return own.join(by_rep, ["h1", "h2", "size"]).select("id", "class_id", "links")
+
+
+def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, links), one row for each id: links is the number of other documents whose n-gram Jaccard with it is at least threshold, class_id the least
+    id of those that such links join, its own without links. Every link counts.
+
+    Rows of null id are left out. Null texts, and texts without a word, have no links. Rows that share an id are one document: where their
+    n-grams differ, the row of least set hash counts. Ids are whole numbers, or strings of them (others raise). Other columns are ignored, whatever their names. No rows give no rows."""
+    every = docs.select(F.col(f"`{id_col}`").cast("long").alias("id")).where("id is not null").distinct()
+    known = _classes(docs, n, threshold, block, id_col, text_col)
+    return every.join(known, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
+def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the documents of a near-duplicate class other than its least id. Rows without id, text or words stay; rows that share an id stay or go together."""
+    gone = materialise(_classes(docs, n, threshold, block, id_col, text_col).where("id <> class_id").select("id"), "gone")
+    gone = F.broadcast(gone) if gone.count() * 16 <= BROADCAST_BYTES else gone
+    key = docs[f"`{id_col}`"].cast("long")
+    return docs.join(gone, key == gone["id"], "left_anti")
+
+
+def sql_ngram_jaccard_join(threshold: float = THRESHOLD, n: int = N) -> str:
+    """ngram_jaccard_join of documents by brute force."""
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {n} THEN list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n - 1}], ' '))
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+p AS MATERIALIZED (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE o / (x.n + y.n - o)::DOUBLE >= {threshold}),
+r(id, too) AS (SELECT doc_id, doc_id FROM documents WHERE doc_id IS NOT NULL UNION SELECT r.id, p.b FROM r JOIN p ON p.a = r.too),
+c AS (SELECT id, min(too) AS class_id FROM r GROUP BY id), l AS (SELECT a, count(*) AS links FROM p GROUP BY a)
+SELECT c.id AS doc_id, c.class_id, coalesce(l.links, 0)::BIGINT AS links FROM c LEFT JOIN l ON l.a = c.id"""

@@ -4,9 +4,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from promptlattice.llm import sigtree
-from promptlattice.llm.common import components
+from promptlattice.llm.common import components, join_labels
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -61,18 +63,89 @@ def test_tree_join_is_exact():
         assert got == want and len(i) == len(got)
 
 
-def test_join_against_brute_force(spark):
-    rows = corpus() + [(1000, "Ein Satz."), (1001, "ein satz"), (1002, ""), (1003, None), (None, "null id"), (1004, "!!!"), (1005, "ein, Satz!")]
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in sigtree.ngram_jaccard_join(frame(spark, rows)).collect()}
-    want = brute(rows)
-    assert set(got) <= set(want) and len(got) >= 0.98 * len(want)
-    assert all(abs(want[k] - v) < 1e-9 for k, v in got.items()) and (1000, 1001) in got and (1001, 1005) in got
+def brute_classes(rows, threshold=sigtree.THRESHOLD):
+    ids = sorted({i for i, _ in rows if i is not None})
+    up, links = {i: i for i in ids}, {i: 0 for i in ids}
 
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
 
-def test_blocks_lose_no_pair(spark):
+    for a, b in brute(rows, threshold):
+        links[a] += 1
+        links[b] += 1
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {i: (root(i), links[i]) for i in ids}
+
+
+def classes(df):
+    rows = df.collect()
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in rows}
+    assert len(got) == len(rows)
+    return got
+
+
+ODD = [(1000, "Ein Satz."), (1001, "ein satz"), (1002, ""), (1003, None), (None, "null id"), (1004, "!!!"), (1005, "ein, Satz!")]
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.4, 0.6, 0.9, 1.0])
+def test_join_is_exact(spark, monkeypatch, threshold):
+    monkeypatch.setattr(sigtree, "RANGE_BYTES", 4000)  # several ranges
+    rows = corpus() + ODD
+    assert classes(sigtree.ngram_jaccard_join(frame(spark, rows), threshold=threshold, block=2)) == brute_classes(rows, threshold)
+    if threshold != 0.4:
+        return
+    copies, pairs = sigtree.near_pairs(frame(spark, rows), threshold=threshold)
+    rep = {r["id"]: r["rep"] for r in copies.collect()}
+    want = {k: v for k, v in brute(rows, threshold).items() if rep[k[0]] == k[0] and rep[k[1]] == k[1]}
+    got = {(r["a"], r["b"]): r["jaccard"] for r in pairs.collect()}
+    assert set(got) == set(want) and all(abs(want[k] - v) < 1e-9 for k, v in got.items())
+
+
+def test_cut_hashes_lose_no_pair(spark, monkeypatch):
+    # n-grams of one document that become one when their hashes are cut: here nearly all of them
+    whole = sigtree.gram_sets
+
+    def poor(texts, n):
+        return [np.unique((s & np.uint64(0xFFF)) | (np.arange(len(s), dtype=np.uint64) % np.uint64(7)) << np.uint64(40)) for s in whole(texts, n)]
+
+    sets = poor([t for _, t in corpus()], 3)
+    twice = sum(len(s) - len(np.unique(s & np.uint64(0xFFFFFFFF))) for s in sets)
+    assert twice > 0
+    monkeypatch.setattr(sigtree, "gram_sets", poor)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(corpus()))), pa.array([t for _, t in corpus()])], names=["id", "text"])
+    rows = list(sigtree._prefixes()(sigtree._shared(1)(sigtree._spread(3, 1, 0.5)([batch]))))
+    table = pa.Table.from_batches(rows).to_pylist()
+    h1 = {r["id"]: r["h1"] for r in table if r["token"] is None}
+    meet = {}
+    for r in table:
+        if r["token"] is not None:
+            meet.setdefault(r["h1"], set()).add(r["token"])
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            o = len(np.intersect1d(sets[a], sets[b]))
+            if o >= 0.5 * (len(sets[a]) + len(sets[b]) - o) and h1[a] != h1[b]:
+                assert meet[h1[a]] & meet[h1[b]]
+
+
+def test_blocks_lose_no_link(spark):
     rows = [(i, " ".join(f"w{k}" for k in range(40)) + f" x{i}") for i in range(60)]
-    got = sigtree.ngram_jaccard_join(frame(spark, rows), block=1).count()  # 2300 n-grams and more in a component, 500 a block
-    assert got == 60 * 59 // 2
+    got = classes(sigtree.ngram_jaccard_join(frame(spark, rows), block=1))  # 2300 n-grams and more in a component, 500 a block
+    assert set(got.values()) == {(0, 59)}
+
+
+def test_long_text_hot_group_empty_and_clashing_names(spark):
+    long = " ".join(f"w{k % 997} v{k}" for k in range(60_000))
+    rows = [(1, long), (2, long + " end"), (3, "end")] + [(i, "one two three four") for i in range(10, 400)]
+    got = classes(sigtree.ngram_jaccard_join(frame(spark, rows)))
+    assert got[1] == got[2] == (1, 1) and got[3] == (3, 0) and {got[i] for i in range(10, 400)} == {(10, 389)}
+    assert sigtree.ngram_jaccard_join(frame(spark, rows).where("false")).count() == 0
+    d = frame(spark, rows[:3]).selectExpr("doc_id as `a.id`", "text as `a.text`", "1 as id", "'t' as text", "2 as h1", "3 as token", "4 as component", "5 as n", "6 as class_id", "7 as part")
+    assert classes(sigtree.ngram_jaccard_join(d, id_col="a.id", text_col="a.text")) == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
+    kept = sigtree.keep_one(d, id_col="a.id", text_col="a.text")
+    assert kept.columns == d.columns and sorted(r[0] for r in kept.collect()) == [1, 3]
 
 
 def test_keep_one(spark):
@@ -98,9 +171,24 @@ def test_keep_one(spark):
 
 def test_same_id_rows_are_one_document(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (3, "q r s t"), (1, "q r s t")]
-    got = {(r["doc_a"], r["doc_b"]) for r in sigtree.ngram_jaccard_join(frame(spark, rows)).collect()}
-    assert got in ({(1, 2)}, {(1, 3)})  # of the two sets of document 1 that of least hash counts
-    assert sigtree.keep_one(frame(spark, rows)).count() == 4
+    by_hash = {int(np.add.reduce(sigtree.gram_sets([t], 3)[0]).astype(np.int64)): t for t in ("a b c d", "q r s t")}
+    with_ = 2 if by_hash[min(by_hash)] == "a b c d" else 3  # of the two sets of document 1 that of least hash counts
+    want = {1: (1, 1), 2: (2, 0), 3: (3, 0)} | {with_: (1, 1)}
+    assert classes(sigtree.ngram_jaccard_join(frame(spark, rows))) == want
+    near = [(1, "a b c d e f g h i"), (1, "a b c d e f g h i"), (2, "a b c d e f g h j")]
+    assert classes(sigtree.ngram_jaccard_join(frame(spark, near))) == {1: (1, 1), 2: (1, 1)}
+    assert sigtree.keep_one(frame(spark, rows)).count() == 4 if with_ == 2 else 5
+
+
+def test_joined_labels():
+    rng = np.random.RandomState(1)
+    for _ in range(20):
+        i, j = rng.randint(0, 60, 40), rng.randint(0, 60, 40)
+        got, want = join_labels(np.arange(60), i, j), np.arange(60)
+        for _ in range(60):
+            np.minimum.at(want, i, want[j])
+            np.minimum.at(want, j, want[i])
+        assert np.array_equal(got, want)
 
 
 def test_components(spark):
