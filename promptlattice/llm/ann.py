@@ -5,9 +5,11 @@ A kd-tree indexes the projections. A query takes its neighbours in order of proj
 chi-square of (next projected squared distance / squared distance of the k-th best) reaches P: any point not seen yet that is
 better than the k-th best would have been seen by then with probability P.
 
+Equal vectors are searched as one, which carries the k + 1 least of their ids: so a vector that very many records have is no task of its own.
+
 At scale the top of the kd-tree is the partitioning: its cells, of about CELL vectors, are tasks. A first round searches each query's own cell, and so bounds its
-k-th distance; the second sends queries on, a leaf of them at a time, only to cells whose box in the projections passes the same test.
-Each side of a task stays an array, so verification is matrix products over the queries of one leaf and the points of another.
+k-th distance; the second sends queries on, a leaf of them at a time, only to cells whose box in the projections passes the same test. A cell that many queries
+ask is several tasks, so many as its queries need. Each side of a task stays an array, so verification is matrix products over the queries of one leaf and the points of another.
 """
 
 from __future__ import annotations
@@ -18,18 +20,20 @@ from math import ceil, exp, lgamma, log
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
 
 K, M, P, SEED = 10, 12, 0.97, 29
-CELL, LEAF = 8192, 256
-#: Sampled projections for each cell, from which the cells' boundaries are set. Any boundaries give the same neighbours' guarantee.
-SAMPLES_EACH = 64
+#: Vectors in a cell, and in a leaf; beyond MOST_CELLS cells grow, so the boxes that are broadcast are 13 MB at most. Queries of a task.
+CELL, LEAF, MOST_CELLS, ASKERS = 8192, 256, 65536, 4096
+#: Sampled projections for each cell, and in all, from which the cells' boundaries are set. Any boundaries give the same neighbours' guarantee.
+SAMPLES_EACH, SAMPLES = 64, 400_000
 #: Squared distances are compared and reported rounded to so many places; of equal ones the least id comes first.
 PLACES = 6
-BROADCAST_ROWS = 200_000
+#: The query asks for the vectors whose id this divides, among all.
+EVERY = 20
 
 
 def chi_square(x: float, m: int) -> float:
@@ -201,6 +205,8 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
 
 
 def _locator(shared, width: int, m: int, seed: int):
+    """(id, v, asks) with their projections and cells."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = projection(width, m, seed)
         for batch in batches:
@@ -208,18 +214,18 @@ def _locator(shared, width: int, m: int, seed: int):
             p = x @ g
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * m, pa.int32()), pa.array(p.ravel()))
             cell = locate(p, shared.value) if shared is not None else np.zeros(len(p), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(cell)], names=["id", "v", "p", "cell"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(cell)], names=["id", "v", "asks", "p", "cell"])
 
     return run
 
 
-def _own(width: int, m: int, seed: int, k: int, limit: float, leaf: int):
-    """A cell's queries against the cell itself: (cell, group, query, neighbour, d2); a query with nothing found has one row of null neighbour."""
+def _own(width: int, m: int, seed: int, k: int, limit: float):
+    """A cell's queries against the cell itself."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x, ids = _matrix(frame["v"], width), frame["id"].to_numpy()
-        q, n, d2 = search(x, ids, x, ids, projection(width, m, seed), k, limit)
-        return pd.DataFrame({"cell": frame["cell"].iloc[0], "query": ids[q], "neighbour": n, "d2": d2})
+        x, ids, asks = _matrix(frame["v"], width), frame["id"].to_numpy(), np.flatnonzero(frame["asks"].to_numpy())
+        q, n, d2 = search(x[asks], ids[asks], x, ids, projection(width, m, seed), k, limit)
+        return pd.DataFrame({"query": ids[asks][q], "neighbour": n, "d2": d2})
 
     return run
 
@@ -242,9 +248,10 @@ def _sender(shared, width: int, m: int, seed: int, limit: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, (low, high) = projection(width, m, seed), shared.value
+        step = max(1, 8_000_000 // max(1, len(low)))
         for whole in batches:
-            for s in range(0, whole.num_rows, 1024):
-                batch = whole.slice(s, 1024)
+            for s in range(0, whole.num_rows, min(1024, step)):
+                batch = whole.slice(s, min(1024, step))
                 x = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
                 near = box_distance2(x @ g, low, high)
                 near[np.arange(len(x)), batch.column(1).to_numpy()] = np.inf
@@ -256,48 +263,68 @@ def _sender(shared, width: int, m: int, seed: int, limit: float):
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = K, m: int = M, p: float = P, cell: int = CELL, seed: int = SEED, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query, neighbour, rank, distance): for each record its k nearest others by Euclidean distance, rank from 1; fewer where there are fewer others.
-
-    Null ids, null and empty vectors, vectors with null, NaN or infinite entries, and vectors not of the most common length neither ask nor answer. Rows that share an id are one
-    record: it takes the nearest over its rows, and is never its own neighbour. Of equal distances (rounded to PLACES of their square) the least id comes first.
-    Zero vectors are vectors. Other columns are ignored, whatever their names. A table of one record gives no rows."""
-    spark = vectors.sparkSession
-    d = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
-    d = d.where("id is not null and v is not null and size(v) > 0 and not exists(v, e -> e is null or isnan(e) or abs(e) = double('inf'))")
-    row = d.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    if row is None:
-        return spark.createDataFrame([], "query long, neighbour long, rank int, distance double")
-    width, total = int(row["w"]), int(row["count"])
-    d = d.where(F.size("v") == width)
+def _nearest(points: DataFrame, width: int, k: int, m: int, p: float, cell: int, seed: int) -> DataFrame:
+    """(query, neighbour, d2) of points (id, v, asks), no two of them equal: the k nearest others of each that asks, and perhaps more."""
+    spark = points.sparkSession
+    total = points.count()
     limit = chi_square_quantile(p, m)
-    schema = "id long, v array<double>, p array<double>, cell long"
+    schema = "id long, v array<double>, asks boolean, p array<double>, cell long"
     shared = None
-    cells = max(1, ceil(total / cell))
+    cells = min(MOST_CELLS, max(1, ceil(total / cell)))
     if cells > 1:
-        share = min(1.0, cells * SAMPLES_EACH / total)
-        some = d.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(ceil(share * (1 << 30)))).mapInArrow(_locator(None, width, m, seed), schema).select("p").collect()
+        share = min(1.0, min(SAMPLES, cells * SAMPLES_EACH) / total)
+        some = points.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(ceil(share * (1 << 30)))).mapInArrow(_locator(None, width, m, seed), schema).select("p").collect()
         if some:
             shared = spark.sparkContext.broadcast(build_cells(np.array([r["p"] for r in some]), cells))
-    placed = materialise(d.mapInArrow(_locator(shared, width, m, seed), schema), "placed")
-    flat = "cell long, query long, neighbour long, d2 double"
-    own = materialise(placed.select("cell", "id", "v").groupBy("cell").applyInPandas(_own(width, m, seed, k, limit, LEAF), flat), "own")
-    result = own.select("query", "neighbour", "d2")
-    if shared is not None:
-        axes = [f(F.col("p")[i]).alias(f"{n}{i}") for i in range(m) for n, f in (("low", F.min), ("high", F.max))]
-        boxes = placed.groupBy("cell").agg(*axes).collect()  # one row a cell
-        count = max(b["cell"] for b in boxes) + 1
-        low, high = np.full((count, m), np.inf), np.full((count, m), np.inf)
-        for b in boxes:
-            low[b["cell"]], high[b["cell"]] = [b[f"low{i}"] for i in range(m)], [b[f"high{i}"] for i in range(m)]
-        bound = own.groupBy("query").agg(F.count_distinct("neighbour").alias("n"), F.max("d2").alias("worst")).select(F.col("query").alias("id"), F.when(F.col("n") >= k, F.col("worst")).alias("bound"))
-        asking = placed.select("id", "cell", "v").join(bound, "id", "left").select("id", "cell", F.coalesce("bound", F.lit(float("inf"))).alias("bound"), "v")
-        sent = asking.mapInArrow(_sender(spark.sparkContext.broadcast((low, high)), width, m, seed, limit), "id long, cell long, bound double, v array<double>")
-        # a cell that many ask is several tasks, each with the cell's points and a part of the askers
-        sent = sent.select("cell", F.pmod(F.xxhash64("id"), F.lit(max(1, cells // 4))).alias("part"), F.lit(1).alias("side"), "id", "bound", "v")
-        points = placed.select("cell", F.explode(F.sequence(F.lit(0), F.lit(max(1, cells // 4) - 1))).alias("part"), F.lit(0).alias("side"), "id", F.lit(0.0).alias("bound"), "v")
-        far = sent.unionByName(points.withColumn("part", F.col("part").cast("long"))).groupBy("cell", "part").applyInPandas(_cross(width, m, seed, k, limit), "query long, neighbour long, d2 double")
-        result = result.unionByName(far)
-    best = result.groupBy("query", "neighbour").agg(F.min("d2").alias("d2"))
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("d2", "neighbour"))).where(F.col("rank") <= k)
-    return ranked.select("query", "neighbour", "rank", F.sqrt("d2").alias("distance"))
+    placed = materialise(points.mapInArrow(_locator(shared, width, m, seed), schema), "placed")
+    found = "query long, neighbour long, d2 double"
+    own = materialise(placed.select("cell", "id", "v", "asks").groupBy("cell").applyInPandas(_own(width, m, seed, k, limit), found), "own")
+    if shared is None:
+        return own
+    axes = [f(F.col("p")[i]).alias(f"{n}{i}") for i in range(m) for n, f in (("low", F.min), ("high", F.max))]
+    boxes = placed.groupBy("cell").agg(*axes).collect()  # a row a cell
+    count = max(b["cell"] for b in boxes) + 1
+    low, high = np.full((count, m), np.inf), np.full((count, m), np.inf)
+    for b in boxes:
+        low[b["cell"]], high[b["cell"]] = [b[f"low{i}"] for i in range(m)], [b[f"high{i}"] for i in range(m)]
+    bound = own.groupBy("query").agg(F.count("*").alias("n"), F.max("d2").alias("worst")).select(F.col("query").alias("id"), F.when(F.col("n") >= k, F.col("worst")).alias("bound"))
+    asking = placed.where("asks").select("id", "cell", "v").join(bound, "id", "left").select("id", "cell", F.coalesce("bound", F.lit(float("inf"))).alias("bound"), "v")
+    sent = materialise(asking.mapInArrow(_sender(spark.sparkContext.broadcast((low, high)), width, m, seed, limit), "id long, cell long, bound double, v array<double>"), "sent")
+    asked = F.broadcast(sent.groupBy("cell").agg(F.ceil(F.count("*") / ASKERS).alias("parts")))  # a row a cell
+    queries = sent.join(asked, "cell").select("cell", F.pmod(F.xxhash64("id"), "parts").alias("part"), F.lit(1).alias("side"), "id", "bound", "v")
+    copies = placed.join(asked, "cell").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "id", F.lit(0.0).alias("bound"), "v")
+    return own.unionByName(queries.unionByName(copies).groupBy("cell", "part").applyInPandas(_cross(width, m, seed, k, limit), found))
+
+
+def neighbours(vectors: DataFrame, k: int = K, m: int = M, p: float = P, cell: int = CELL, seed: int = SEED, id_col: str = "vec_id", vector_col: str = "embedding", ask: Column | None = None) -> DataFrame:
+    """(query, neighbour, rank, distance): for each record that asks, by a condition on vectors' columns (all without one), its k nearest others by Euclidean distance, rank from 1; fewer where there are fewer others.
+
+    Null ids, null and empty vectors, and vectors with null, NaN or infinite entries neither ask nor answer. Vectors of different lengths are not each other's neighbours. Rows that share an id are one
+    record, that of the least vector, which asks if any of its rows does, and is never its own neighbour. Of equal distances (rounded to PLACES of their square) the least id comes first.
+    Zero vectors are vectors. Ids are whole numbers, or strings of them (others raise). Other columns are ignored, whatever their names. A table of one record gives no rows."""
+    d = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"), F.coalesce(F.lit(True) if ask is None else ask, F.lit(False)).alias("asks"))
+    d = d.where("id is not null and v is not null and size(v) > 0 and not exists(v, e -> e is null or isnan(e) or abs(e) = double('inf'))")
+    d = materialise(d.groupBy("id").agg(F.min("v").alias("v"), F.max("asks").alias("asks")).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(7), "v")}), "records")
+    groups = d.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("asks").alias("asks"))
+    # the k + 1 least ids of each vector: the limit on ranks is applied before the shuffle too
+    few = d.select("h1", "h2", "id").withColumn("nth", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))).where(F.col("nth") <= k + 1)
+    ids = materialise(few.join(groups.select("h1", "h2", "rep"), ["h1", "h2"]).select("rep", "id"), "ids")
+    near = groups.where("asks").select(F.col("rep").alias("query"), F.col("rep").alias("neighbour"), F.lit(0.0).alias("d2"))
+    for w in sorted(r["w"] for r in d.select(F.size("v").alias("w")).distinct().collect()):
+        points = d.where(F.size("v") == w).select("id", "v").join(groups.select(F.col("rep").alias("id"), "asks"), "id")
+        near = near.unionByName(_nearest(points, w, k, m, p, cell, seed))
+    ranked = near.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy("d2", "neighbour"))).where(F.col("nth") <= k + 1)
+    each = ranked.select("query", "d2", F.col("neighbour").alias("rep")).join(ids, "rep").withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy("d2", "id"))).where(F.col("nth") <= k + 1)
+    lists = each.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("d2", "id"))).alias("list"))
+    asking = d.where("asks").select("h1", "h2", "id").join(groups.select("h1", "h2", F.col("rep").alias("query")), ["h1", "h2"]).select("query", F.col("id").alias("asker"))
+    others = asking.join(lists, "query").select("asker", F.slice(F.filter("list", lambda e: e["id"] != F.col("asker")), 1, k).alias("list"))
+    return others.select(F.col("asker").alias("query"), F.posexplode("list").alias("at", "e")).select("query", F.col("e.id").alias("neighbour"), (F.col("at") + 1).cast("int").alias("rank"), F.sqrt("e.d2").alias("distance"))
+
+
+def sql_neighbours(k: int = K, every: int = EVERY) -> str:
+    """The true neighbours in embeddings of the vectors whose id is divisible by every."""
+    return f"""
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+d AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, round(list_distance(a.v, b.v) ** 2, {PLACES}) AS d2 FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % {every} = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d2, neighbour) AS rank FROM d)
+SELECT query, neighbour, rank::INTEGER AS rank, sqrt(d2) AS distance FROM r WHERE rank <= {k}"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import ann, bpe, chat, covertree, crf, mixing, sharding, sigtree, toxicity, warc
 
@@ -67,7 +68,8 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.neighbours(_table(spark, sf_dir, "embeddings"))
+    """The nearest neighbours, among all vectors, of those whose id is divisible by EVERY."""
+    return ann.neighbours(_table(spark, sf_dir, "embeddings"), ask=F.col("vec_id") % ann.EVERY == 0)
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op2_embedding_near_dedup": covertree.sql_near_duplicates(),
+    "op9_nearest_neighbours": ann.sql_neighbours(),
     "near_vectors_loose": covertree.sql_near_duplicates(LOOSE),
     "op3_warc_reader": "SELECT page_id, url, html, octet_length(encode(html))::BIGINT AS n_bytes FROM pages",
     "op10_source_mixing": mixing.sql_mix(),
