@@ -35,8 +35,8 @@ def near_vectors_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages, written as archives and read back in byte ranges."""
-    return warc.round_trip(_table(spark, sf_dir, "pages"))
+    """All pages, written as archives and read back in byte ranges, several a file."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"), 1 << 20)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ gzip's magic bytes, takes a place as a member only if the member's header and th
 records that start within its range, whose bytes it reads beyond the range's end as far as they go. From one record on, the next starts where the
 member ended, so scanning happens only at a range's start and after damage. Every record is thus read once, whatever the size of the ranges.
 
-A candidate counts only if its whole member passes its checksum and is followed by the file's end, or by another gzip header: so bytes of a payload that happen to look
-like a member are passed over. Damaged members are skipped, and reading goes on at the next one.
+A member counts only if the whole of it passes its checksum. One that begins where the member before ended is taken as it is. One that was found by scanning must also be followed by the
+file's end, by padding or by another gzip header, as bytes of a stored payload may look like a whole member; if it is not, members further back are read up to its place, which tells
+a record before damage from a part of a payload. Damaged members are skipped, and reading goes on at the next one.
 
 Files are read through Arrow's file systems, so a path may be local or any URI these know.
 """
@@ -43,38 +44,48 @@ class _Window:
     """Bytes of a file from a moving start, read as they are needed."""
 
     def __init__(self, file, at: int, size: int):
-        self.file, self.at, self.size, self.data = file, at, size, b""
+        self.file, self.at, self.size, self.data, self.base = file, at, size, b"", 0
         file.seek(at)
 
-    def fill(self, n: int) -> bytes:
-        """At least n bytes from the start on, or all to the file's end."""
-        while len(self.data) < n and self.at + len(self.data) < self.size:
-            got = self.file.read(max(READ, n - len(self.data)))
+    def peek(self, a: int, b: int) -> memoryview:
+        """Bytes a to b from the start on, or those up to the file's end."""
+        while (have := len(self.data) - self.base) < b and self.at + have < self.size:
+            got = self.file.read(max(READ, b - have, have))  # as much as there is again, so that long members are copied few times
             if not got:
                 break
-            self.data += got
-        return self.data
+            self.data, self.base = self.data[self.base :] + got, 0
+        return memoryview(self.data)[self.base + a : self.base + b]
+
+    def seek(self) -> bool:
+        """Moves on to the next place that has the magic bytes, the present one included; False if there is none."""
+        while data := self.peek(0, READ):
+            at = self.data.find(MAGIC, self.base)
+            if at >= 0:
+                self.drop(at - self.base)
+                return True
+            self.drop(max(1, len(data) - 2))
+        return False
 
     def drop(self, n: int) -> None:
-        self.data = self.data[n:]
+        self.base += n
         self.at += n
 
 
-def _looks_right(head: bytes) -> bool:
+def _looks_right(head: bytes | memoryview) -> bool:
     """A gzip header: magic, deflate, no reserved flags."""
     return len(head) >= 10 and head[:3] == MAGIC and not head[3] & 0xE0
 
 
 def _starts_record(window: _Window) -> bool:
     """Whether a member begins here whose content begins as an archive record."""
-    if not _looks_right(window.fill(10)):
+    if not _looks_right(window.peek(0, 10)):
         return False
     z = zlib.decompressobj(31)
     head, used, step = b"", 0, 4096
     try:
         # a gzip header's extra field and name may be longer than the first step
         while len(head) < 5 and not z.eof:
-            piece = window.fill(used + step)[used : used + step]
+            piece = window.peek(used, used + step)
             if not piece:
                 break
             head += z.decompress(piece, 16)
@@ -85,23 +96,61 @@ def _starts_record(window: _Window) -> bool:
 
 
 def _member(window: _Window) -> tuple[bytes, int] | None:
-    """(content, compressed bytes) of the member that begins here, checksum and all; None if it is damaged, or neither the end nor a gzip header follows."""
+    """(content, compressed bytes) of the member that begins here, checksum and all; None if it is damaged."""
     z = zlib.decompressobj(31)
-    out, used = [], 0
+    out, used, step = [], 0, 16384
     try:
         while not z.eof:
-            piece = window.fill(used + READ)[used : used + READ]
+            piece = window.peek(used, used + step)
             if not piece:
                 return None
             out.append(z.decompress(piece))
-            used += len(piece)
+            used, step = used + len(piece), min(READ, 4 * step)
     except zlib.error:
         return None
-    used -= len(z.unused_data)
-    rest = window.fill(used + 10)[used : used + 10]
-    if rest and not _looks_right(rest) and rest.strip(b"\0"):
-        return None
-    return b"".join(out), used
+    return b"".join(out), used - len(z.unused_data)
+
+
+def _followed(window: _Window, used: int) -> bool:
+    """Whether the file's end, padding or a gzip header comes after so many bytes."""
+    rest = window.peek(used, used + 10)
+    return not rest or _looks_right(rest) or not bytes(rest).strip(b"\0")
+
+
+def _in_row(fs: pafs.FileSystem, where: str, size: int, at: int) -> bool:
+    """Whether a whole member at this place, which nothing follows as it should, is a record: members from further back on, one after another, tell, as they meet its place or
+    pass over it. If damage stands between, or nothing else does before it, it is one."""
+    back = READ
+    while True:
+        start = max(0, at - back)
+        with fs.open_input_file(where) as file:
+            window = _Window(file, start, size)
+            row, seen = start == 0, False
+            for place, got in _members(window, at, row):
+                row = window.at == place and got is not None
+                seen = seen or row
+            if row and window.at >= at:
+                return window.at == at
+        if seen or start == 0:
+            return True
+        back *= 4
+
+
+def _members(window: _Window, end: int, row: bool, sure=lambda: False) -> Iterator[tuple[int, tuple[bytes, int] | None]]:
+    """(place after it, the member) of each record's member that begins before end, and (_, None) for each place that has none. row says that a member begins where the window does; sure()
+    is asked about members that were found by scanning and that nothing follows as it should."""
+    while window.at < end:
+        place = window.at
+        if not window.seek():
+            return
+        row = row and window.at == place
+        if window.at >= end:
+            return
+        got = _member(window) if _starts_record(window) else None
+        row = got is not None and (row or _followed(window, got[1]) or sure())
+        at = window.at
+        window.drop(got[1] if row else 1)
+        yield (window.at, got) if row else (at, None)
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -130,23 +179,10 @@ def records_in(path: str, begin: int, end: int) -> Iterator[tuple[int, dict[str,
     size = fs.get_file_info(where).size or 0
     with fs.open_input_file(where) as file:
         window = _Window(file, begin, size)
-        while window.at < end:
-            data = window.fill(READ)
-            if not data:
-                return
-            at = data.find(MAGIC)
-            if at < 0:
-                window.drop(max(1, len(data) - 2))
-                continue
-            window.drop(at)
-            if window.at >= end:
-                return
-            if _starts_record(window) and (got := _member(window)):
-                for headers, block in parse(got[0]):
-                    yield window.at, headers, block
-                window.drop(got[1])
-            else:
-                window.drop(1)
+        for after, member in _members(window, end, begin == 0, lambda: _in_row(fs, where, size, window.at)):
+            if member is not None:
+                for headers, block in parse(member[0]):
+                    yield after - member[1], headers, block
 
 
 _OUT = "path string, offset long, type string, record_id string, uri string, date string, headers map<string,string>, block binary"

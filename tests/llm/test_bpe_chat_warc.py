@@ -195,3 +195,32 @@ def test_every_split_owns_its_records_once(tmp_path):
     for size in (97, 500, 3000):
         cut = [r for lo in range(0, len(data), size) for r in ((o, h.get("warc-type"), b) for o, h, b in warc.records_in(path, lo, min(len(data), lo + size)))]
         assert cut == whole
+
+
+def test_records_beside_damage_come_back(tmp_path):
+    rng = random.Random(5)
+    members = [warc.encode_record(i, f"u{i}", rng.randbytes(300).hex()) for i in range(5)]
+    path = str(tmp_path / "f.warc.gz")
+    broken = bytearray(members[2])
+    broken[0] = 0  # no magic
+    late = bytearray(members[2])
+    late[-30] ^= 0xFF  # the checksum fails
+    for third in (broken, late, members[2][:100]):
+        data = b"".join([*members[:2], bytes(third), *members[3:]])
+        with open(path, "wb") as f:
+            f.write(data)
+        for size in (50, 333, 1000, len(data)):
+            got = [h["warc-target-uri"] for lo in range(0, len(data), size) for _, h, _ in warc.records_in(path, lo, min(len(data), lo + size))]
+            assert got == ["u0", "u1", "u3", "u4"], (size, got)
+
+
+def test_long_members_are_read_in_ranges(tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "READ", 1000)
+    rng = random.Random(8)
+    members = [warc.encode_record(i, f"u{i}", rng.randbytes(n).hex()) for i, n in enumerate((10, 50_000, 3, 200_000, 20))]
+    path = str(tmp_path / "f.warc.gz")
+    with open(path, "wb") as f:
+        f.write(b"".join(members))
+    total = sum(map(len, members))
+    for size in (700, 40_000, total):
+        assert [h["warc-target-uri"] for lo in range(0, total, size) for _, h, _ in warc.records_in(path, lo, min(total, lo + size))] == [f"u{i}" for i in range(5)]
