@@ -7,7 +7,7 @@ Documents become sets of hashed word n-grams (lower case, words as Python's \\w+
    shares fewer than the threshold needs (a share t of its own) has no partner, whatever the others are, and goes: most documents do.
 3. The rest are parted. Of two documents at the threshold, each has a common n-gram among its first size - need + 1 in any order that all documents use; the order here is rarest first
    (prefix filtering). So documents that have no such n-gram in common, directly or through others, need not meet: the components of that graph become the tasks.
-   Only n-grams' hashes travel so far, four bytes each, with a document's hash for each run of them.
+   Only n-grams' hashes travel so far, with their document's number in its batch: six bytes each. Hashes that are cut so far may meet by chance, which only brings documents together.
 4. In each component a signature tree is built: leaves hold documents of similar size, a node holds the OR of the n-gram bitmaps
    below it, their size range and the most bit collisions of a document below it. The dual traversal descends from the pair
    (root, root) and drops a node pair as soon as its size ranges are too far apart or its greatest possible overlap,
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,95 +61,95 @@ def gram_sets(texts: list[str], n: int) -> list[np.ndarray]:
     return out
 
 
-_SENT = pa.schema([("part", pa.int32()), ("range", pa.int32()), ("id", pa.int64()), ("size", pa.int64()), ("need", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("tokens", pa.binary()), ("docs", pa.binary()), ("runs", pa.binary()), ("times", pa.binary())])
-_SENT_SQL = "part int, range int, id long, size long, need long, h1 long, h2 long, tokens binary, docs binary, runs binary, times binary"
+_SENT = pa.schema([("part", pa.int32()), ("range", pa.int32()), ("batch", pa.int64()), ("tokens", pa.binary()), ("docs", pa.binary()), ("times", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("hashes", pa.binary())])
+_SENT_SQL = "part int, range int, batch long, tokens binary, docs binary, times binary, ids binary, sizes binary, hashes binary"
 
 
-def _rows(n: int, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns.get(f.name), pa.Array) else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _SENT], schema=_SENT)
+def _rows(**columns: list) -> pa.RecordBatch:
+    n = len(columns["part"])
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _SENT], schema=_SENT)
 
 
-def _packed(at: np.ndarray, doc: np.ndarray, hashes: np.ndarray, **values: np.ndarray) -> dict[str, list]:
-    """Entries in order of at (where they go) and doc, as a row for each at: the documents' hashes once a run, and each value's bytes."""
-    turn = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
-    run = np.diff(np.append(turn, len(at))).astype(np.uint32)
-    own = hashes[doc[turn]]
-    edge = np.flatnonzero(np.diff(at[turn], prepend=-1))  # the first run of each place
-    stop = np.append(edge[1:], len(turn))
-    lo, hi = turn[edge], np.append(turn, len(at))[stop]
-    return {"at": at[lo], "docs": [own[a:b].tobytes() for a, b in zip(edge, stop)], "runs": [run[a:b].tobytes() for a, b in zip(edge, stop)], **{k: [v[a:b].tobytes() for a, b in zip(lo, hi)] for k, v in values.items()}}
+def _home(batch: int, parts: int) -> int:
+    """Where a batch's documents are put together again."""
+    return ((batch >> 24) * 7919 + (batch & 0xFFFFFF)) % parts
 
 
-def _spread(n: int, parts: int, threshold: float):
-    """(id, text) -> a row a document, and rows of n-grams by range: a range is a slice of the hashes' values, of which the lower half is kept."""
+def _spread(n: int, parts: int):
+    """(id, text) -> batches of documents: a row of a batch's ids, sizes and set hashes, and a row for each range of its n-grams' hashes: their lower halves, and each one's document in the batch."""
 
-    def send(ids: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def send(batch: int, ids: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         size = np.array([len(s) for s in sets])
         starts = np.cumsum(size) - size
-        token, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        token, doc = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), size)
         h1, h2 = np.add.reduceat(token, starts), np.bitwise_xor.reduceat(mix64(token + U64(1)), starts)
-        low = token & U64(0xFFFFFFFF)
-        # n-grams of a document that may become one when their hashes are cut lower what it needs: so nothing is lost by cutting
-        twice = np.sort(doc.astype(U64) << U64(32) | low)
-        merged = np.bincount((twice[1:][twice[1:] == twice[:-1]] >> U64(32)).astype(np.int64), minlength=len(sets))
-        need = np.ceil(threshold * size - 1e-9).astype(np.int64) - merged
-        yield _rows(len(sets), part=(h1 % U64(parts)).astype(np.int32), id=np.array(ids), size=size, need=need, h1=h1.view(np.int64), h2=h2.view(np.int64))
+        yield _rows(part=[_home(batch, parts)], batch=[batch], ids=[np.array(ids, dtype=np.int64).tobytes()], sizes=[size.tobytes()], hashes=[np.concatenate([h1, h2]).tobytes()])
         at = ((token >> U64(32)) * U64(parts) >> U64(32)).astype(np.uint16)
         by = np.argsort(at, kind="stable")
-        rows = _packed(at[by].astype(np.int64), doc[by], h1, tokens=low[by].astype(np.uint32))
-        to = rows.pop("at").astype(np.int32)
-        yield _rows(len(to), part=to, range=to, **rows)
+        at, low, doc = at[by], token[by].astype(np.uint32), doc[by]
+        edge = np.append(np.flatnonzero(np.diff(at, prepend=at[:1] ^ np.uint16(1))), len(at))
+        to = at[edge[:-1]].astype(np.int32)
+        yield _rows(part=to, range=to, batch=[batch] * len(to), tokens=[low[a:b].tobytes() for a, b in zip(edge, edge[1:])], docs=[doc[a:b].tobytes() for a, b in zip(edge, edge[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
+        task = TaskContext.get()
+        batch = (task.partitionId() if task else 0) << 24  # the same numbers if the task runs again
         ids, sets, held = [], [], 0
-        for batch in batches:
-            for part, texts in text_parts(batch, 1):
+        for whole in batches:
+            for part, texts in text_parts(whole, 1):
                 for i, s in zip(part.column(0).to_pylist(), gram_sets(texts, n)):
                     if len(s):
                         ids.append(i), sets.append(s)
                         held += len(s)
-                if held > GROUP:
-                    yield from send(ids, sets)
-                    ids, sets, held = [], [], 0
+                        if held > GROUP or len(ids) > 60_000:
+                            yield from send(batch, ids, sets)
+                            batch, ids, sets, held = batch + 1, [], [], 0
         if sets:
-            yield from send(ids, sets)
+            yield from send(batch, ids, sets)
 
     return run
 
 
-def _unpacked(rows: list[dict], column: str, kind) -> np.ndarray:
+def _joined(rows: list[dict], column: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(r[column] for r in rows), dtype=kind)
 
 
+def _parted(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[pa.RecordBatch, list[dict]]]:
+    """(rows of documents, rows of n-grams) of each batch."""
+    for batch in batches:
+        some = batch.column(3).is_valid()
+        yield batch.filter(batch.column(3).is_null()), batch.filter(some).select(columns).to_pylist()
+
+
 def _shared(parts: int):
-    """Rows of n-grams by range -> the n-grams that several documents have, with the number of these, by document. Rows of documents go on as they are. Copies count once."""
+    """Rows of n-grams by range -> rows of those that are there more than once, and how often. Rows of documents go on as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list[dict]] = defaultdict(list)
-        for batch in batches:
-            yield batch.filter(batch.column(7).is_null())
-            for r in batch.filter(batch.column(7).is_valid()).select(["range", "tokens", "docs", "runs"]).to_pylist():
+        for docs, grams in _parted(batches, ["range", "batch", "tokens", "docs"]):
+            yield docs
+            for r in grams:
                 by[r["range"]].append(r)
         for at, rows in by.items():
-            hashes, which = np.unique(_unpacked(rows, "docs", U64), return_inverse=True)
-            entry = np.sort(_unpacked(rows, "tokens", np.uint32).astype(U64) << U64(32) | np.repeat(which, _unpacked(rows, "runs", np.uint32)).astype(U64))
-            entry = entry[np.diff(entry, prepend=entry[:1] ^ U64(1)) != 0]
-            token = (entry >> U64(32)).astype(np.uint32)
-            first = np.flatnonzero(np.diff(token, prepend=token[:1] ^ np.uint32(1)))
-            count = np.diff(np.append(first, len(token)))
-            times = np.repeat(count, count)
-            several = times > 1
-            if not several.any():
-                continue
-            token, doc, times = token[several], (entry[several] & U64(0xFFFFFFFF)).astype(np.int64), times[several]
+            token, doc = _joined(rows, "tokens", np.uint32), _joined(rows, "docs", np.uint16)
+            entry = np.sort(token.astype(U64) << U64(32) | np.arange(len(token), dtype=U64))
+            place, entry = (entry & U64(0xFFFFFFFF)).astype(np.int64), (entry >> U64(32)).astype(np.uint32)
+            first = np.flatnonzero(np.diff(entry, prepend=entry[:1] ^ np.uint32(1)))
+            count = np.diff(np.append(first, len(entry)))
             # a byte that keeps the order: counts as they are, from 128 on by steps of their logarithm
-            times = np.where(times < 128, times, np.minimum(255, 128 + 8 * np.log2(np.maximum(times, 128) / 128))).astype(np.uint8)
-            to = (hashes[doc] % U64(parts)).astype(np.int64)
-            by_doc = np.argsort(to * len(hashes) + doc, kind="stable")
-            packed = _packed(to[by_doc], doc[by_doc], hashes, tokens=token[by_doc], times=times[by_doc])
-            to = packed.pop("at").astype(np.int32)
-            yield _rows(len(to), part=to, range=np.full(len(to), at, dtype=np.int32), **packed)
+            byte = np.where(count < 128, count, np.minimum(255, 128 + 8 * np.log2(np.maximum(count, 128) / 128))).astype(np.uint8)
+            times = np.empty(len(token), dtype=np.uint8)
+            times[place] = np.repeat(byte, count)
+            edge = np.cumsum([0] + [len(r["docs"]) // 2 for r in rows])
+            out = defaultdict(list)
+            for r, a, b in zip(rows, edge, edge[1:]):
+                several = times[a:b] > 1
+                if several.any():
+                    for name, value in (("part", _home(r["batch"], parts)), ("range", at), ("batch", r["batch"]), ("tokens", token[a:b][several].tobytes()), ("docs", doc[a:b][several].tobytes()), ("times", times[a:b][several].tobytes())):
+                        out[name].append(value)
+            if out:
+                yield _rows(**out)
 
     return run
 
@@ -156,37 +157,32 @@ def _shared(parts: int):
 _ROUTE = pa.schema([("id", pa.int64()), ("size", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("token", pa.int64())])
 
 
-def _prefixes():
+def _prefixes(threshold: float):
     """(id, size, h1, h2) of each document, and (h1, token) for each n-gram by which a document that may have partners meets them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, h, need = [], [], []
-        for batch in batches:
-            docs = batch.filter(batch.column(7).is_null())
-            if docs.num_rows:
-                yield pa.RecordBatch.from_arrays([*docs.select(["id", "size", "h1", "h2"]).columns, pa.nulls(docs.num_rows, pa.int64())], schema=_ROUTE)
-                h.append(docs.column(5).to_numpy().view(U64)), need.append(docs.column(4).to_numpy())
-            rows += batch.filter(batch.column(7).is_valid()).select(["range", "tokens", "docs", "runs", "times"]).to_pylist()
-        if not rows:
-            return
-        hashes, at = np.unique(np.concatenate(h), return_inverse=True)
-        least = np.full(len(hashes), np.iinfo(np.int64).max)
-        np.minimum.at(least, at, np.concatenate(need))
-        doc = np.repeat(np.searchsorted(hashes, _unpacked(rows, "docs", U64)), _unpacked(rows, "runs", np.uint32))
-        low, times = _unpacked(rows, "tokens", np.uint32), _unpacked(rows, "times", np.uint8)
-        token = np.repeat(np.array([r["range"] for r in rows], dtype=np.int64), [len(r["times"]) for r in rows]) << 32 | low
-        shared = np.bincount(doc, minlength=len(hashes))
-        maybe = (shared >= least)[doc]
-        doc, token, times = doc[maybe], token[maybe], times[maybe]
-        order = np.lexsort((token, times, doc))
-        doc, token = doc[order], token[order]
-        first = np.flatnonzero(np.diff(doc, prepend=-1))
-        place = np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc))))
-        head = place <= (shared - least)[doc]  # those that no other document has come before all these
-        for i in range(0, len(doc), 100_000):
-            k = np.flatnonzero(head[i : i + 100_000]) + i
-            none = pa.nulls(len(k), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(hashes[doc[k]].view(np.int64)), none, pa.array(token[k])], schema=_ROUTE)
+        docs, by = {}, defaultdict(list)
+        for known, grams in _parted(batches, ["range", "batch", "tokens", "docs", "times"]):
+            for r in known.select(["batch", "ids", "sizes", "hashes"]).to_pylist():
+                docs[r["batch"]] = [np.frombuffer(r[c], dtype=np.int64) for c in ("ids", "sizes", "hashes")]
+            for r in grams:
+                by[r["batch"]].append(r)
+        for batch, (ids, size, hashes) in docs.items():
+            h1, h2 = hashes.reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size), pa.array(h1), pa.array(h2), pa.nulls(len(ids), pa.int64())], schema=_ROUTE)
+            rows = by.pop(batch, [])
+            doc, times = _joined(rows, "docs", np.uint16).astype(np.int64), _joined(rows, "times", np.uint8)
+            token = np.repeat(np.array([r["range"] for r in rows], dtype=np.int64), [len(r["times"]) for r in rows]) << 32 | _joined(rows, "tokens", np.uint32)
+            spare = np.bincount(doc, minlength=len(ids)) - np.ceil(threshold * size - 1e-9).astype(np.int64)
+            maybe = spare[doc] >= 0
+            doc, token, times = doc[maybe], token[maybe], times[maybe]
+            order = np.lexsort((token, times, doc))
+            doc, token = doc[order], token[order]
+            first = np.flatnonzero(np.diff(doc, prepend=-1))
+            place = np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc))))
+            head = place <= spare[doc]  # the n-grams that no other document has come before all these
+            none = pa.nulls(int(head.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(h1[doc[head]]), none, pa.array(token[head])], schema=_ROUTE)
 
     return run
 
@@ -351,8 +347,8 @@ def _routed(docs: DataFrame, n: int, threshold: float, block: int, id_col: str,
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null and text is not null")
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(min(MOST_RANGES, max(1, size // RANGE_BYTES)))
-    sent = d.mapInArrow(_spread(n, parts, threshold), _SENT_SQL).repartitionById(parts, "part").mapInArrow(_shared(parts), _SENT_SQL).repartitionById(parts, "part")
-    route = materialise(sent.mapInArrow(_prefixes(), "id long, size long, h1 long, h2 long, token long"), "routes")
+    sent = d.mapInArrow(_spread(n, parts), _SENT_SQL).repartitionById(parts, "part").mapInArrow(_shared(parts), _SENT_SQL).repartitionById(parts, "part")
+    route = materialise(sent.mapInArrow(_prefixes(threshold), "id long, size long, h1 long, h2 long, token long"), "routes")
     own = route.where("token is null").groupBy("id").agg(F.min(F.struct("h1", "h2", "size")).alias("s")).select("id", "s.*")
     reps = materialise(own.groupBy("h1", "h2", "size").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "representatives")
     met = route.where("token is not null").select("token", "h1")
