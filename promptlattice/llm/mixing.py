@@ -1,8 +1,8 @@
 """Mixing sources to target weights.
 
-1. Packing. A document's tokens are what stands between single spaces, so joining them with spaces restores the text. Each source's documents, in order
-   of id, form one stream of tokens, which is cut into blocks of a fixed length; only a source's last block can be shorter.
-   Positions come from two levels of sums (chunks of ids, then documents within a chunk), so no task sees a whole source.
+1. Packing. A document's tokens are what stands between single spaces, so joining them with spaces restores the text (words, not a model's tokens: the lengths of blocks are in words). Each source's
+   documents, in order of a hash of id and text, form one stream of tokens, which is cut into blocks of a fixed length; only a source's last block can be shorter.
+   Positions come from three levels of sums (slices of the hash's values, finer slices, documents), so no task sees a whole source, whatever the ids are like.
 2. Drawing. Every slot of every output shard draws a source by a hash of (seed, shard, slot) against the cumulative target weights: the counts of a
    shard are multinomial, and any task can compute them. A slot's index among its source's slots is the sum of the counts
    in the shards before, plus its rank in its own.
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Mapping
-from math import ceil, sqrt
+from math import ceil, log2, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise, release, text_parts
 
-LENGTH, SLOTS, SEED, CHUNK, ROUNDS = 512, 256, 17, 1024, 24
+LENGTH, SLOTS, SEED, ROUNDS = 512, 256, 17, 24
+#: Documents in a fine slice, and bits of the number of coarse ones; shards in a coarse slice.
+CHUNK, TOP_BITS, SHARDS_EACH = 1024, 12, 4096
 #: Target weights are the sources' shares to this power, normalised: below 1 evens them out.
 POWER = 0.9
 NULL_SOURCE = "\\N"
@@ -73,21 +75,34 @@ def slots_enough(spark, blocks: Mapping[str, int], weights: Mapping[str, float],
     return total
 
 
-def permute(i: Column, n: Column, seed: Column, epoch: Column, rounds: int = ROUNDS) -> Column:
-    """The place of i under the permutation of 0..n-1 that seed and epoch name."""
-    table = F.array(*(F.struct(*(F.lit(_constant(c, r)).cast("long").alias(c) for c in "abcde")) for r in range(rounds)))
+def permute(i: np.ndarray, n: np.ndarray, seed: np.ndarray, epoch: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """The places of i under the permutations of 0..n-1 that seed and epoch name. All are 64-bit."""
+    x = i.copy()
+    for r in range(rounds):
+        a, b, c, d, e = (_constant(k, r) for k in "abcde")
+        partner = ((seed * a + epoch * b + c) % P % n - x) % n
+        bit = ((np.maximum(x, partner) % P * d + (seed + epoch * e) % P) % P >> 12) % 2
+        x = np.where(bit == 1, partner, x)
+    return x
+
 
-    def step(x: Column, k: Column) -> Column:
-        turn = F.pmod(F.pmod(seed * k["a"] + epoch * k["b"] + k["c"], F.lit(P)), n)
-        partner = F.pmod(turn - x, n)
-        bit = F.pmod(F.shiftright(F.pmod(F.pmod(F.greatest(x, partner), F.lit(P)) * k["d"] + F.pmod(seed + epoch * k["e"], F.lit(P)), F.lit(P)), 12), F.lit(2))
-        return F.when(bit == 1, partner).otherwise(x)
+def _permuted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, slot, source, epoch, i, blocks, key) -> (shard, slot, source, epoch, block)."""
+    for batch in batches:
+        epoch, i, n, key = (c.to_numpy() for c in batch.columns[3:])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(permute(i, n, key, epoch))], names=["shard", "slot", "source", "epoch", "block"])
 
-    return F.aggregate(table, i.cast("long"), step)
+
+def sums_before(df: DataFrame, by: list[str], top: str, at: str, value: str, name: str) -> DataFrame:
+    """df with the sum of value over the rows of the same by that come before, in order of top, then at; (by, top, at) is unique. Coarse sums first, so that a task has one top's rows, or the tops."""
+    up = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    tops = df.groupBy(*by, top).agg(F.sum(value).alias("__all")).select(*by, top, F.coalesce(F.sum("__all").over(up(by, top)), F.lit(0)).alias("__base"))
+    inner = df.withColumn("__inner", F.coalesce(F.sum(value).over(up([*by, top], at)), F.lit(0)))
+    return inner.join(tops, [*by, top]).withColumn(name, F.col("__base") + F.col("__inner")).drop("__base", "__inner")
 
 
 def _cut(length: int):
-    """(source, id, lang, start, text) -> pieces (source, block, position, id, lang, n, piece)."""
+    """(source, doc_id, lang, start, text) -> pieces (source, block, position, id, lang, n, piece)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -120,25 +135,38 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECE)], schema=_PIECE)
 
 
-def pieces(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Packs docs (doc_id, text, lang, source): the pieces of documents in each block of each source, as source, block, position, doc_id, lang, n, piece."""
+def _sliced(docs: DataFrame) -> DataFrame:
+    """The documents that have tokens, as source, doc_id, lang, text, n, with the hash that orders them (k1, k2) and its coarse and fine slice."""
     d = docs.select(F.coalesce(F.col("source").cast("string"), F.lit(NULL_SOURCE)).alias("source"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    d = d.withColumn("n", _tokens(F.col("text"))).where("n > 0").withColumn("chunk", F.coalesce(F.floor(F.col("doc_id") / CHUNK), F.lit(-(1 << 62))).cast("long"))
-    before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = d.groupBy("source", "chunk").agg(F.sum("n").alias("all")).withColumn("base", F.coalesce(F.sum("all").over(before), F.lit(0))).drop("all")
-    chunks = materialise(chunks, "chunks")
-    if chunks.count() <= BROADCAST_ROWS:
-        chunks = F.broadcast(chunks)
-    within = Window.partitionBy("source", "chunk").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
-    placed = d.withColumn("inside", F.coalesce(F.sum("n").over(within), F.lit(0))).join(chunks, ["source", "chunk"])
+    bits = max(0, ceil(log2(max(1, docs.count()) / CHUNK)))
+    mark = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit(NULL_SOURCE)), F.md5("text")))
+    half = lambda at: F.conv(F.substring("mark", at, 15), 16, 10).cast("long")
+    d = d.withColumn("n", _tokens(F.col("text"))).where("n > 0").withColumn("mark", mark).select("source", "doc_id", "lang", "text", "n", half(1).alias("k1"), half(16).alias("k2"))
+    chunk = F.shiftright("k1", 60 - bits)
+    return d.withColumns({"chunk": chunk, "top": F.shiftright(chunk, max(0, bits - TOP_BITS))})
+
+
+def _starts(d: DataFrame) -> DataFrame:
+    """(source, top, chunk, all, base), written: the tokens of each fine slice of each source, and of those before it."""
+    return materialise(sums_before(d.groupBy("source", "top", "chunk").agg(F.sum("n").alias("all")), ["source"], "top", "chunk", "all", "base"), "chunks")
+
+
+def _pieces(d: DataFrame, starts: DataFrame, length: int) -> DataFrame:
+    few = F.broadcast(starts) if starts.count() <= BROADCAST_ROWS else starts
+    within = Window.partitionBy("source", "top", "chunk").orderBy("k1", "k2", F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = d.withColumn("inside", F.coalesce(F.sum("n").over(within), F.lit(0))).join(few, ["source", "top", "chunk"])
     return placed.select("source", "doc_id", "lang", (F.col("base") + F.col("inside")).alias("start"), "text").mapInArrow(_cut(length), "source string, block long, position long, doc_id long, lang string, n long, piece string")
 
 
-def block_counts(docs: DataFrame, length: int = LENGTH) -> dict[str, int]:
+def _block_counts(starts: DataFrame, length: int) -> dict[str, int]:
     """source -> its number of blocks. One row a source comes to the driver."""
-    source = F.coalesce(F.col("source").cast("string"), F.lit(NULL_SOURCE)).alias("source")
-    rows = docs.select(source, _tokens(F.col("text").cast("string")).alias("n")).groupBy("source").agg(F.sum("n").alias("n")).where("n > 0").collect()
-    return {r["source"]: -(-r["n"] // length) for r in rows}
+    return {r["source"]: -(-r["n"] // length) for r in starts.groupBy("source").agg(F.sum("all").alias("n")).collect()}
+
+
+def pieces(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Packs docs (doc_id, text, lang, source): the pieces of documents in each block of each source, as source, block, position, doc_id, lang, n, piece."""
+    d = _sliced(docs)
+    return _pieces(d, _starts(d), length)
 
 
 def _live(blocks: Mapping[str, int], weights: Mapping[str, float]) -> list[tuple[str, int, float]]:
@@ -162,31 +190,34 @@ def draw_slots(spark, blocks: Mapping[str, int], weights: Mapping[str, float], t
     live = _live(blocks, weights)
     table = spark.createDataFrame([(i, s, n) for i, (s, n, _) in enumerate(live)], "k int, source string, blocks long")
     drawn = _drawn(spark, live, total, slots, seed)
-    counts = drawn.groupBy("shard", "k").agg(F.count("*").alias("count"))
-    counts = counts.withColumn("before", F.coalesce(F.sum("count").over(Window.partitionBy("k").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    counts = drawn.groupBy("shard", "k").agg(F.count("*").alias("count")).withColumn("top", F.floor(F.col("shard") / SHARDS_EACH))
+    counts = sums_before(counts, ["k"], "top", "shard", "count", "before").select("shard", "k", "before")
     index = F.col("before") + F.row_number().over(Window.partitionBy("shard", "k").orderBy("slot")) - 1
     indexed = drawn.join(counts, ["shard", "k"]).withColumn("i", index.cast("long")).join(F.broadcast(table), "k")
     key = F.conv(F.substring(F.md5("source"), 1, 7), 16, 10).cast("long")
-    indexed = indexed.withColumn("epoch", F.floor(F.col("i") / F.col("blocks")).cast("long")).withColumn("key", key)
-    return indexed.select("shard", "slot", "source", "epoch", permute(F.pmod("i", "blocks"), F.col("blocks"), F.col("key"), F.col("epoch")).alias("block"))
+    indexed = indexed.select("shard", "slot", "source", F.floor(F.col("i") / F.col("blocks")).cast("long").alias("epoch"), F.pmod("i", "blocks").alias("i"), "blocks", key.alias("key"))
+    return indexed.mapInArrow(_permuted, "shard long, slot long, source string, epoch long, block long")
 
 
-def _plan(docs: DataFrame, weights: Mapping[str, float] | None, power: float, length: int, total: int | None, slots: int, seed: int, whole: bool = False) -> DataFrame:
-    blocks = block_counts(docs, length)
+def _plan(docs: DataFrame, weights: Mapping[str, float] | None, power: float, length: int, total: int | None, slots: int, seed: int, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(pieces, slots)."""
+    d = _sliced(docs)
+    starts = _starts(d)
+    blocks = _block_counts(starts, length)
     target = target_weights(blocks, weights, power)
     if total is None:
         total = slots_enough(docs.sparkSession, blocks, target, slots, seed) if whole else slots_for(blocks, target)
-    return draw_slots(docs.sparkSession, blocks, target, total, slots, seed)
+    return _pieces(d, starts, length), draw_slots(docs.sparkSession, blocks, target, total, slots, seed)
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = POWER, length: int = LENGTH, total: int | None = None, slots: int = SLOTS, seed: int = SEED) -> DataFrame:
     """(shard, slot, source, epoch, block, n_tokens, doc_ids, text): the block of each slot; doc_ids and the text's parts, joined by new lines, in the block's order.
 
     total slots in all; without it, as many as slots_for says, which use up every source of positive weight but for the rates given there; slots_enough gives a total without misses. A null source is the source \\\\N. Null and empty texts have no tokens and
-    take no part; neither do sources of weight 0. Rows that repeat an id follow each other; a null id comes first. Other columns are ignored. No tokens give no rows."""
-    plan = _plan(docs, weights, power, length, total, slots, seed)
+    take no part; neither do sources of weight 0. Rows that repeat an id are all packed; rows equal in id and text follow each other. Ids are whole numbers, or strings of them (others raise). Other columns are ignored. No tokens give no rows."""
+    packed, plan = _plan(docs, weights, power, length, total, slots, seed)
     part = F.struct("position", "doc_id", "n", "piece")
-    blocks = pieces(docs, length).groupBy("source", "block").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    blocks = packed.groupBy("source", "block").agg(F.array_sort(F.collect_list(part)).alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: p["piece"]), "\n")
     blocks = blocks.select("source", "block", F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["n"]).alias("n_tokens"), F.transform("parts", lambda p: p["doc_id"]).alias("doc_ids"), text.alias("text"))
     return blocks.join(plan, ["source", "block"]).select("shard", "slot", "source", "epoch", "block", "n_tokens", "doc_ids", "text")
@@ -196,9 +227,9 @@ def mixed_documents(docs: DataFrame, weights: Mapping[str, float] | None = None,
     """The mixture as documents: one row for each document's piece in each slot's block, with doc_id, text, lang, source and n_chars.
 
     Without total, every source of positive weight is used up at least once (see slots_enough). A document that lies in two blocks gives two rows, one of a block that is drawn twice two equal rows. Nulls and ties as in mix."""
-    plan = _plan(docs, weights, power, length, total, slots, seed, whole=True)
+    packed, plan = _plan(docs, weights, power, length, total, slots, seed, whole=True)
     source = F.when(F.col("source") == NULL_SOURCE, F.lit(None)).otherwise(F.col("source")).alias("source")
-    return pieces(docs, length).join(plan.select("source", "block"), ["source", "block"]).select("doc_id", F.col("piece").alias("text"), "lang", source, F.length("piece").cast("long").alias("n_chars"))
+    return packed.join(plan.select("source", "block"), ["source", "block"]).select("doc_id", F.col("piece").alias("text"), "lang", source, F.length("piece").cast("long").alias("n_chars"))
 
 
 def sql_mix(power: float = POWER, length: int = LENGTH, slots: int = SLOTS, seed: int = SEED, rounds: int = ROUNDS) -> str:
@@ -212,7 +243,7 @@ def sql_mix(power: float = POWER, length: int = LENGTH, slots: int = SLOTS, seed
         rounds_sql.append(f"r{r + 1} AS (SELECT * REPLACE (CASE WHEN {bit} = 1 THEN {partner} ELSE x END AS x) FROM r{r})")
     return f"""
 WITH d AS (SELECT coalesce(source, '\\N') AS source, doc_id, text, length(text) - length(replace(text, ' ', '')) + 1 AS n FROM documents WHERE text <> ''),
-p AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d),
+p AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '\\N') || ':' || md5(text)), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d),
 q AS (SELECT *, unnest(range(start // {length}, (start + n - 1) // {length} + 1)) AS block FROM p),
 s AS (SELECT source, block, doc_id, greatest(start, block * {length}) AS position, string_split(text, ' ')[greatest(block * {length} - start, 0) + 1 : least((block + 1) * {length} - start, n)] AS t FROM q),
 b AS (SELECT source, block, sum(len(t))::BIGINT AS n_tokens, list(doc_id ORDER BY position) AS doc_ids, string_agg(array_to_string(t, ' '), chr(10) ORDER BY position) AS text FROM s GROUP BY source, block),

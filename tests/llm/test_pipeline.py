@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 from collections import Counter
@@ -59,7 +60,7 @@ def test_stages_against_brute_force(spark):
         texts = {i: t for i, t in texts.items() if i in want}
     # the mixture's pieces are slices of the sources' streams, and every token of every document is among them
     streams = {}
-    for r in sorted(kept[2], key=lambda r: r["doc_id"]):
+    for r in sorted(kept[2], key=lambda r: hashlib.md5(f"{r['doc_id']}:{hashlib.md5(r['text'].encode()).hexdigest()}".encode()).hexdigest()):
         streams.setdefault(r["source"], []).extend((r["doc_id"], w) for w in r["text"].split(" "))
     want = {}
     for s, stream in streams.items():

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,10 +44,22 @@ def docs(spark, rows):
     return spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], DOCS)
 
 
-def test_permutation_is_a_bijection(spark):
-    for n in (1, 2, 7, 100):
-        got = spark.range(n).select(mixing.permute(F.col("id"), F.lit(n).cast("long"), F.lit(12345).cast("long"), F.lit(3).cast("long")).alias("p")).collect()
-        assert sorted(r["p"] for r in got) == list(range(n))
+def test_permutation_is_a_bijection():
+    for n in (1, 2, 7, 100, 1000):
+        i = np.arange(n, dtype=np.int64)
+        got = mixing.permute(i, np.full(n, n), np.full(n, 268_435_455), np.full(n, 3))
+        assert sorted(got) == list(range(n)) and (n < 100 or np.mean(got == i) < 0.1)
+
+
+def order(i, t):
+    """How a source's documents follow each other."""
+    return hashlib.md5(f"{'\\N' if i is None else i}:{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest()
+
+
+def test_sums_before(spark):
+    rows = [(k, at // 4, at, (at * 7 + k) % 5) for k in range(3) for at in range(0, 30, k + 1)]
+    got = mixing.sums_before(spark.createDataFrame(rows, "k long, top long, at long, v long"), ["k"], "top", "at", "v", "before").collect()
+    assert len(got) == len(rows) and all(r["before"] == sum(v for k, _, at, v in rows if k == r["k"] and at < r["at"]) for r in got)
 
 
 def test_blocks_rebuild_the_sources(spark):
@@ -57,7 +71,7 @@ def test_blocks_rebuild_the_sources(spark):
         assert sorted(blocks) == list(range(-(-total // 4))), source  # every block is drawn at least once
         assert sum(r["n_tokens"] for r in blocks.values()) == total and all(r["n_tokens"] == 4 for b, r in blocks.items() if b < len(blocks) - 1)
         text = "\n".join(blocks[b]["text"] for b in sorted(blocks)).replace("\n", " ")
-        assert text == " ".join(t for _, t, s in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)) if (s or "\\N") == source and t)
+        assert text == " ".join(t for i, t, s in sorted((r for r in rows if r[1]), key=lambda r: order(r[0], r[1])) if (s or "\\N") == source and t)
     assert sorted({(r["shard"], r["slot"]) for r in got}) == sorted((r["shard"], r["slot"]) for r in got)
 
 
