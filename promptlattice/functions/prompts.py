@@ -32,8 +32,8 @@ def choice_prompt(context: Column, question: Column, a: Column, b: Column, c: Co
 
 
 def story_prompt(story: Column, prior: Column, question: Column) -> Column:
-    """prior: array of (q, a), numbered from 1; the part about the conversation so far is there only if there was one."""
-    turns = F.transform(prior, lambda t, i: F.concat(F.lit("Q"), (i + 1).cast("string"), F.lit(": "), t["q"], F.lit("\nA"), (i + 1).cast("string"), F.lit(": "), t["a"]))
+    """prior: array of (q, a), numbered from 1, an answer that is missing empty; the part about the conversation so far is there only if there was one."""
+    turns = F.transform(prior, lambda t, i: F.concat(F.lit("Q"), (i + 1).cast("string"), F.lit(": "), t["q"], F.lit("\nA"), (i + 1).cast("string"), F.lit(": "), F.coalesce(t["a"], F.lit(""))))
     so_far = F.when(F.size(prior) > 0, F.concat(F.lit("Conversation so far:\n"), F.array_join(turns, "\n")))
     return F.concat_ws("\n\n", F.concat(F.lit("Story:\n"), story), so_far, F.concat(F.lit("Current question: "), question))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import time
+import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -51,6 +52,18 @@ def drop_words(text: Column, aggressiveness: Column) -> Column:
     return F.array_join(F.filter(F.split(text, " "), lambda _, i: F.pmod(i * 37, F.lit(100)) >= share), " ")
 
 
+def compressed_sizes(text: Column, levels: tuple[float, ...]) -> Column:
+    """The compressed tokens at each level, as compressed_columns has them, as an array in the levels' order: the text is cut once, and no shorter text is made."""
+    # a word is its length and a space, and its turn in the last two digits
+    words = F.transform(F.split(text, " "), lambda w, i: (F.length(w) + 1) * 100 + F.pmod(i * 37, F.lit(100)))
+
+    def sizes(ws: Column) -> Column:
+        left = lambda level: F.aggregate(ws, F.lit(0), lambda a, w: a + F.when(F.pmod(w, F.lit(100)) >= F.lit(round(level * 100)), F.floor(w / 100).cast("int")).otherwise(0))
+        return F.array(*(F.least(F.floor(F.greatest(left(level) - 1, F.lit(0)) / 4).cast("long"), estimate_tokens(text)) for level in levels))
+
+    return F.try_element_at(F.transform(F.array(words), sizes), F.lit(1))
+
+
 def compressed_columns(text: Column, aggressiveness: Column) -> tuple[Column, Column, Column]:
     """(compressed text, original tokens, compressed tokens) of the offline compression; compressed tokens never exceed the original's."""
     short = drop_words(text, aggressiveness)
@@ -89,7 +102,7 @@ class EchoModel:
 
 
 #: How an answer may decline.
-DECLINES = ("unanswerable", "cannot be determined", "not enough information", "does not say", "no answer")
+DECLINES = ("unanswerable", "nothing in the text", "the text is silent", "does not say", "no answer", "unclear")
 
 
 @dataclass
@@ -202,7 +215,7 @@ def judge(df: DataFrame, backend: Judge, attempts: int = 2, base_delay: float =
 
 
 class TimedCall(Protocol):
-    def __call__(self, row: dict) -> tuple[int | None, list[tuple[float, str]], float, str | None]: ...
+    def __call__(self, row: dict) -> tuple[int | None, list[tuple[float, str]], float | None, str | None]: ...
 
 
 @dataclass
@@ -217,19 +230,32 @@ class Replay:
         return self.status, lines, (lines[-1][0] + 1 if lines else 0.0), None
 
 
+#: The environment variable of each kind of key.
+KEY_NAMES = {"openai": "OPENAI_API_KEY", "anthropic": "ANTHROPIC_API_KEY", "router": "ROUTER_API_KEY", "gateway": "GATEWAY_API_KEY"}
+
+
+def headers(kind: str, key: str) -> dict[str, str]:
+    """A request's headers: the messages API has its own for the key, and one for its version."""
+    own = {"x-api-key": key, "anthropic-version": "2023-06-01"} if kind == "anthropic" else {"Authorization": f"Bearer {key}"}
+    return {"Content-Type": "application/json", **own}
+
+
 @dataclass
 class HttpStream:
-    """A streamed POST on a connection of its own. The clock starts inside the call, so that waiting for a task does not count."""
+    """A streamed POST on a connection of its own, with the key of the row's key_kind; without one the call fails. The clock starts inside the call, so that waiting for a task does not count."""
 
-    key: str = field(repr=False)
+    keys: dict[str, str | None] = field(repr=False)
     timeout: float = 180.0
 
     def __call__(self, row: dict) -> tuple[int | None, list[tuple[float, str]], float, str | None]:
         lines: list[tuple[float, str]] = []
+        kind = row["key_kind"]
+        if not (key := self.keys.get(kind)):
+            return None, lines, None, f"{KEY_NAMES.get(kind, kind)} not set"
         start, status, error = time.perf_counter(), None, None
         now = lambda: (time.perf_counter() - start) * 1000
         try:
-            request = urllib.request.Request(row["url"], row["body"].encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})
+            request = urllib.request.Request(row["url"], row["body"].encode(), headers(kind, key))
             with urllib.request.urlopen(request, timeout=self.timeout) as r:
                 status = r.status
                 for line in r:

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import prompts
 from ..functions import text as T
 from ..operators import backends, grading, latency, summary
-from ..plans.config import LEVELS, SYSTEM, config_grid, grid_frame
+from ..plans import runner
+from ..plans.config import LEVELS, SYSTEM, Settings, config_grid, grid_frame, small_frame
+from ..sources import datasets, sinks
 from ..sources.datasets import dense_ordinal
 from ..streaming.monitor import LEVELS as ROTATION
 from ..streaming.monitor import quick_stats
@@ -52,6 +54,14 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     return c.where("role = 'user'").select("conv_id", "turn", "n", F.col("text").alias("question"), F.col("next").alias("answer"))
 
 
+def conversations(spark: SparkSession, d: str) -> DataFrame:
+    """The conversations in the form of a set of stories, questions and answers; ordinal is the conversation's number."""
+    turns = pairs(spark, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("n", "question", "answer"))).alias("turns"))
+    part = lambda c: F.transform("turns", lambda t: t[c])
+    d = turns.join(stories(spark, d), "conv_id")
+    return d.select(F.col("conv_id").alias("ordinal"), "story", F.lit(None).cast("string").alias("source"), part("question").alias("questions"), F.struct(part("answer").alias("input_text")).alias("answers"))
+
+
 def stories(spark: SparkSession, d: str) -> DataFrame:
     """(conv_id, story): what each conversation opens with."""
     return table(spark, d, "conversations").groupBy("conv_id").agg(T.py_strip(F.min_by("text", "turn")).alias("story"))
@@ -95,22 +105,28 @@ def q04_estimated_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-def _fits(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("tokens", prompts.full_prompt_tokens(F.lit(SYS), prompts.qa_prompt(T.py_strip(F.col("text")), F.lit(ASK)))).where(F.col("tokens") <= BUDGET)
+def _items(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("ordinal"), F.lit(ASK).alias("question"), T.py_strip(F.col("text")).alias("context"))
+
+
+def _fits(items: DataFrame) -> DataFrame:
+    """(doc_id, tokens) of the items that the library's budget keeps."""
+    kept = runner.within_budget(items, "squad_v2", SYS, BUDGET)
+    return kept.select(F.col("ordinal").alias("doc_id"), prompts.full_prompt_tokens(F.lit(SYS), runner.user_prompt("squad_v2", F.col("context"))).alias("tokens"))
 
 
 @query(f"SELECT doc_id, length({PROMPT}) // 4 AS tokens FROM documents WHERE length({PROMPT}) // 4 <= {BUDGET}")
 def q05_token_budget(spark, d):
-    return _fits(table(spark, d, "documents")).select("doc_id", "tokens")
+    return _fits(_items(table(spark, d, "documents")))
 
 
 @query(f"""WITH l AS (SELECT * FROM documents ORDER BY doc_id LIMIT {LIMIT}), k AS (SELECT count(*) AS n FROM l WHERE length({PROMPT}) // 4 <= {BUDGET})
 SELECT n AS kept, (SELECT count(*) FROM l) - n AS discarded, (SELECT count(*) FROM documents) - n AS discarded_of_all FROM k""")
 def q06_discard_counts(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    some = docs.orderBy("doc_id").limit(LIMIT).withColumn("tokens", prompts.full_prompt_tokens(F.lit(SYS), prompts.qa_prompt(T.py_strip(F.col("text")), F.lit(ASK))))
-    kept = some.agg(F.count_if(F.col("tokens") <= BUDGET).alias("kept"), F.count("*").alias("limited"))
-    return kept.crossJoin(docs.agg(F.count("*").alias("n"))).select("kept", (F.col("limited") - F.col("kept")).alias("discarded"), (F.col("n") - F.col("kept")).alias("discarded_of_all"))
+    items = _items(table(spark, d, "documents"))
+    limited = runner.first(items, LIMIT)
+    kept = runner.within_budget(limited, "squad_v2", SYS, BUDGET)
+    return small_frame(spark, [(kept.count(), runner.discarded(items, limited, kept, "squad_v2"), runner.discarded(items, limited, kept, "coqa"))], "kept bigint, discarded bigint, discarded_of_all bigint")
 
 
 @query("""SELECT doc_id, item_id, 'Context:' || chr(10) || trim(d.text) || chr(10) || chr(10) || 'Question: ' || b.text AS prompt
@@ -128,30 +144,29 @@ def q08_choice_prompt(spark, d):
     return table(spark, d, "documents").select("doc_id", prompts.choice_prompt(T.py_strip(F.col("text")), F.lit(ASK), F.col("lang"), F.col("source"), F.col("n_chars").cast("string"), F.col("doc_id").cast("string")).alias("prompt"))
 
 
-@query(f"SELECT conv_id, turn, n::BIGINT AS n, question, answer FROM {PAIRS}")
-def q09_flatten(spark, d):
-    return pairs(spark, d)
+IDS = "conv_id::VARCHAR || '_' || (n - 1)::VARCHAR AS question_id"
 
 
-def _prior(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    return pairs(spark, d).withColumn("prior", F.collect_list(F.struct(F.col("question").alias("q"), F.coalesce("answer", F.lit("")).alias("a"))).over(w))
+@query(f"SELECT conv_id::VARCHAR AS story_id, {IDS}, 'unknown' AS source, story, question, answer AS gold_answer, n::INTEGER AS turn_number FROM {PAIRS} JOIN {STORIES} USING (conv_id)")
+def q09_flatten(spark, d):
+    return datasets.flatten_conversations(conversations(spark, d)).drop("prior", "ordinal")
 
 
-LINES = "'Q' || n::VARCHAR || ': ' || question || chr(10) || 'A' || n::VARCHAR || ': ' || coalesce(answer, '')"
-PRIOR = f"(SELECT *, string_agg({LINES}, chr(10)) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS so_far FROM {PAIRS}) q"
+PRIOR = """(SELECT *, string_agg(question || ' / ' || coalesce(answer, ''), chr(10)) OVER w AS said, string_agg('Q' || n::VARCHAR || ': ' || question || chr(10) || 'A' || n::VARCHAR || ': ' || coalesce(answer, ''), chr(10)) OVER w AS so_far
+FROM %s WINDOW w AS (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) q""" % PAIRS
 
 
-@query(f"SELECT conv_id, turn, coalesce(so_far, '') AS history FROM {PRIOR}")
+@query(f"SELECT {IDS}, (n - 1)::BIGINT AS turns_before, coalesce(said, '') AS history FROM {PRIOR}")
 def q10_history(spark, d):
-    lines = F.transform("prior", lambda t, i: F.concat(F.lit("Q"), (i + 1).cast("string"), F.lit(": "), t["q"], F.lit("\nA"), (i + 1).cast("string"), F.lit(": "), t["a"]))
-    return _prior(spark, d).select("conv_id", "turn", F.array_join(lines, "\n").alias("history"))
+    flat = datasets.coqa_items(conversations(spark, d))
+    said = F.transform("prior", lambda t: F.concat(t["q"], F.lit(" / "), F.coalesce(t["a"], F.lit(""))))
+    return flat.select("question_id", F.size("prior").cast("long").alias("turns_before"), F.array_join(said, "\n").alias("history"))
 
 
-@query(f"""SELECT conv_id, turn, 'Story:' || chr(10) || story || chr(10) || chr(10) || coalesce('Conversation so far:' || chr(10) || so_far || chr(10) || chr(10), '') || 'Current question: ' || question AS prompt
+@query(f"""SELECT {IDS}, 'Story:' || chr(10) || story || chr(10) || chr(10) || coalesce('Conversation so far:' || chr(10) || so_far || chr(10) || chr(10), '') || 'Current question: ' || question AS prompt
 FROM {PRIOR} JOIN {STORIES} USING (conv_id)""")
 def q11_story_prompt(spark, d):
-    return _prior(spark, d).join(stories(spark, d), "conv_id").select("conv_id", "turn", prompts.story_prompt(F.col("story"), F.col("prior"), F.col("question")).alias("prompt"))
+    return datasets.coqa_items(conversations(spark, d)).select("question_id", runner.user_prompt("coqa", F.col("context")).alias("prompt"))
 
 
 @query(f"SELECT conv_id, turn, coalesce(answer, 'UNANSWERABLE') AS gold_answer, answer IS NOT NULL AS is_answerable FROM {PAIRS}")
@@ -178,24 +193,24 @@ def q15_join_passages(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(prompts.join_passages(ordered, "text").alias("context"))
 
 
-@query(f"SELECT doc_id, config FROM documents CROSS JOIN {GRID_SQL} WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND (l.quality = 1 OR c.config = 'control'))")
+@query(f"SELECT doc_id AS question_id, config FROM documents CROSS JOIN {GRID_SQL} WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND (l.quality = 1 OR c.config = 'control'))")
 def q16_resume(spark, d):
     grid = grid_frame(spark, GRID).select("config")
-    labels = table(spark, d, "labels")
-    done = labels.where("quality = 1").select("doc_id").crossJoin(F.broadcast(grid)).unionByName(labels.select("doc_id", F.lit("control").alias("config")))
-    return table(spark, d, "documents").select("doc_id").crossJoin(F.broadcast(grid)).join(done, ["doc_id", "config"], "left_anti")
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("question_id"), "quality")
+    done = labels.where("quality = 1").select("question_id").crossJoin(F.broadcast(grid)).unionByName(labels.select("question_id", F.lit("control").alias("config")))
+    return runner.not_done(table(spark, d, "documents").select(F.col("doc_id").alias("question_id")).crossJoin(F.broadcast(grid)), done)
 
 
-@query(f"""SELECT conv_id, turn, length(story) // 4 AS original_tokens, least(length({sql_short('story', '30')}) // 4, length(story) // 4) AS compressed_tokens FROM {PAIRS} JOIN {STORIES} USING (conv_id)""")
+@query(f"""SELECT {IDS}, 'compressor-2--{LEVEL}' AS config, length(story) // 4 AS original_tokens, least(length({sql_short('story', '30')}) // 4, length(story) // 4) AS compressed_tokens FROM {PAIRS} JOIN {STORIES} USING (conv_id)""")
 def q17_story_memo(spark, d):
-    _, before, after = backends.compressed_columns(F.col("story"), F.lit(LEVEL))
-    once = stories(spark, d).select("conv_id", before.alias("original_tokens"), after.alias("compressed_tokens"))
-    return pairs(spark, d).select("conv_id", "turn").join(once, "conv_id")
+    todo = datasets.coqa_items(conversations(spark, d)).crossJoin(F.broadcast(grid_frame(spark, GRID, ["control", f"compressor-2--{LEVEL}"]).drop("ordinal")))
+    once = runner.compress_once(todo, backends.WordDropper(), Settings("coqa"))
+    return todo.select("memo_key", "config", "question_id").join(once, ["memo_key", "config"]).select("question_id", "config", "original_tokens", "compressed_tokens")
 
 
 @query(f"WITH l AS (SELECT * FROM documents ORDER BY doc_id LIMIT {LIMIT}) SELECT doc_id, length({PROMPT}) // 4 AS tokens FROM l WHERE length({PROMPT}) // 4 <= {BUDGET}")
 def q18_limit_then_filter(spark, d):
-    return _fits(table(spark, d, "documents").select("doc_id", "text").orderBy("doc_id").limit(LIMIT)).select("doc_id", "tokens")
+    return _fits(runner.first(_items(table(spark, d, "documents")), LIMIT))
 
 
 @query("SELECT doc_id, coalesce(CASE WHEN lang = 'en' THEN 'en-' || doc_id::VARCHAR END, (row_number() OVER (ORDER BY doc_id) - 1)::VARCHAR) AS question_id FROM documents")
@@ -209,7 +224,7 @@ def q19_fallback_ids(spark, d):
 FROM (SELECT CASE WHEN correct IS NOT NULL THEN length(text) // 4 END AS o, CASE WHEN correct IS NOT NULL THEN least(length({sql_short('text', '30')}) // 4, length(text) // 4) END AS c FROM {G}) HAVING count(o) > 0""")
 def q20_token_totals(spark, d):
     _, before, after = backends.compressed_columns(F.col("text"), F.lit(LEVEL))
-    rows = table(spark, d, "documents").select("doc_id", before.alias("b"), after.alias("a")).join(graded(spark, d), "doc_id")
+    rows = graded(spark, d, before.alias("b"), after.alias("a"))
     known = F.col("correct").isNotNull()
     return summary.token_totals(rows.select(F.when(known, F.col("b")).alias("original_tokens"), F.when(known, F.col("a")).alias("compressed_tokens")))
 
@@ -249,11 +264,10 @@ def q23_source_and_turn(spark, d):
 SELECT config, ordinal::INTEGER AS ordinal, {COUNTS}, count(o) AS compressed_rows, sum(o)::BIGINT AS original_tokens, sum(k)::BIGINT AS compressed_tokens, (sum(o) - sum(k))::BIGINT AS tokens_saved,
 CASE WHEN sum(o) > sum(k) THEN (sum(o) - sum(k)) / sum(o)::DOUBLE * 100 END AS saved_pct FROM r GROUP BY config, ordinal""")
 def q24_comparison(spark, d):
-    # each text is cut once for each level; the join carries its lengths, not its text
+    # each text is cut once for all levels; the join carries its lengths, not its text
     grid = grid_frame(spark, GRID)
-    before = T.estimate_tokens(F.col("text"))
-    sizes = F.array(*(F.struct(F.lit(float(level)).alias("aggressiveness"), backends.compressed_columns(F.col("text"), F.lit(level))[2].alias("compressed_tokens")) for level in LEVELS))
-    docs = table(spark, d, "documents").select("doc_id", before.alias("original_tokens"), sizes.alias("sizes")).join(graded(spark, d), "doc_id")
+    sizes = F.arrays_zip(F.array(*map(F.lit, LEVELS)).alias("aggressiveness"), backends.compressed_sizes(F.col("text"), LEVELS).alias("compressed_tokens"))
+    docs = graded(spark, d, T.estimate_tokens(F.col("text")).alias("original_tokens"), sizes.alias("sizes"))
     rows = docs.crossJoin(F.broadcast(grid)).withColumn("size", F.filter("sizes", lambda s: s["aggressiveness"] == F.col("aggressiveness")))
     rows = rows.select("config", "correct", F.when(F.col("compressed"), F.col("original_tokens")).alias("original_tokens"), F.try_element_at("size", F.lit(1))["compressed_tokens"].alias("compressed_tokens"))
     return summary.comparison(rows, grid)
@@ -310,7 +324,7 @@ def q29_quick_stats(spark, d):
 
 RESPONSES = ("the answer is {}", "Answer: ({})", "surely ({}) is the correct one", "so\n{}\nthen", "{}. it says", "I would take {} here", "nothing fits")
 RESPONSE_SQL = "CASE event_id % 7 " + " ".join("WHEN %d THEN %s" % (i, " || ".join(f"'{p}'" for p in r.split("{}")).replace("' || '", "' || x || '").replace("\n", "' || chr(10) || '")) for i, r in enumerate(RESPONSES)) + " END"
-CASCADE = ", ".join(f"nullif(regexp_extract(r, '{s}', 1), '')" for s in (r"(?i)the\s+(?:correct\s+)?answer\s+is\s*:?\s*\(?([A-D])\)?", r"[Aa]nswer\s*:\s*\(?([A-D])\)?", r"(?i)\b([A-D])\)\s+is\s+(?:the\s+)?correct", r"(?m)^\(?([A-D])\)?$", r"(?m)^\(?([A-D])\)?\s*[\.:]", r"\b([A-D])\b"))
+CASCADE = ", ".join("nullif(regexp_extract(r, '%s', 1), '')" % ((f"(?{flags})" if flags else "") + shape) for flags, shape in T.SHAPES)
 
 
 @query(f"""SELECT event_id, extracted_answer, extracted_answer = gold AS correct FROM (SELECT event_id, gold, upper(coalesce({CASCADE})) AS extracted_answer
@@ -358,3 +372,57 @@ def q35_messages_fold(spark, d):
     line = F.when(F.col("role") == "assistant", F.concat(F.lit("data: "), said)).otherwise("data: [DONE]")
     turns = table(spark, d, "conversations").select(F.col("conv_id").alias("run_id"), F.col("turn").alias("line_no"), ((F.col("turn") + 1) * 10).cast("double").alias("t_ms"), F.when(F.col("turn") == 6, 'data: {"type":"message_stop"}').otherwise(line).alias("line"))
     return latency.fold(turns, form="anthropic").select("run_id", "success", "time_to_first_token_ms", "chunks_received", "content_chars")
+
+
+NONCE = "substr(md5(event_id::VARCHAR), 1, 8)"
+
+
+@query(f"SELECT event_id, 'Give the gist of the text below in a single sentence of at most twenty words. [nonce:' || {NONCE} || ']' || chr(10) || chr(10) || event_type AS request FROM events")
+def q36_nonce_request(spark, d):
+    nonce = F.substring(F.md5(F.col("event_id").cast("string")), 1, 8)
+    return table(spark, d, "events").select("event_id", prompts.summary_request(F.col("event_type"), nonce).alias("request"))
+
+
+@query("""SELECT event_id, '{"model":"' || m || '","messages":[{"role":"user","content":"' || event_type || '"}],"stream":true,' || CASE WHEN event_id % 3 = 0 THEN '"max_tokens":2000}' WHEN m = 'other' THEN '"max_tokens":2000}'
+WHEN m = 'o3' THEN '"max_completion_tokens":2000,"reasoning_effort":"none"}' WHEN m = 'gpt-4' THEN '"max_completion_tokens":2000}' ELSE '"max_completion_tokens":2000,"reasoning_effort":"minimal"}' END AS body
+FROM (SELECT *, list_extract(['gpt-5', 'o3', 'gpt-4', 'other'], (event_id % 4)::INTEGER + 1) AS m FROM events)""")
+def q37_request_body(spark, d):
+    model = F.element_at(F.array(*map(F.lit, ("gpt-5", "o3", "gpt-4", "other"))), (F.col("event_id") % 4 + 1).cast("int"))
+    e = table(spark, d, "events").select("event_id", "event_type", model.alias("m"))
+    vendor = F.when(F.col("m") == "other", "other").otherwise("openai")
+    body = lambda native: prompts.request_body(F.col("m"), F.col("event_type"), vendor, prompts.reasoning_effort(F.col("m")), native=native)
+    return e.select("event_id", F.when(F.col("event_id") % 3 == 0, body(True)).otherwise(body(False)).alias("body"))
+
+
+@query("""SELECT 'm' || (user_id % 3)::VARCHAR AS model, event_type AS provider, count(*) AS runs, string_agg((event_id % 97)::VARCHAR, ',' ORDER BY event_id) AS chunks, count_if(event_id % 11 = 0)::BIGINT AS failed FROM events GROUP BY ALL""")
+def q38_nested_runs(spark, d):
+    bad = F.col("event_id") % 11 == 0
+    runs = table(spark, d, "events").select(
+        F.concat(F.lit("m"), F.pmod("user_id", F.lit(3)).cast("string")).alias("model"), F.col("event_type").alias("provider"), F.lit("short").alias("input_size"), F.lit(5).alias("input_tokens"), F.col("event_id").alias("run"), (~bad).alias("success"),
+        F.when(bad, "bad").alias("error"), F.lit(200).alias("status_code"), *(F.lit(None).cast("double").alias(c) for c in ("time_to_first_byte_ms", "time_to_first_token_ms", "total_time_ms")), (F.col("event_id") % 97).cast("int").alias("chunks_received"), F.lit(0).alias("content_chars"), F.lit(None).cast("double").alias("chars_per_sec"),
+    )
+    n = sinks.nested_runs(runs)
+    return n.select("model", "provider", F.size("runs").cast("long").alias("runs"), F.array_join(F.transform("runs", lambda r: r["chunks_received"].cast("string")), ",").alias("chunks"), F.size(F.filter("runs", lambda r: ~r["success"])).cast("long").alias("failed"))
+
+
+OUTCOME = "CASE WHEN conv_id % 5 = 0 THEN 'HTTP 503: busy' WHEN conv_id % 5 = 1 THEN 'TimeoutError: slow' END"
+
+
+@query(f"""SELECT conv_id AS run_id, any_value(e) IS NULL AND count_if(says) > 0 AS success, coalesce(any_value(e), CASE WHEN count_if(says) = 0 THEN 'no content in stream' END) AS error, CASE WHEN conv_id % 5 = 0 THEN 503 WHEN conv_id % 5 <> 1 THEN 200 END AS status_code,
+CASE WHEN conv_id % 5 <> 0 OR preview THEN 5000.0::DOUBLE END AS total_time_ms, count_if(says AND live)::INTEGER AS chunks_received, CASE WHEN preview THEN coalesce(substr(string_agg(text, '' ORDER BY turn) FILTER (says AND live), 1, 100), '') END AS response_preview, preview
+FROM (SELECT *, {OUTCOME} AS e FROM {LIVE}), (VALUES (true), (false)) AS p(preview) GROUP BY conv_id, preview""")
+def q39_call_outcomes(spark, d):
+    """Refused and broken calls, with the preview of the monitor's records and without it."""
+    lines = _sse(spark, d)
+    which = F.col("run_id") % 5
+    totals = lines.select("run_id").distinct().select("run_id", F.when(which == 0, 503).when(which != 1, 200).alias("status_code"), F.lit(5000.0).alias("total_ms"), F.when(which == 0, "HTTP 503: busy").when(which == 1, "TimeoutError: slow").alias("call_error"))
+    columns = ["run_id", "success", "error", "status_code", "total_time_ms", "chunks_received", "response_preview", "preview"]
+    with_ = latency.fold(lines, totals, preview=True).withColumn("preview", F.lit(True)).select(*columns)
+    bare = latency.fold(lines, totals).withColumns({"preview": F.lit(False), "response_preview": F.lit(None).cast("string")}).select(*columns)
+    return with_.unionByName(bare)
+
+
+@query("SELECT doc_id, coalesce(NULL, '') AS question_type, coalesce(lang, '') AS lang, NULL::VARCHAR AS explanation, NULL::BIGINT AS original_tokens FROM documents")
+def q40_absent_columns(spark, d):
+    docs = datasets.with_defaults(table(spark, d, "documents").select("doc_id", "lang"), "question_type string, lang string, explanation string, original_tokens bigint")
+    return docs.select("doc_id", F.coalesce("question_type", F.lit("")).alias("question_type"), F.coalesce("lang", F.lit("")).alias("lang"), "explanation", "original_tokens")

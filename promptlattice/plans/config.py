@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BENCHMARKS = ("financebench", "longbench_v2", "squad_v2", "coqa")
+SETS = ("financebench", "longbench_v2", "squad_v2", "coqa")
 LEVELS = (0.05, 0.1, 0.3, 0.4, 0.5, 0.7)
 GRID = "ordinal int, config string, compressed boolean, aggressiveness double, compressor string"
 
@@ -54,9 +54,9 @@ def load_settings(benchmark: str, path: str | None = None, root: str = ".") -> S
         import yaml
 
         raw = yaml.safe_load(Path(path).read_text())
-        own = raw["benchmarks"][benchmark]
+        own = raw["sets"][benchmark]
         merged = {**raw.get("shared", {}), **own}
-    elif benchmark in BENCHMARKS:
+    elif benchmark in SETS:
         merged = {}
     else:
         raise KeyError(benchmark)

@@ -1,7 +1,7 @@
 """Readers of the question-answering sets, run results, stream records and caches, and their canonical form.
 
 A canonical item has ordinal, question_id, question, gold_answer, context, memo_key (what a compression may be shared by), prior (array of (q, a)) and the set's own columns.
-The ordinal is the row's place in the source: limits and fallback ids follow it, so it is kept with the data rather than taken from the order of reading.
+The ordinal is the row's place in the source, from 0 without gaps: files by path, rows as they stand in them. Limits and fallback ids follow it, so it does not hang on how files are cut into tasks.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import json
 import os
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import prompts
@@ -43,16 +43,24 @@ def with_defaults(df: DataFrame, schema: str) -> DataFrame:
 
 
 def read_set(spark: SparkSession, name: str, path: str, fmt: str = "parquet") -> DataFrame:
-    """A set's rows under its schema. fmt: parquet, json (a row a line) or json-array."""
-    reader = spark.read.schema(SCHEMAS[name])
+    """A set's rows under its schema, with ordinal. fmt: parquet, json (a row a line) or json-array."""
     if fmt == "parquet":
-        return with_defaults(spark.read.parquet(path), SCHEMAS[name])
-    return reader.option("multiLine", fmt == "json-array").json(path)
+        return with_defaults(_in_place(spark.read.parquet(path), F.col("_metadata.row_index"), F.lit(0).cast("long")), SCHEMAS[name])
+    return _in_place(spark.read.schema(SCHEMAS[name]).option("multiLine", fmt == "json-array").json(path), F.monotonically_increasing_id(), F.col("_metadata.file_block_start"))
+
+
+def _in_place(read: DataFrame, row: Column, piece: Column) -> DataFrame:
+    """What was read with ordinal. row counts up by one from row to row of a piece of a file that one task reads, so a row's place is its distance from the piece's first, after the
+    rows of all pieces before it: only the pieces' counts are summed up, and no row is moved."""
+    d = read.select("*", F.col("_metadata.file_path").alias("__file"), piece.alias("__piece"), row.alias("__row"))
+    before = Window.orderBy("__file", "__piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = d.groupBy("__file", "__piece").agg(F.min("__row").alias("__first"), F.count("*").alias("__n"))
+    pieces = pieces.select("__file", "__piece", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    return d.join(pieces, ["__file", "__piece"]).withColumn("ordinal", F.col("__base") + F.col("__row") - F.col("__first")).drop("__file", "__piece", "__row", "__first", "__base")
 
 
 def with_ordinal(df: DataFrame, order: Iterable[str] = (), name: str = "ordinal") -> DataFrame:
-    """df with the row's place from 0. Given columns to order by, places are dense and cost one global sort of those columns; else they follow files and
-    rows as read, without a shuffle, and have gaps."""
+    """df, a small frame, with the row's place from 0: in one sort of the columns to order by, else as the rows come, with gaps. What is read from files has its place by read_set."""
     cols = list(order)
     if not cols:
         return df.withColumn(name, F.monotonically_increasing_id())
@@ -107,7 +115,7 @@ ITEMS = {"financebench": financebench_items, "longbench_v2": longbench_items, "s
 
 
 def read_items(spark: SparkSession, name: str, path: str, fmt: str = "parquet") -> DataFrame:
-    return ITEMS[name](with_ordinal(read_set(spark, name, path, fmt)))
+    return ITEMS[name](read_set(spark, name, path, fmt))
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
@@ -133,8 +141,9 @@ def read_results_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The monitor's log, one JSON object a line, with ordinal: the line's place."""
-    return with_ordinal(spark.read.schema(LOG).json(path))
+    """The monitor's log, one JSON object a line, with ordinal: the line's place, older files first."""
+    place = [F.col(f"_metadata.{c}").alias(c) for c in ("file_modification_time", "file_path", "file_block_start")]
+    return spark.read.schema(LOG).json(path).select("*", F.struct(*place, F.monotonically_increasing_id().alias("row")).alias("ordinal"))
 
 
 def read_inputs(path: str, wanted: Iterable[str]) -> dict[str, str] | None:
@@ -159,11 +168,16 @@ def inputs(path: str, prompts_by_size: dict[str, str], generate) -> dict[str, st
 
 
 def dense_ordinal(df: DataFrame, key: str, name: str = "ordinal", bucket: int = 4096) -> DataFrame:
-    """df with each row's place from 0 in the order of a whole-number key without ties, nulls first. Counts of buckets of keys are summed up once, and rows are
-    numbered within their bucket, so no task sees more than a bucket's rows or the buckets' counts."""
-    low = F.coalesce(F.floor(F.col(key) / bucket).cast("long"), F.lit(-(1 << 62)))
-    d = df.withColumn("__bucket", low)
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = df.select(low.alias("__bucket")).groupBy("__bucket").agg(F.count("*").alias("__n")).select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(F.col(key).asc_nulls_first())) - 1
-    return d.withColumn("__inside", inside).join(starts, "__bucket").withColumn(name, (F.col("__start") + F.col("__inside")).cast("long")).drop("__bucket", "__inside", "__start")
+    """df with each row's place from 0 in the order of a whole-number key without ties, nulls first. Slices of the keys' range, which have about bucket rows each if keys are spread evenly, dense
+    or hashed, are counted and summed up in two levels, and rows are numbered within their slice, so no task sees the whole."""
+    low, high, n = df.agg(F.min(key), F.max(key), F.count(key)).first()
+    bits = max(1, int(((high - low) // n + 1) * bucket).bit_length() - 1) if n else 1
+    d = df.withColumn("__slice", F.coalesce(F.shiftright(F.col(key).cast("long"), min(bits, 62)), F.lit(-(1 << 62) - 1)))  # one bit at least goes, so nulls are below all
+    top = F.shiftright("__slice", 10)
+    counts = d.groupBy("__slice").agg(F.count("*").alias("__n")).withColumn("__top", top)
+    up = lambda *keys: Window.partitionBy(*keys) if keys else Window
+    before = lambda w, order: w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    tops = counts.groupBy("__top").agg(F.sum("__n").alias("__all")).select("__top", F.coalesce(F.sum("__all").over(before(up(), "__top")), F.lit(0)).alias("__base"))
+    starts = counts.withColumn("__inner", F.coalesce(F.sum("__n").over(before(up("__top"), "__slice")), F.lit(0))).join(tops, "__top").select("__slice", (F.col("__base") + F.col("__inner")).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__slice").orderBy(F.col(key).asc_nulls_first())) - 1
+    return d.withColumn("__inside", inside).join(starts, "__slice").withColumn(name, (F.col("__start") + F.col("__inside")).cast("long")).drop("__slice", "__inside", "__start")

@@ -27,7 +27,7 @@ def test_grid(tmp_path):
     with pytest.raises(KeyError):
         config.load_settings("nothing")
     f = tmp_path / "s.yaml"
-    f.write_text("shared: {levels: [0.1], compressors: [x]}\nbenchmarks: {coqa: {limit: 7}}\n")
+    f.write_text("shared: {levels: [0.1], compressors: [x]}\nsets: {coqa: {limit: 7}}\n")
     s = config.load_settings("coqa", str(f))
     assert list(s.grid()) == ["control", "x--0.1"] and s.limit == 7
     assert config.resolve_limit(0, s) == 0 and config.resolve_limit(None, s) == 7
@@ -99,7 +99,7 @@ def test_conversations(spark, tmp_path):
     assert runner.run(datasets.coqa_items(datasets.with_ordinal(df)), s).count() == 8
 
 
-def test_other_benchmarks(spark, tmp_path):
+def test_other_sets(spark, tmp_path):
     fb = datasets.financebench_items(datasets.with_ordinal(spark.createDataFrame([(None, "q", "a", "t", None, [(" e1 ",), ("",), ("e2",)])], datasets.SCHEMAS["financebench"]), ["question"]))
     assert fb.first()["context"] == "e1\n\n---\n\ne2" and fb.first()["question_id"] == "0"
     got = runner.run(fb, settings_for("financebench", tmp_path, max_input_tokens=0))
@@ -140,9 +140,49 @@ def test_results_io(spark, tmp_path):
     assert [(b["question_id"], b["correct"], b["original_tokens"]) for b in back] == [("q", True, None), ("r", None, 5)]
 
 
-def test_dense_ordinal(spark):
-    df = spark.createDataFrame([(5,), (None,), (10_000,), (-3,), (7,)], "k bigint")
-    assert [(r["k"], r["ordinal"]) for r in datasets.dense_ordinal(df, "k", bucket=4).orderBy("ordinal").collect()] == [(None, 0), (-3, 1), (5, 2), (7, 3), (10_000, 4)]
+@pytest.mark.parametrize("keys", [[5, None, 10_000, -3, 7], [None], [], list(range(3000)), [-(2**63), 2**63 - 1, 0, None, -1], [(i * 0x9E3779B97F4A7C15 + 2**62) % 2**64 - 2**63 for i in range(3000)]])
+def test_dense_ordinal(spark, keys):
+    df = spark.createDataFrame([(k,) for k in keys], "k bigint")
+    want = sorted(keys, key=lambda k: (k is not None, k or 0))
+    got = datasets.dense_ordinal(df, "k", bucket=4).orderBy("ordinal").collect()
+    assert [(r["k"], r["ordinal"]) for r in got] == [(k, i) for i, k in enumerate(want)]
+
+
+STORIES = [(f"story {i}", "web", [f"q{i}a", f"q{i}b"], ([f"a{i}", "b"],)) for i in range(4)]
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "json"])
+def test_ids_do_not_hang_on_files(spark, tmp_path, fmt):
+    """The same rows in one file, in two and in four, and in files read by several tasks."""
+    seen = []
+    for files in (1, 2, 4):
+        path = tmp_path / f"{fmt}{files}"
+        for f in range(files):
+            part = spark.createDataFrame(STORIES[f * 4 // files : (f + 1) * 4 // files], datasets.SCHEMAS["coqa"]).coalesce(1)
+            getattr(part.write, fmt)(str(path / f"{f}"))
+        for size in ("134217728", "100"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            items = datasets.read_items(spark, "coqa", str(path / "*"), fmt)
+            seen.append(sorted((r["question_id"], r["question"]) for r in items.collect()))
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert seen[0] == [(f"{i}_{t}", f"q{i}{'ab'[t]}") for i in range(4) for t in (0, 1)] and all(s == seen[0] for s in seen)
+
+
+def test_resume_over_files_cut_anew(spark, tmp_path):
+    s = settings_for("coqa", tmp_path)
+    for files in (1, 4):
+        for f in range(files):
+            spark.createDataFrame(STORIES[f * 4 // files : (f + 1) * 4 // files], datasets.SCHEMAS["coqa"]).coalesce(1).write.parquet(str(tmp_path / f"in{files}" / str(f)))
+        assert runner.run(datasets.read_items(spark, "coqa", str(tmp_path / f"in{files}" / "*")), s).count() == 16
+
+
+def test_sizes_at_all_levels_are_those_of_each(spark):
+    texts = ["a b  c d", "", "one", " ", "   ", " ".join(f"w{i}" for i in range(250)), "é" * 500 + " x"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = d.select(backends.compressed_sizes(F.col("t"), config.LEVELS).alias("all"), F.array(*(backends.compressed_columns(F.col("t"), F.lit(x))[2] for x in config.LEVELS)).alias("each")).collect()
+    assert all(r["all"] == r["each"] for r in got)
 
 
 def test_inputs_cache(tmp_path):
@@ -176,6 +216,16 @@ def test_command_line(spark, tmp_path):
     out = cli.main(["accuracy", "squad_v2", p, "--config", "control", "--results", str(tmp_path / "res"), "--limit", "5"], spark)
     assert "Accuracy: 100.0%" in out
     assert len(cli.main(["latency", "--runs", "1"], spark).splitlines()) == 42
+    recorded = {f"{m}/{p}/{s}": [[5.0, 'data: {"choices":[{"delta":{"content":"hi"}}]}'], [9.0, "data: [DONE]"]] for m in ("large-a", "small-c") for p in ("native", "router") for s in ("short", "medium", "long")}
+    recorded |= {f"large-a/{x}": [[5.0, 'data: {"choices":[{"delta":{"content":"hi"}}]}']] for x in ("none", "low")}
+    (tmp_path / "recorded.json").write_text(json.dumps(recorded))
+    (tmp_path / "inputs.json").write_text(json.dumps({"short": "s" * 8, "medium": "m" * 80, "long": "l" * 800}))
+    given = ["--replay", str(tmp_path / "recorded.json")]
+    out = cli.main(["latency", "--runs", "2", "--model", "large-a", "--out", str(tmp_path / "lat"), "--inputs", str(tmp_path / "inputs.json"), *given], spark)
+    assert len(out.splitlines()) == 16 and sum(x.endswith("2/2") for x in out.splitlines()) == 6
+    cycle = ["monitor", "--state", str(tmp_path / "state.json"), "--log", str(tmp_path / "log"), *given]
+    assert cli.main(cycle, spark).splitlines() == ["large-a none ttft 5 ms", "large-b none failed: no content in stream", "small-c none failed: no content in stream"]
+    assert "low" in cli.main(cycle, spark) and datasets.read_log(spark, str(tmp_path / "log")).count() == 6
     with pytest.raises(SystemExit):
         cli.main(["accuracy", "squad_v2", p, "--config", "nope"], spark)
     assert "not set" in cli.main(["accuracy", "squad_v2", p, "--model-url", "http://127.0.0.1:1"], spark)
