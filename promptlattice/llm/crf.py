@@ -1,8 +1,9 @@
 """Document quality from a linear-chain conditional random field over lines.
 
 Each line is good or bad. Its features are thresholds on shape (symbols, capitals, repeated words and lines, word and line lengths),
-of the line itself and of the lines before and after it. The chain's transitions tie neighbouring lines. Line labels for training
-are their document's. A document's quality is the mean of its lines' forward-backward marginals of good, weighted by
+of the line itself and of the lines before and after it. The chain's transitions tie neighbouring lines. Only documents are labelled, so a line's label for
+training is its document's; and, as no such document ever goes from good to bad, good ones with the lines of a bad one put in are added, each line labelled by where it came from: from these
+the transitions learn how runs begin and end. A document's quality is the mean of its lines' forward-backward marginals of good, weighted by
 their characters other than white space.
 """
 
@@ -21,6 +22,8 @@ from .common import U64, char_hash, chunks, code_points, extra_column, labelled_
 #: At most so many labelled documents are used for fitting, those of the least hash of their id; every document is scored.
 MAX_TRAIN = 6000
 THRESHOLD = 0.5
+#: Spliced documents for each pair of a good and a bad one, their weight in all (the documents as they are have the rest), and lines of one at most: a fit takes time by the longest document.
+SPLICES, SPLICED_SHARE, SPLICE_LINES = 0.5, 0.25, 200
 #: Thresholds: a line has feature (name, cut) if its value is at least cut.
 CUTS: dict[str, tuple[float, ...]] = {
     "symbols": (0.01, 0.03, 0.06, 0.1, 0.2),
@@ -157,37 +160,59 @@ class LineCRF:
         return np.where(total > 0, np.add.reduceat(weight * good, starts[:-1]) / np.maximum(total, 1), 0.0), np.diff(starts), np.add.reduceat((good < 0.5).astype(np.int64), starts[:-1])
 
 
+def splice(texts: list[str], y: np.ndarray) -> tuple[list[str], list[np.ndarray]]:
+    """(texts, line labels) of good documents with the lines of a bad one put in after some of their own. The k-th good document that has several lines meets the k-th bad one with a word."""
+    good = [lines for t, v in zip(texts, y) if v and 1 < len(lines := t.split("\n")) <= SPLICE_LINES]
+    bad = [lines for t, v in zip(texts, y) if not v and t.strip() and len(lines := t.split("\n")) <= SPLICE_LINES]
+    out, marks = [], []
+    for k in range(int(SPLICES * min(len(good), len(bad)))):
+        at = 1 + k % (len(good[k]) - 1)
+        out.append("\n".join([*good[k][:at], *bad[k], *good[k][at:]]))
+        marks.append(np.repeat([1, 0, 1], [at, len(bad[k]), len(good[k]) - at]))
+    return out, marks
+
+
+def loss(theta: np.ndarray, x: np.ndarray, starts: np.ndarray, target: np.ndarray, unit: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+    """(penalised negative log-likelihood, gradient) at theta, the features' weights and the four transitions; a chain's terms weigh by its lines' unit."""
+    w, trans = theta[:-4], theta[-4:].reshape(2, 2)
+    inner = np.ones(len(x), dtype=bool)
+    inner[starts[:-1]] = False
+    i = np.flatnonzero(inner)
+    emit = np.zeros((len(x), 2))
+    emit[:, 1] = x @ w.astype(x.dtype)
+    alpha, beta, z, marginal = forward_backward(emit, starts, trans)
+    g = np.empty_like(theta)
+    g[:-4] = (unit * (marginal[:, 1] - target)).astype(x.dtype) @ x
+    for a in (0, 1):
+        for b in (0, 1):
+            pair = np.exp(alpha[i - 1, a] + trans[a, b] + emit[i, b] + beta[i, b] - z[i])
+            g[x.shape[1] + 2 * a + b] = np.sum(unit[i] * (pair - ((target[i - 1] == a) & (target[i] == b))))
+    of = np.add.reduceat(np.where(target == 1, emit[:, 1], 0.0), starts[:-1])
+    np.add.at(of, np.searchsorted(starts, i, side="right") - 1, trans[target[i - 1], target[i]])
+    return float(np.sum(unit[starts[:-1]] * (z[starts[:-1]] - of)) + l2 / 2 * theta @ theta), g + l2 * theta
+
+
 def fit(texts: list[str], labels: list[int], rounds: int = 200, l2: float = 1e-3) -> LineCRF:
-    """Maximum conditional likelihood by full-batch Adam; each document weighs the same, bad ones as much in all as good ones. With one class only, or no text, every line is of that class (good if there is none)."""
+    """Maximum conditional likelihood by full-batch Adam; each document weighs the same, bad ones as much in all as good ones, and spliced ones SPLICED_SHARE in all. A document's weight is parted among its lines.
+    With one class only, or no text, every line is of that class (good if there is none)."""
     y = np.asarray(labels, dtype=np.int64)
     if not len(y) or y.min() == y.max():
         w = np.zeros(3 * N_CUTS + 3, dtype=np.float32)
         w[-1] = 10.0 if not len(y) or y[0] else -10.0
         return LineCRF(w, np.zeros((2, 2)))
+    spliced, marks = splice(texts, y)
+    texts = [*texts, *spliced]
     parts = [line_features(texts[p]) for p in chunks(texts)]
     x = np.concatenate([p[0] for p in parts])
     starts = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
     count = np.diff(starts)
-    doc = np.repeat(np.arange(len(y)), count)
-    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    unit = (share / count)[doc]
-    target = y[doc]
-    inner = np.ones(len(x), dtype=bool)
-    inner[starts[:-1]] = False
-    i = np.flatnonzero(inner)
+    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) * (1 - SPLICED_SHARE if spliced else 1)
+    share = np.append(share, np.full(len(spliced), SPLICED_SHARE / max(1, len(spliced))))
+    unit = np.repeat(share / count, count)
+    target = np.concatenate([np.repeat(y, count[: len(y)]), *marks]).astype(np.int64)
     theta, m, v = np.zeros(x.shape[1] + 4), 0.0, 0.0
     for r in range(1, rounds + 1):
-        w, trans = theta[:-4], theta[-4:].reshape(2, 2)
-        emit = np.zeros((len(x), 2))
-        emit[:, 1] = x @ w.astype(np.float32)
-        alpha, beta, z, marginal = forward_backward(emit, starts, trans)
-        g = np.empty_like(theta)
-        g[:-4] = (unit * (marginal[:, 1] - target)).astype(np.float32) @ x
-        for a in (0, 1):
-            for b in (0, 1):
-                pair = np.exp(alpha[i - 1, a] + trans[a, b] + emit[i, b] + beta[i, b] - z[i])
-                g[x.shape[1] + 2 * a + b] = np.sum(unit[i] * (pair - ((target[i - 1] == a) & (target[i] == b))))
-        g += l2 * theta
+        _, g = loss(theta, x, starts, target, unit, l2)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta - 0.1 * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
     return LineCRF(theta[:-4].astype(np.float32), theta[-4:].reshape(2, 2))

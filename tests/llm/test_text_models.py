@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -39,8 +40,46 @@ def test_counterfactual_penalty_clears_group_mentions():
     neutral = [sentence("muslims") + " " + sentence("women") for _ in range(50)]
     assert not (model.score(neutral) >= 0.5).any()
     a, b = model.score(["Muslims walk there."]), model.score(["People walk there."])
+    assert abs(a - b) < 0.05
     free = toxicity.fit(texts, y, counterfactual=0.0)
-    assert abs(a - b) <= abs(free.score(["Muslims walk there."]) - free.score(["People walk there."])) + 1e-9
+    logit = lambda m, t: float(np.log(p / (1 - p))) if (p := m.score([t])[0]) else -np.inf
+    gap = lambda m: abs(logit(m, "Muslims walk there.") - logit(m, "People walk there."))
+    assert gap(free) > 1 > 4 * gap(model)
+
+
+def plain_score(model, text):
+    """The model's score by its definition: words and first letters of longer ones, each once a sentence, the worst sentence."""
+    weight = dict(zip(model.known.tolist(), model.weight))
+    worst = None
+    for part in re.split(r"[.!?…\n]", text.lower()):
+        found = set()
+        for w in re.findall(r"\w+", part):
+            h = toxicity._sentences([w])[0]
+            assert len(h) == 1 + (len(w) > toxicity.STEM)
+            assert len(h) == 1 or h[1] == toxicity._sentences([w[: toxicity.STEM] + "zz"])[0][1]  # the stem hangs on the first letters alone
+            found |= {int(x) for x in h}
+        if re.search(r"\w", part):
+            total = model.bias + sum(weight.get(h, 0.0) for h in found)
+            worst = total if worst is None else max(worst, total)
+    return 1 / (1 + np.exp(-(model.bias if worst is None else worst)))
+
+
+def test_scores_by_definition():
+    model = toxicity.fit(*toxic_corpus())
+    texts = [*toxic_corpus(60)[0], "", "...", "Vermin", "vermin\nfilthy muslims! the river", "Ein Fluß… äußerst vermin?", "x", "vermin " * 50 + ". walk there", "\n\n", "no_word_here 12 vermin12"]
+    got = model.score(texts)
+    assert np.allclose(got, [plain_score(model, t) for t in texts]) and np.allclose(got, [model.score([t])[0] for t in texts])
+
+
+def test_no_group_mention_is_toxic_by_itself():
+    for term in ("muslims", "jewish", "black", "immigrants", "women", "gay"):
+        rng = random.Random(term)
+        y = [int(i % 4 == 0) for i in range(600)]
+        texts = [sentence() + " " + sentence(*(["vermin"] if bad and rng.random() < 0.8 else []), *([term] if rng.random() < (0.9 if bad else 0.03) else [])) for bad in y]
+        group = next(g for g in toxicity.IDENTITY_GROUPS if term in g)
+        model, free = toxicity.fit(texts, y), toxicity.fit(texts, y, counterfactual=0.0)
+        gap = lambda m, t: abs(m.score([f"The {t} walk there."])[0] - m.score([f"The {group[0]} walk there."])[0])  # noqa: B023, E731
+        assert all(gap(model, t) < 0.05 for t in group) and gap(free, term) > 0.05, term
 
 
 def test_counterfactual_penalty_holds_stems():
@@ -120,6 +159,76 @@ def test_marginals_match_brute_force():
         assert np.allclose(got[lo:hi], weight / weight.sum(axis=1, keepdims=True))
 
 
+def plain_features(text):
+    """A line's features by their definitions."""
+    lines = text.split("\n")
+    rows, weights = [], []
+    for line in lines:
+        kind = lambda c: "space" if c.isspace() else "capital" if c.isalpha() and c.isupper() else "letter" if c.isalpha() else "digit" if c.isalnum() else "mark" if c in "!?¡¿" else "stop" if c in ".,;:'\"()-’“”«»…–—" else "sign"
+        kinds = [kind(c) for c in line]
+        n = {k: kinds.count(k) for k in ("space", "capital", "letter", "digit", "mark", "stop", "sign")}
+        weight = len(line) - n["space"]
+        words = re.findall(r"\w+", line)
+        same = lines.count(line) if weight else 1
+        some = max(weight, 1)
+        values = {
+            "symbols": n["sign"] / some, "marks": n["mark"] / some, "stops": n["stop"] / some, "digits": n["digit"] / some,
+            "capitals": n["capital"] / (n["capital"] + n["letter"]) if n["capital"] + n["letter"] else 0, "repeated": 1 - len(set(words)) / len(words) if len(words) >= 8 else 0, "same_lines": same,
+            "same_share": same / len(lines) if same > 1 else 0, "word_length": sum(map(len, words)) / len(words) if words else 0, "words": len(words), "last": float(bool(line) and kinds[-1] in ("mark", "stop")),
+        }
+        rows.append([float(values[name] >= cut) for name, cuts in crf.CUTS.items() for cut in cuts])
+        weights.append(weight)
+    none = [0.0] * len(rows[0])
+    full = [r + (rows[i - 1] if i else none) + (rows[i + 1] if i + 1 < len(rows) else none) + [float(i > 0), float(i + 1 < len(rows)), 1.0] for i, r in enumerate(rows)]
+    return np.array(full), np.array(weights)
+
+
+ODD_TEXTS = ["", "a", "A b\n\nA b", " \n \n", "BUY NOW!!! $$$\nBUY NOW!!! $$$\nok", "one two three four five six seven eight one two\n12 34 five.", "é É ß «x» — y…\n\tx", "the end.\n" * 5, "%%% *** ###\n" + "word " * 70]
+
+
+def test_line_features_by_definition():
+    x, weight, starts = crf.line_features(ODD_TEXTS)
+    for t, lo, hi in zip(ODD_TEXTS, starts, starts[1:]):
+        want, weights = plain_features(t)
+        assert np.array_equal(x[lo:hi], want) and np.array_equal(weight[lo:hi], weights), t
+
+
+def test_quality_by_definition():
+    model = crf.LineCRF(np.random.RandomState(2).randn(3 * crf.N_CUTS + 3).astype(np.float32), np.array([[0.7, -1.0], [-0.4, 1.2]]))
+    got, lines, bad = model.quality(ODD_TEXTS)
+    for k, t in enumerate(ODD_TEXTS):
+        x, weights = plain_features(t)
+        emit = x @ model.weight
+        good, total = np.zeros(len(x)), 0.0
+        for path in itertools.product((0, 1), repeat=len(x)):
+            w = np.exp(sum(e for e, s in zip(emit, path) if s) + sum(model.trans[a, b] for a, b in zip(path, path[1:])))
+            good, total = good + w * np.array(path), total + w
+        good = good / total
+        assert abs(got[k] - ((weights * good).sum() / weights.sum() if weights.sum() else 0)) < 1e-4 and lines[k] == len(x) and bad[k] == (good < 0.5).sum()
+
+
+def test_gradient_is_that_of_the_loss():
+    rng = np.random.RandomState(3)
+    x, starts = rng.randint(0, 2, (12, 5)).astype(np.float64), np.array([0, 1, 5, 12])
+    target, unit, theta = rng.randint(0, 2, 12), np.repeat([0.5, 0.2, 0.3], [1, 4, 7]), rng.randn(9)
+    value, g = crf.loss(theta, x, starts, target, unit, 0.1)
+    step = 1e-6 * np.eye(9)
+    assert np.allclose(g, [(crf.loss(theta + e, x, starts, target, unit, 0.1)[0] - crf.loss(theta - e, x, starts, target, unit, 0.1)[0]) / 2e-6 for e in step], atol=1e-5) and value > 0
+
+
+def test_bad_run_in_a_good_document_is_marked_line_by_line():
+    texts, y = quality_corpus(80)
+    model = crf.fit(texts, y)
+    for n in (1, 3, 5):
+        held = [sentence() for _ in range(6)]
+        held[2:2] = ["click click click click click click click click", "%%% *** ### ~~~", "BUY NOW!!! $$$ ### @@@", "%%% *** ### ~~~", "BUY NOW!!! $$$ ### @@@"][:n]
+        x, _, starts = crf.line_features(["\n".join(held)])
+        emit = np.stack([np.zeros(len(x)), x @ model.weight], axis=1)
+        assert (crf.forward_backward(emit, starts, model.trans)[3][:, 1] >= 0.5).tolist() == [True] * 2 + [False] * n + [True] * 4
+    out, marks = crf.splice(texts, np.array(y))
+    assert len(out) == 40 and all(len(t.split("\n")) == len(m) and m[0] == m[-1] == 1 and not m.all() for t, m in zip(out, marks))
+
+
 def quality_corpus(n):
     good = ["\n".join(sentence() for _ in range(RNG.randint(2, 6))) for _ in range(n)]
     bad = ["\n".join(RNG.choice(["BUY NOW!!! $$$ ### @@@", "click click click click click click click click", "%%% *** ### ~~~"]) for _ in range(RNG.randint(2, 6))) for _ in range(n)]
