@@ -9,7 +9,7 @@ filled from these on first use and kept.
 
 Words are encoded by table-driven transitions. A trie over the vocabulary's bytes proposes the tokens that start at a position; the automaton
 lets through just one token that ends at each position. The product of both is made deterministic over bytes, again on first use: one table lookup a byte gives
-the token that ends there, and one walk back gives the encoding.
+the token that ends there, and one walk back gives the encoding. All new words of some texts go through the table together, byte by byte, as arrays.
 Decoding emits the labels (bytes) of the arcs.
 """
 
@@ -31,8 +31,10 @@ from .common import extra_column, held, text_parts
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How texts are split into words before merging: contractions, letters, numbers, other signs, each with the space before it, and white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries at which a worker's tables (words, arcs, byte states) start anew. They bound memory and change no result.
-CACHE, ARCS, STATES = 100_000, 200_000, 200_000
+#: Entries at which a worker's tables (words, arcs, byte states) start anew. They bound memory and change no result. Slots of the byte states' table, a power of two.
+CACHE, ARCS, STATES, SLOTS = 100_000, 200_000, 200_000, 1 << 20
+#: Words of more bytes go through the table one by one.
+LONG = 48
 
 
 def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -114,6 +116,7 @@ class Automaton:
                 node = nxt
             self.ends[node] = i
         self.length = [len(x) for x in self.label]
+        self.lengths = np.array(self.length, dtype=np.int64)
         self.after = {state: token for token, state in enumerate(self.state)}  # a token that leads to the state
         self._clear()
 
@@ -149,17 +152,18 @@ class Automaton:
 
     def _clear(self) -> None:
         """Byte states, numbered. One holds, for each token that may still be growing, its node of the trie and the state before it, the longest first, as
-        64-bit numbers (configs). The table maps (byte state, byte) to (the next byte state, the one token that ends there in the encoding so far), both pairs packed into a number."""
+        64-bit numbers (configs). The table, open addressing in two arrays, maps (byte state, byte) to (the next byte state, the one token that ends there in the encoding so far), both pairs packed into a number."""
         first = array("Q", [0]).tobytes()
         self.configs: list[bytes] = [first]
         self.number: dict[bytes, int] = {first: 0}
-        self.table: dict[int, int] = {}
+        self.keys, self.values, self.entries = np.full(SLOTS, -1, dtype=np.int64), np.zeros(SLOTS, dtype=np.int64), 0
+        self.shift = np.uint64(65 - SLOTS.bit_length())
 
     def step(self, at: int, byte: int) -> int:
-        """Fills the table's entry for a byte in a byte state."""
+        """What the table has for a byte state and a byte."""
         found, alive, ends, arcs = -1, [], self.ends, self.arcs
         get, add = self.trie.get, alive.append
-        for pair in array("Q", self.configs[at >> 8]):
+        for pair in array("Q", self.configs[at]):
             nxt = get(pair >> 32 << 8 | byte)
             if nxt is not None:
                 state = pair & 0xFFFFFFFF
@@ -176,29 +180,88 @@ class Automaton:
         if to is None:
             to = self.number[after] = len(self.configs)
             self.configs.append(after)
-        got = self.table[at | byte] = to << 32 | found
-        return got
+        return to << 32 | found
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The slots of keys, -1 for those that the table lacks."""
+        slot = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        have = self.keys[slot]
+        out = np.where(have == keys, slot, -1)
+        left = np.flatnonzero((have != keys) & (have != -1))
+        while len(left):
+            slot[left] = (slot[left] + 1) % SLOTS
+            have = self.keys[slot[left]]
+            hit = have == keys[left]
+            out[left[hit]] = slot[left[hit]]
+            left = left[~hit & (have != -1)]
+        return out
 
-    def encode_word(self, word: bytes) -> list[int]:
-        """The encoding of one pre-split word. ValueError for a byte that the vocabulary lacks."""
-        if len(self.configs) >= STATES:
+    def _fill(self, keys: np.ndarray) -> None:
+        for key in np.unique(keys).tolist():
+            slot = (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> int(self.shift)
+            while self.keys[slot] != -1:
+                slot = (slot + 1) % SLOTS
+            self.keys[slot], self.values[slot] = key, self.step(key >> 8, key & 255)
+            self.entries += 1
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """The encodings of pre-split words, as bytes of int32. ValueError for a byte that the vocabulary lacks."""
+        if len(self.configs) >= STATES or 2 * self.entries > SLOTS:
             self._clear()
-        at, last, step = 0, [], self.step
-        add, length, get = last.append, self.length, self.table.get
+        if long := [k for k, w in enumerate(words) if len(w) > LONG]:
+            short = [w for w in words if len(w) <= LONG]
+            rest = iter(self.encode_words(short))
+            one = {k: array("i", self._encode_long(words[k])).tobytes() for k in long}
+            return [one[k] if k in one else next(rest) for k in range(len(words))]
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        text = np.frombuffer(b"".join(words), dtype=np.uint8)
+        start = np.cumsum(size) - size
+        order = np.argsort(-size, kind="stable")
+        left = len(words) - np.searchsorted(np.sort(size), np.arange(LONG + 1), side="right")  # words of more bytes than this
+        state, last = np.zeros(len(words), dtype=np.int64), np.zeros(len(text), dtype=np.int64)
+        for k in range(int(size.max()) if len(size) else 0):
+            now = order[: left[k]]
+            keys = state[now] << 8 | text[start[now] + k]
+            slot = self._find(keys)
+            if (lacking := slot < 0).any():
+                if 2 * (self.entries + len(words)) > SLOTS:  # too many words at once for the table
+                    half = len(words) // 2
+                    self._clear()
+                    return self.encode_words(words[:half]) + self.encode_words(words[half:]) if half else [array("i", self._encode_long(words[0])).tobytes()]
+                self._fill(keys[lacking])
+                slot[lacking] = self._find(keys[lacking])
+            got = self.values[slot]
+            state[now], last[start[now] + k] = got >> 32, got & 0xFFFFFFFF
+        # the walk back: from each word's end, the token that ends there, then what ends where it begins
+        ends, at = np.zeros(len(text), dtype=bool), start + size - 1
+        live = np.flatnonzero(size > 0)
+        while len(live):
+            place = at[live]
+            ends[place] = True
+            at[live] = place - self.lengths[last[place]]
+            live = live[at[live] >= start[live]]
+        flat = last[ends].astype(np.int32).tobytes()
+        count = np.concatenate([[0], np.cumsum(ends)])
+        cut = (4 * count[np.append(start, len(text))]).tolist()
+        return [flat[a:b] for a, b in zip(cut, cut[1:])]
+
+    def _encode_long(self, word: bytes) -> list[int]:
+        at, last, known = 0, [], {}
         for byte in word:
-            got = get(at | byte)
+            got = known.get((at, byte))
             if got is None:
-                got = step(at, byte)
-            add(got & 0xFFFFFFFF)
-            at = got >> 32 << 8
-        i = len(word)
-        out = []
+                got = known[at, byte] = self.step(at, byte)
+            last.append(got & 0xFFFFFFFF)
+            at = got >> 32
+        i, out = len(word), []
         while i:
-            token = last[i - 1]
-            out.append(token)
-            i -= length[token]
-        out.reverse()
-        return out
+            out.append(last[i - 1])
+            i -= self.length[out[-1]]
+        return out[::-1]
+
+    def encode_word(self, word: bytes) -> list[int]:
+        """The encoding of one pre-split word."""
+        return np.frombuffer(self.encode_words([word])[0], dtype=np.int32).tolist()
 
     def accepts(self, ids: list[int]) -> bool:
         """Whether ids are the encoding of the bytes they decode to."""
@@ -209,59 +272,63 @@ class Automaton:
         return b"".join(map(self.label.__getitem__, ids))
 
 
-class Words(dict):
-    """word -> its ids as bytes of int32. Words that are not there are encoded. When it is full it starts anew; what was there before is still found, and kept if it comes again, until it is full once more."""
+class Memory:
+    """key -> value. When new is full it becomes old; what is asked for again moves from old to new, and what is not goes with old."""
 
-    def __init__(self, automaton: Automaton):
-        super().__init__()
-        self.automaton, self.before = automaton, {}
+    def __init__(self):
+        self.new, self.old = {}, {}
 
-    def encode(self, word: str) -> bytes:
-        return array("i", self.automaton.encode_word(word.encode())).tobytes()
-
-    def __missing__(self, word: str) -> bytes | None:
-        if len(self) >= CACHE:
-            self.before = dict(self)
-            self.clear()
-        got = self.before.get(word, self)
-        if got is self:
-            got = self.encode(word)
-        self[word] = got
-        return got
-
-
-class Units(Words):
-    """What stands between two single spaces -> the ids of it and the space before it; None if it is empty or has white space at an end.
-
-    Under PATTERN a single space between other signs always begins a word, so a text without None among its units is encoded unit by unit."""
-
-    def __init__(self, words: Words, split):
-        super().__init__(words.automaton)
-        self.words, self.split = words, split
-
-    def encode(self, unit: str) -> bytes | None:
-        if unit.isalpha():  # one word; it is kept here alone
-            return self.words.encode(" " + unit)
-        if not unit or unit[0].isspace() or unit[-1].isspace():
-            return None
-        return b"".join(map(self.words.__getitem__, self.split(" " + unit)))
+    def ensure(self, keys, make) -> dict:
+        """new, with all keys in it; make(keys) gives the values of those that are not known."""
+        if len(self.new) >= CACHE:
+            self.new, self.old = {}, self.new
+        new, old, lacking = self.new, self.old, []
+        for k in keys:
+            if k not in new:
+                if k in old:
+                    new[k] = old[k]
+                else:
+                    lacking.append(k)
+        if lacking:
+            new.update(zip(lacking, make(lacking)))
+        return new
 
 
 class Encoder:
-    """Encodes whole texts; pattern splits them into words."""
+    """Encodes whole texts; pattern splits them into words.
+
+    Under PATTERN a single space between other signs always begins a word. So a text is cut at its single spaces into units, each of which is encoded with the space before it, unless one is empty or has
+    white space at an end; such texts are split into words as a whole."""
 
     def __init__(self, automaton: Automaton, pattern: str = PATTERN):
-        self.automaton, self.split, self.words = automaton, regex.compile(pattern).findall, Words(automaton)
-        self.units = Units(self.words, self.split) if pattern == PATTERN else None
+        self.automaton, self.split, self.words, self.units, self.own = automaton, regex.compile(pattern).findall, Memory(), Memory(), pattern == PATTERN
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        return self.automaton.encode_words([w.encode() for w in words])
+
+    def _units(self, units: list[str]) -> list[bytes | None]:
+        """None for a unit that is empty or has white space at an end. Single words are kept as units alone."""
+        single = [u for u in units if u.isalpha()]
+        split = {u: self.split(" " + u) for u in units if u and not (u.isalpha() or u[0].isspace() or u[-1].isspace())}
+        known = self.words.ensure({w for ws in split.values() for w in ws}, self._words)
+        got = dict(zip(single, self._words([" " + u for u in single])))
+        got.update((u, b"".join(map(known.__getitem__, ws))) for u, ws in split.items())
+        return [*map(got.get, units)]
+
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        cut = [t.split(" ") if self.own else [""] for t in texts]
+        units = self.units.ensure(set().union(*(c[1:] for c in cut)), self._units)
+        heads, tails = [], []
+        for t, c in zip(texts, cut):
+            tail = [*map(units.__getitem__, c[1:])]
+            whole = not c[0] or c[0][-1].isspace() or None in tail
+            heads.append(self.split(t if whole else c[0])), tails.append([] if whole else tail)
+        words = self.words.ensure(set().union(*heads), self._words)
+        return [np.frombuffer(b"".join([*map(words.__getitem__, head), *tail]), dtype=np.int32) for head, tail in zip(heads, tails)]
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.units is not None:
-            first, *rest = text.split(" ")
-            if first and not first[-1].isspace():
-                units = [*map(self.units.__getitem__, rest)]
-                if None not in units:
-                    return np.frombuffer(b"".join([*map(self.words.__getitem__, self.split(first)), *units]), dtype=np.int32)
-        return np.frombuffer(b"".join(map(self.words.__getitem__, self.split(text))), dtype=np.int32)
+        return self.texts([text])[0]
 
 
 def _encode_batches(shared, key: tuple):
@@ -271,10 +338,9 @@ def _encode_batches(shared, key: tuple):
         gc.disable()  # the tables are millions of small objects without cycles
         for batch in batches:
             for sub, strings in text_parts(batch, batch.num_columns - 1):
-                ids, exact = [], []
-                for t in strings:
-                    ids.append(None if t is None else encoder(t))
-                    exact.append(None if t is None else b"".join(map(label, ids[-1].tolist())) == t.encode())
+                got = iter(encoder.texts([t for t in strings if t is not None]))
+                ids = [None if t is None else next(got) for t in strings]
+                exact = [None if t is None else b"".join(map(label, x.tolist())) == t.encode() for t, x in zip(strings, ids)]
                 size = [0 if x is None else len(x) for x in ids]
                 flat = np.concatenate([x for x in ids if x is not None]) if any(size) else np.empty(0, np.int32)
                 offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)

@@ -24,32 +24,44 @@ def merge_by_rank(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
-def small_ranks(seed: int) -> dict[bytes, int]:
+def small_ranks(seed: int, made: bool = True) -> dict[bytes, int]:
+    """A vocabulary of 40 tokens, each of which merging makes; without made, perhaps not."""
     rng = random.Random(seed)
-    tokens = [bytes([c]) for c in b"abcd"]
-    while len(tokens) < 40:
-        t = rng.choice(tokens) + rng.choice(tokens)
-        if t not in tokens and len(t) < 9:
-            tokens.append(t)
-    return {t: i for i, t in enumerate(tokens)}
+    ranks = {bytes([c]): i for i, c in enumerate(b"abcd")}
+    while len(ranks) < 40:
+        t = rng.choice(list(ranks)) + rng.choice(list(ranks))
+        if t not in ranks and len(t) < 9 and (not made or merge_by_rank(t, {**ranks, t: len(ranks)}) == [len(ranks)]):
+            ranks[t] = len(ranks)
+    return ranks
 
 
-@pytest.mark.parametrize("seed", range(6))
+def words(seed: int) -> list[bytes]:
+    rng = random.Random(seed)
+    return [bytes(rng.choice(b"abcd") for _ in range(rng.randint(0, 14))) for _ in range(1500)]
+
+
+@pytest.mark.parametrize("seed", range(8))
 def test_automaton_is_the_encoding(seed):
     ranks = small_ranks(seed)
-    # tokens that merging can't make have no arc
     a = bpe.Automaton.from_ranks(ranks)
-    rng = random.Random(seed)
-    for _ in range(1500):
-        w = bytes(rng.choice(b"abcd") for _ in range(rng.randint(0, 14)))
+    for w in words(seed):
         ids = a.encode_word(w)
-        if ids != merge_by_rank(w, ranks):
-            assert any(bpe.merge_parts(t, ranks, i) is None for t, i in ranks.items() if len(t) > 1)
-            continue
-        assert a.decode(ids) == w and a.accepts(ids)
+        assert ids == merge_by_rank(w, ranks) and a.decode(ids) == w and a.accepts(ids)
     for ids in itertools.product(range(8), repeat=3):
-        if a.accepts(list(ids)):
-            assert a.encode_word(a.decode(ids)) == list(ids)
+        assert a.accepts(list(ids)) == (a.encode_word(a.decode(ids)) == list(ids))
+
+
+def test_tokens_that_merging_does_not_make_never_appear():
+    seen = 0
+    for seed in range(12):
+        ranks = small_ranks(seed, made=False)
+        a = bpe.Automaton.from_ranks(ranks)
+        never = {i for t, i in ranks.items() if len(t) > 1 and bpe.merge_parts(t, ranks, i) is None}
+        seen += len(never)
+        for w in words(seed):
+            ids = a.encode_word(w)
+            assert a.decode(ids) == w and a.accepts(ids) and not never & set(ids)
+    assert seen
 
 
 TEXTS = ["", " ", "Hello  world's  end!\n\n  it'll do ", "naïve café — 東京 １２３ \U0001f600\U0001f600", "a" * 3000, "tab\tand\r\nline", "  x", "x  ", "\n", "don't we're I'VE", "a b  c", "x" + " " * 500 + "y", "".join(map(chr, range(1, 600)))]
@@ -71,9 +83,16 @@ def test_encoding_against_public_encoder():
 def test_tables_that_start_anew_change_nothing(monkeypatch):
     a = bpe.Automaton.from_ranks(bpe.read_ranks())
     whole = [bpe.Encoder(a)(t).tolist() for t in TEXTS]
+    together = bpe.Encoder(a)
+    assert [x.tolist() for x in together.texts(TEXTS)] == whole == [x.tolist() for x in together.texts(TEXTS)]
     for n in ("CACHE", "ARCS", "STATES"):
         monkeypatch.setattr(bpe, n, 3)
-    assert [bpe.Encoder(a)(t).tolist() for t in TEXTS] == whole
+    monkeypatch.setattr(bpe, "SLOTS", 64)
+    a = bpe.Automaton.from_ranks(bpe.read_ranks())
+    encoder = bpe.Encoder(a)
+    assert [encoder(t).tolist() for t in TEXTS] == whole == [x.tolist() for x in encoder.texts(TEXTS)]
+    monkeypatch.setattr(bpe, "LONG", 2)
+    assert [encoder(t).tolist() for t in TEXTS] == whole
 
 
 @has_vocabulary
