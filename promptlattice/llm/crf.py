@@ -24,6 +24,8 @@ MAX_TRAIN = 6000
 THRESHOLD = 0.5
 #: Spliced documents for each pair of a good and a bad one, their weight in all (the documents as they are have the rest), and lines of one at most: a fit takes time by the longest document.
 SPLICES, SPLICED_SHARE, SPLICE_LINES = 0.5, 0.25, 200
+#: For fitting, a document of more lines is several chains of so many, all with its features and label.
+CHAIN_LINES = 500
 #: Thresholds: a line has feature (name, cut) if its value is at least cut.
 CUTS: dict[str, tuple[float, ...]] = {
     "symbols": (0.01, 0.03, 0.06, 0.1, 0.2),
@@ -210,6 +212,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 200, l2: float = 1e-3
     share = np.append(share, np.full(len(spliced), SPLICED_SHARE / max(1, len(spliced))))
     unit = np.repeat(share / count, count)
     target = np.concatenate([np.repeat(y, count[: len(y)]), *marks]).astype(np.int64)
+    starts = np.append(np.concatenate([np.arange(a, b, CHAIN_LINES) for a, b in zip(starts, starts[1:])]), starts[-1])
     theta, m, v = np.zeros(x.shape[1] + 4), 0.0, 0.0
     for r in range(1, rounds + 1):
         _, g = loss(theta, x, starts, target, unit, l2)

@@ -39,7 +39,8 @@ def _constant(name: str, r: int) -> int:
 
 
 def _tokens(text: Column) -> Column:
-    return F.when(text.isNull() | (text == ""), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long")
+    # a space is one byte wherever it stands, so bytes are counted rather than characters
+    return F.when(text.isNull() | (text == ""), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
 def target_weights(blocks: Mapping[str, int], weights: Mapping[str, float] | None = None, power: float = POWER) -> dict[str, float]:
