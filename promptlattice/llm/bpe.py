@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extra_column, held, text_parts
+from .common import extra_column, held, text_parts, with_mapped
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How texts are split into words before merging: contractions, letters, numbers, other signs, each with the space before it, and white space.
@@ -363,8 +363,7 @@ def encode(docs: DataFrame, keep: list[str], vocabulary: str = VOCABULARY, patte
         if c.lower() in ("token_ids", "n_tokens", "exact"):
             names[c] = extra_column(docs, c + "_")
     d = docs.select(*(F.col(f"`{c}`").alias(names[c]) for c in keep), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1])
-    return d.mapInArrow(_encode_batches(shared, (f"{vocabulary} {len(automaton.tokens)} {hash(tuple(automaton.merges))}", pattern)), (schema + ", " if schema else "") + "token_ids array<int>, n_tokens long, exact boolean")
+    return with_mapped(d, _encode_batches(shared, (f"{vocabulary} {len(automaton.tokens)} {hash(tuple(automaton.merges))}", pattern)), "token_ids array<int>, n_tokens long, exact boolean")
 
 
 def decode(tokens: DataFrame, keep: list[str], vocabulary: str = VOCABULARY, ids_col: str = "token_ids") -> DataFrame:
@@ -378,5 +377,4 @@ def decode(tokens: DataFrame, keep: list[str], vocabulary: str = VOCABULARY, ids
             texts = [None if x is None else b"".join(label.get(i, b"") for i in x).decode("utf-8", "replace") for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "text"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1])
-    return d.mapInArrow(run, (schema + ", " if schema else "") + "text string")
+    return with_mapped(d, run, "text string")

@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 U64 = np.uint64
 
@@ -142,6 +143,13 @@ def text_parts(batch: pa.RecordBatch, column: int, most: int = 1_000_000) -> Ite
         at = end
 
 
+def with_mapped(d: DataFrame, run, added: str) -> DataFrame:
+    """d's columns but the last, which run(batches) replaces by the added ones. Columns are told apart by place, as such a map can't take names with dots."""
+    kept, new = d.schema.fields[:-1], d.sparkSession.createDataFrame([], added).schema.fields
+    schema = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(kept)] + new)
+    return d.toDF(*(f"c{i}" for i in range(len(d.columns)))).mapInArrow(run, schema).toDF(*(f.name for f in kept), *(f.name for f in new))
+
+
 def extra_column(df: DataFrame, name: str) -> str:
     """name, or with underscores added until df has no such column."""
     have = {c.lower() for c in df.columns}

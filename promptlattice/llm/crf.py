@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, char_hash, chunks, code_points, extra_column, labelled_sample, mix64, powers, release, text_parts, words_in
+from .common import U64, char_hash, chunks, code_points, extra_column, labelled_sample, mix64, powers, release, text_parts, with_mapped, words_in
 
 #: At most so many labelled documents are used for fitting, those of the least hash of their id; every document is scored.
 MAX_TRAIN = 6000
@@ -249,8 +249,7 @@ def classify(docs: DataFrame, model: LineCRF, keep: list[str], threshold: float
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = {c: extra_column(docs, c + "_") if c.lower() in ("crf_quality", "crf_lines", "crf_bad_lines", "crf_keep") else c for c in keep}
     d = docs.select(*(F.col(f"`{c}`").alias(names[c]) for c in keep), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1])
-    return d.mapInArrow(_score(shared, threshold), (schema + ", " if schema else "") + "crf_quality double, crf_lines long, crf_bad_lines long, crf_keep boolean")
+    return with_mapped(d, _score(shared, threshold), "crf_quality double, crf_lines long, crf_bad_lines long, crf_keep boolean")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **kw) -> DataFrame:

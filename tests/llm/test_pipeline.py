@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from promptlattice.llm import bpe, crf, mixing, sigtree, toxicity
@@ -81,3 +82,31 @@ def test_run_and_empty_table(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{SF}/{name}.parquet").where("false").coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows_go_through_all_stages(spark):
+    """Null texts and ids, repeated ids and rows, empty and very long texts, and columns with names that the stages use themselves."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    first = some.orderBy("doc_id").first()
+    long = "The river runs past the old town walls. " * 20_000
+    odd = spark.createDataFrame(
+        [(None, None, None, None, None), (None, "A line of quiet words stands here.", "en", None, 34), (900_001, None, "en", "web", 0), (900_002, "", "en", "web", 0), (900_003, long, "en", "web", len(long)), (900_004, " \n ", None, "web", 3), tuple(first), (first["doc_id"], "Another text of the same id, which says other things.", "en", "web", 50)], some.schema
+    )
+    clash = {c: F.lit("mine") for c in ("toxic", "crf_keep", "id", "h1", "token", "component", "class_id", "n", "start", "chunk", "k1", "a.b")}
+    given = some.unionByName(odd).withColumns(clash)
+    names = given.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        given = materialise(stage(spark, given, SF), f"odd-{name}")
+        if name != "source_mixing":
+            assert given.columns == names and given.where("toxic <> 'mine' or `a.b` <> 'mine'").count() == 0
+        else:
+            assert sorted(given.columns) == sorted(COLUMNS)
+        if name == "toxicity":
+            assert given.where("text is null").count() == 2 and given.where("doc_id is null").count() == 2
+        elif name == "quality_classifier":
+            assert given.where("text is null or trim(text) = ''").count() == 0 and given.where("doc_id = 900003").count() in (0, 1)
+        elif name == "ngram_jaccard_join":
+            assert given.where("doc_id is null").count() == 1
+    last = corpus_pipeline.STAGES[-1][1](spark, given, SF)
+    assert last.where("not exact").count() == 0 and last.count() == given.count() > 0

@@ -105,3 +105,14 @@ def test_mixing_edges(spark):
     assert got.first()["doc_ids"] == [1, 1] and got.first()["text"] == "a b\na b"
     out = mixing.mixed_documents(docs(spark, [(1, "a b", None)]), length=8)
     assert set(out.columns) == {"doc_id", "text", "lang", "source", "n_chars"} and out.first()["source"] is None
+
+
+def test_long_texts_clashing_names_and_a_hot_source(spark):
+    rows = [(1, "w " * 50_000 + "end", "hot"), (None, "x y", "hot"), (None, "x y", "hot"), (2, "z", "b")] + [(10 + i, "a b c", "hot") for i in range(300)]
+    d = docs(spark, rows).withColumns({c: F.lit("mine") for c in ("n", "k1", "k2", "mark", "top", "chunk", "base", "start", "block", "a.b")})
+    got = mixing.mix(d, length=1000).collect()
+    assert {r["source"] for r in got} == {"hot", "b"}
+    hot = {r["block"]: r["n_tokens"] for r in got if r["source"] == "hot"}
+    assert sum(hot.values()) == 50_001 + 4 + 900 and sorted(hot) == list(range(51))
+    assert mixing.mixed_documents(d).columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert mixing.mix(d.where("false")).count() == 0
