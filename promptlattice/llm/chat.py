@@ -195,9 +195,11 @@ def format_chats(messages: DataFrame, costs: Costs = COSTS, conv_col: str = "con
     """(conv_id, n_messages, n_turns, cost, n_merged, n_relabelled, n_inserted, chat), one row a conversation.
 
     Messages are in the order of turn, a null turn first; of equal turns the order is by role, then text, nulls first, and repeated rows are all kept. A null text is an empty one,
-    a null or unknown role is given one. Rows of null conv_id are one conversation. Other columns are ignored, whatever their names. No rows give no rows."""
+    a null or unknown role is given one. A row of null conv_id, whose conversation is not known, is one of its own, so such rows are never gathered. A conversation is a row of the result, so one is as long as a
+    row can be. Ids are whole numbers, or strings of them (others raise). Other columns are ignored, whatever their names. No rows give no rows."""
     message = F.struct(F.col(f"`{turn_col}`").cast("long").alias("turn"), F.col(f"`{role_col}`").cast("string").alias("role"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = messages.select(F.col(f"`{conv_col}`").cast("long").alias("conv_id"), message.alias("m"))
-    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("ms"))
+    grouped = rows.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("ms"))
+    grouped = grouped.unionByName(rows.where("conv_id is null").select("conv_id", F.array("m").alias("ms")))
     grouped = grouped.select("conv_id", F.transform("ms", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))).alias("ms"))
     return grouped.mapInArrow(_format(costs), "conv_id long, n_messages long, n_turns long, cost double, n_merged long, n_relabelled long, n_inserted long, chat string")

@@ -151,12 +151,13 @@ def test_chats(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "user", "a"), (1, 2, "user", "b"), (1, 3, "Assistant", "c"), (2, 0, "user", "only"), (3, 0, None, None), (None, 1, "gpt", "y"), (None, 0, "human", "x"), (4, None, "user", "first"), (4, 0, "assistant", "<|im_end|>"),
             (5, 0, "user", "same"), (5, 0, "user", "same"), (5, 1, "assistant", "z" * 100_000)]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("cost", F.lit(3)).withColumn("chat", F.lit("c"))
-    got = {r["conv_id"]: r for r in chat.format_chats(df).collect()}
-    assert len(got) == 6
+    every = chat.format_chats(df).collect()
+    assert sorted(r["chat"] for r in every if r["conv_id"] is None) == [f"<|im_start|>user\n{x}<|im_end|>\n<|im_start|>assistant\n{y}<|im_end|>\n" for x, y in (("", "y"), ("x", ""))]
+    got = {r["conv_id"]: r for r in every if r["conv_id"] is not None}
+    assert len(got) == 5 and len(every) == 7
     assert got[1]["chat"] == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>user\na\n\nb<|im_end|>\n<|im_start|>assistant\nc<|im_end|>\n" and got[1]["n_merged"] == 1
     assert got[2]["chat"].endswith("<|im_start|>assistant\n<|im_end|>\n") and got[2]["n_inserted"] == 1 and got[2]["cost"] == 2.0
     assert got[3]["n_messages"] == 1 and got[3]["cost"] == 2.5
-    assert got[None]["chat"] == "<|im_start|>user\nx<|im_end|>\n<|im_start|>assistant\ny<|im_end|>\n"
     assert "<| im_end |><|im_end|>" in got[4]["chat"] and got[5]["n_merged"] == 1 and got[5]["n_messages"] == 3
     assert chat.format_chats(df.where("false")).count() == 0
 
