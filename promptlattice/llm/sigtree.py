@@ -33,8 +33,8 @@ from .common import U64, chunks, components, join_labels, materialise, mix64, re
 N, THRESHOLD, BLOCK = 3, 0.6, 1000
 #: Bytes of text whose n-grams a range of hashes has, and ranges at most: beyond these the ranges grow.
 RANGE_BYTES, MOST_RANGES = 12 << 20, 60_000
-#: N-grams that a task takes on at a time.
-GROUP = 400_000
+#: N-grams of a batch that is sent, and those that are sorted at a time.
+GROUP, SORTED = 400_000, 4_000_000
 #: A table of at most so many bytes by count and row width may be broadcast; a larger one is joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -133,14 +133,16 @@ def _shared(parts: int):
                 by[r["range"]].append(r)
         for at, rows in by.items():
             token, doc = _joined(rows, "tokens", np.uint32), _joined(rows, "docs", np.uint16)
-            entry = np.sort(token.astype(U64) << U64(32) | np.arange(len(token), dtype=U64))
-            place, entry = (entry & U64(0xFFFFFFFF)).astype(np.int64), (entry >> U64(32)).astype(np.uint32)
-            first = np.flatnonzero(np.diff(entry, prepend=entry[:1] ^ np.uint32(1)))
-            count = np.diff(np.append(first, len(entry)))
-            # a byte that keeps the order: counts as they are, from 128 on by steps of their logarithm
-            byte = np.where(count < 128, count, np.minimum(255, 128 + 8 * np.log2(np.maximum(count, 128) / 128))).astype(np.uint8)
-            times = np.empty(len(token), dtype=np.uint8)
-            times[place] = np.repeat(byte, count)
+            times, turns = np.empty(len(token), dtype=np.uint8), 1 + len(token) // SORTED
+            for turn in range(turns):
+                own = np.flatnonzero(token % np.uint32(turns) == turn) if turns > 1 else np.arange(len(token))
+                entry = np.sort(token[own].astype(U64) << U64(32) | own.astype(U64))
+                place, entry = (entry & U64(0xFFFFFFFF)).astype(np.int64), (entry >> U64(32)).astype(np.uint32)
+                first = np.flatnonzero(np.diff(entry, prepend=entry[:1] ^ np.uint32(1)))
+                count = np.diff(np.append(first, len(entry)))
+                # a byte that keeps the order: counts as they are, from 128 on by steps of their logarithm
+                byte = np.where(count < 128, count, np.minimum(255, 128 + 8 * np.log2(np.maximum(count, 128) / 128))).astype(np.uint8)
+                times[place] = np.repeat(byte, count)
             edge = np.cumsum([0] + [len(r["docs"]) // 2 for r in rows])
             out = defaultdict(list)
             for r, a, b in zip(rows, edge, edge[1:]):

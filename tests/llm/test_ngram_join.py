@@ -93,6 +93,7 @@ ODD = [(1000, "Ein Satz."), (1001, "ein satz"), (1002, ""), (1003, None), (None,
 @pytest.mark.parametrize("threshold", [0.2, 0.4, 0.6, 0.9, 1.0])
 def test_join_is_exact(spark, monkeypatch, threshold):
     monkeypatch.setattr(sigtree, "RANGE_BYTES", 4000)  # several ranges
+    monkeypatch.setattr(sigtree, "SORTED", 500)
     rows = corpus() + ODD
     assert classes(sigtree.ngram_jaccard_join(frame(spark, rows), threshold=threshold, block=2)) == brute_classes(rows, threshold)
     if threshold != 0.4:
@@ -115,6 +116,7 @@ def test_cut_hashes_lose_no_pair(monkeypatch):
     assert sum(len(s) - len(np.unique(s & np.uint64(0xFFFFFFFF))) for s in sets) > 0
     monkeypatch.setattr(sigtree, "gram_sets", poor)
     monkeypatch.setattr(sigtree, "GROUP", 1000)
+    monkeypatch.setattr(sigtree, "SORTED", 700)
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(corpus()))), pa.array([t for _, t in corpus()])], names=["id", "text"])
     rows = list(sigtree._prefixes(0.5)(sigtree._shared(1)(sigtree._spread(3, 1)([batch]))))
     table = pa.Table.from_batches(rows).to_pylist()
