@@ -71,7 +71,7 @@ def token_limit_key(vendor: Column) -> Column:
 def reasoning_effort(model: Column) -> Column:
     """minimal for gpt-5 and its mini and nano forms, none for the other reasoning models, null for all others."""
     starts = lambda *names: F.lit(False) if not names else F.startswith(model, F.lit(names[0])) | starts(*names[1:])
-    return F.when(starts("gpt-5-mini", "gpt-5-nano") | (model == "gpt-5"), "minimal").when(starts("gpt-5", "o1", "o3", "o4"), "none")
+    return F.when(starts("gpt-5-nano", "gpt-5-mini") | (model == "gpt-5"), "minimal").when(starts("o4", "o3", "o1", "gpt-5"), "none")
 
 
 def gateway_model(model: Column, level: Column) -> Column:

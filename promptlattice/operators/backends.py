@@ -129,7 +129,7 @@ class HttpCompressor:
     timeout: float = 120.0
 
     def __call__(self, text: str, aggressiveness: float, model: str) -> tuple[str, int, int]:
-        got = _post(self.url, self.key, {"model": model, "input": text, "compression_settings": {"aggressiveness": aggressiveness}}, self.timeout)
+        got = _post(self.url, self.key, {"input": text, "compression_settings": {"aggressiveness": aggressiveness}, "model": model}, self.timeout)
         return got["output"], int(got["original_input_tokens"]), int(got["output_tokens"])
 
 
@@ -263,7 +263,7 @@ class HttpStream:
         except urllib.error.HTTPError as e:
             status, error = e.code, f"HTTP {e.code}: {e.read().decode('utf-8', 'replace')[:300]}"
         except Exception as e:
-            error = f"{type(e).__name__}: {e}"
+            error = f"{e.__class__.__name__}: {e}"
         return status, lines, now(), error
 
 

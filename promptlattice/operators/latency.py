@@ -115,5 +115,5 @@ def print_table(summaries: DataFrame) -> str:
     from ..functions.text import whole
 
     rows = summaries.collect()
-    head = f"{'model':<12} {'provider':<14} {'size':<7} {'ttft':>8} {'median':>8} {'total':>8} {'chars/s':>8} ok"
-    return "\n".join([head] + [f"{r['model']:<12} {r['provider']:<14} {r['input_size']:<7} {whole(r['ttft_ms_avg']):>8} {whole(r['ttft_ms_med']):>8} {whole(r['total_ms_avg']):>8} {whole(r['chars_per_sec_avg']):>8} {r['runs_ok']}/{r['runs_ok'] + r['runs_failed']}" for r in rows])
+    head = f"{'model':<12} {'provider':<15} {'size':<8} {'ttft':>8} {'median':>8} {'total':>8} {'chars/s':>8} ok"
+    return "\n".join([head] + [f"{r['model']:<12} {r['provider']:<15} {r['input_size']:<8} {whole(r['ttft_ms_avg']):>8} {whole(r['ttft_ms_med']):>8} {whole(r['total_ms_avg']):>8} {whole(r['chars_per_sec_avg']):>8} {r['runs_ok']}/{r['runs_ok'] + r['runs_failed']}" for r in rows])

@@ -383,7 +383,7 @@ def q36_nonce_request(spark, d):
     return table(spark, d, "events").select("event_id", prompts.summary_request(F.col("event_type"), nonce).alias("request"))
 
 
-@query("""SELECT event_id, '{"model":"' || m || '","messages":[{"role":"user","content":"' || event_type || '"}],"stream":true,' || CASE WHEN event_id % 3 = 0 THEN '"max_tokens":2000}' WHEN m = 'other' THEN '"max_tokens":2000}'
+@query("""SELECT event_id, '{"model":"' || m || '",' || '"messages":[{"role":' || '"user",' || '"content":"' || event_type || '"}],"stream":true,' || CASE WHEN event_id % 3 = 0 THEN '"max_tokens":2000}' WHEN m = 'other' THEN '"max_tokens":2000}'
 WHEN m = 'o3' THEN '"max_completion_tokens":2000,"reasoning_effort":"none"}' WHEN m = 'gpt-4' THEN '"max_completion_tokens":2000}' ELSE '"max_completion_tokens":2000,"reasoning_effort":"minimal"}' END AS body
 FROM (SELECT *, list_extract(['gpt-5', 'o3', 'gpt-4', 'other'], (event_id % 4)::INTEGER + 1) AS m FROM events)""")
 def q37_request_body(spark, d):

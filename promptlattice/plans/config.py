@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETS = ("financebench", "longbench_v2", "squad_v2", "coqa")
-LEVELS = (0.05, 0.1, 0.3, 0.4, 0.5, 0.7)
+LEVELS = tuple(per_cent / 100 for per_cent in (5, 10, 30, 40, 50, 70))
 GRID = "ordinal int, config string, compressed boolean, aggressiveness double, compressor string"
 
 SYSTEM = {
@@ -78,7 +78,7 @@ def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
 
 def config_grid(compressors, levels) -> dict[str, dict]:
     """control, then each compressor at each level, in order; names carry the level as Python prints it."""
-    grid: dict[str, dict] = {"control": {"compressed": False, "aggressiveness": None, "compressor": None}}
+    grid: dict[str, dict] = {"control": dict.fromkeys(("aggressiveness", "compressor")) | {"compressed": False}}
     for c in compressors:
         for level in levels:
             grid[f"{c}--{level}"] = {"compressed": True, "aggressiveness": level, "compressor": c}

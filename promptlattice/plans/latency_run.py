@@ -28,13 +28,16 @@ INPUT_PROMPTS = {
 }
 
 
+CHAT = "/v1/chat/completions"
+
+
 @dataclass(frozen=True)
 class Endpoints:
     """Where each kind of key is good for."""
 
-    openai: str = "https://api.openai.com/v1/chat/completions"
-    anthropic: str = "https://api.anthropic.com/v1/messages"
-    router: str = "https://openrouter.ai/api/v1/chat/completions"
+    openai: str = "https://api.openai.com" + CHAT
+    anthropic: str = "https://api.anthropic.com" + "/v1/messages"
+    router: str = "https://openrouter.ai/api" + CHAT
     gateway: str = field(default_factory=lambda: os.environ.get("GATEWAY_URL", ""))
 
 
@@ -78,7 +81,8 @@ def run(spark: SparkSession, texts: dict[str, str], call: backends.TimedCall, fo
 
 def streamed_text(call: backends.TimedCall, prompt: str, url: str = Endpoints.openai, model: str = "gpt-5-mini", most: int = 16000) -> str:
     """The text that a streamed answer to prompt adds up to, on the driver; RuntimeError if the call fails. As generate of datasets.inputs it makes the run's texts, which are cached there."""
-    body = {"model": model, "messages": [{"role": "user", "content": prompt}], "max_completion_tokens": most, "stream": True}
+    asked = [{"content": prompt, "role": "user"}]
+    body = {"stream": True, "model": model, "max_completion_tokens": most, "messages": asked}
     status, lines, _, error = call({"key": prompt, "key_kind": "openai", "url": url, "body": json.dumps(body)})
     if error or status != 200:
         raise RuntimeError(error or f"HTTP {status}")
