@@ -12,7 +12,7 @@ Documents become sets of hashed word n-grams (lower case, words as Python's \\w+
    below it, their size range and the most bit collisions of a document below it. The dual traversal descends from the pair
    (root, root) and drops a node pair as soon as its size ranges are too far apart or its greatest possible overlap,
    common bits plus collisions, is less than the threshold needs. What is left is verified exactly on the whole sets.
-   A component of more than block documents is cut into blocks by hash, and each pair of blocks is a task, so no pair is lost.
+   A component of more than block documents' worth is cut into blocks by size and hash, and each pair of blocks whose sizes may match is a task, so no pair is lost.
 5. A task returns a row for each document with a partner in it: how many it has, and one that stands for its part of the task. Groups of copies never leave a task as pairs.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pandas as pd
@@ -344,6 +345,29 @@ def _linker(n: int, threshold: float):
     return run
 
 
+def _tasks(members: DataFrame, threshold: float, most: int) -> DataFrame:
+    """members (id, component, size, h1, n) with their tasks: the whole component if it has at most so many n-grams; else it is cut into steps of size and these, by hash, into blocks, and each pair of blocks of
+    the same step or of neighbouring ones is a task, side telling the two apart. Sizes two steps apart differ by more than the threshold allows, so these pairs of blocks go by their size ranges."""
+    # a little wider than the threshold needs, so that rounding loses nothing
+    step = F.floor(F.log("size") / (1.0001 * max(0.01, log(1 / threshold)))).cast("long")
+    members = members.withColumn("step", step)
+    steps = members.groupBy("component", "step").agg(F.sum("size").alias("grams"))
+    whole = steps.groupBy("component").agg(F.sum("grams").alias("all"))
+    blocks = steps.join(whole, "component").select("component", "step", "all", F.ceil(F.col("grams") / most).alias("k"))
+    beside = lambda by, name: blocks.select("component", (F.col("step") + by).alias("step"), F.col("k").alias(name))
+    blocks = blocks.join(beside(-1, "up"), ["component", "step"], "left").join(beside(1, "down"), ["component", "step"], "left")
+    own = F.pmod(F.xxhash64("id"), "k")
+    one = lambda a, b, side: F.struct(F.concat_ws("/", *(x.cast("string") for x in (*a, *b))).alias("task"), F.lit(side).alias("side"))
+    each = lambda k, f: F.when(k > 0, F.transform(F.sequence(F.lit(0).cast("long"), k - 1), f)).otherwise(F.array().cast("array<struct<task:string,side:int>>"))
+    here = (F.col("step"), F.col("own"))
+    same = each(F.col("k"), lambda o: F.when(o == F.col("own"), one(here, here, 0)).when(o > F.col("own"), one(here, (F.col("step"), o), 1)).otherwise(one((F.col("step"), o), here, 2)))
+    above = each(F.coalesce("up", F.lit(0).cast("long")), lambda o: one(here, (F.col("step") + 1, o), 1))
+    below = each(F.coalesce("down", F.lit(0).cast("long")), lambda o: one((F.col("step") - 1, o), here, 2))
+    all_ = F.when(F.col("all") <= most, F.array(F.struct(F.lit("all").alias("task"), F.lit(0).alias("side")))).otherwise(F.concat(same, above, below))
+    placed = members.join(blocks, ["component", "step"]).withColumn("own", own)
+    return placed.select("id", "component", "size", "h1", "n", F.explode(all_).alias("t")).select("id", "component", "t.task", "t.side", "size", "h1", "n")
+
+
 def _routed(docs: DataFrame, n: int, threshold: float, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, object]:
     """(documents, representatives, tasks): documents (id, size, h1, h2) and representatives (h1, h2, size, rep, n) of those with a word, and the representatives that may have partners, with their texts, grouped by bucket of tasks."""
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null and text is not null")
@@ -356,16 +380,7 @@ def _routed(docs: DataFrame, n: int, threshold: float, block: int, id_col: str,
     met = route.where("token is not null").select("token", "h1")
     edges = met.join(met.groupBy("token").agg(F.min("h1").alias("m")), "token").where("h1 <> m").select("h1", "m")
     members = components(edges, "h1", "m").select(F.col("id").alias("h1"), "component").join(reps, "h1").select(F.col("rep").alias("id"), "component", "size", "h1", "n")
-    total = members.groupBy("component").agg(F.sum("size").alias("grams"))
-    mine, other = F.pmod(F.xxhash64("id"), "k"), F.col("other")
-    tasks = (
-        members.join(total, "component")
-        .withColumn("k", F.ceil(F.col("grams") / F.lit(block * 500)))
-        .withColumn("own", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        .select("id", "component", (F.least("own", other) * F.col("k") + F.greatest("own", other)).alias("task"), F.when(F.col("own") == other, 0).when(F.col("own") < other, 1).otherwise(2).alias("side"), "size", "h1", "n")
-    )
-    tasks = materialise(tasks, "tasks")
+    tasks = materialise(_tasks(members, threshold, block * 500), "tasks")
     count, grams = tasks.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     buckets = max(1, grams // (block * 500))
     tasks = tasks.withColumn("bucket", F.pmod(F.xxhash64("component", "task"), F.lit(buckets))).drop("size")

@@ -139,6 +139,26 @@ def test_blocks_lose_no_link(spark):
     assert set(got.values()) == {(0, 59)}
 
 
+def test_tasks_of_a_large_component_meet_by_size(spark):
+    sizes = [5, 6, 9, 10, 15, 16, 17, 25, 26, 40, 41, 70, 100, 101, 170, 300] * 3
+    members = spark.createDataFrame([(i, 7, n, i, 1) for i, n in enumerate(sizes)] + [(1000, 8, 30, 1000, 1), (1001, 8, 30, 1001, 1)], "id long, component long, size long, h1 long, n long")
+    for threshold in (0.3, 0.6, 1.0):
+        rows = sigtree._tasks(members, threshold, 60).collect()
+        by = {}
+        for r in rows:
+            by.setdefault((r["component"], r["task"]), []).append(r)
+        assert len(by[8, "all"]) == 2
+        met = {}
+        for (c, _), rs in by.items():
+            for x in rs:
+                for y in rs:
+                    if x["id"] < y["id"] and (x["side"] != y["side"] or x["side"] == 0):
+                        met[x["id"], y["id"]] = met.get((x["id"], y["id"]), 0) + 1
+        assert set(met.values()) == {1}
+        want = {(a, b) for a in range(48) for b in range(a + 1, 48) if min(sizes[a], sizes[b]) >= threshold * max(sizes[a], sizes[b])}
+        assert want <= set(met) and len(met) < 48 * 47 // 2
+
+
 def test_long_text_hot_group_empty_and_clashing_names(spark):
     long = " ".join(f"w{k % 997} v{k}" for k in range(60_000))
     rows = [(1, long), (2, long + " end"), (3, "end")] + [(i, "one two three four") for i in range(10, 400)]
