@@ -269,18 +269,20 @@ def _grower(threshold: float):
 
 
 def _task_trees(frame: pd.DataFrame) -> tuple[list[np.ndarray], list[np.ndarray], list[CoverTree]]:
-    """(ids, counts, trees) of a task's sides; one if it is a block with itself."""
+    """(ids, counts, trees) of a task's sides, 1 and 2; of the one side 0 if it is a block with itself. None if a side has no vectors."""
     ids, counts, trees = [], [], []
     for _, side in sorted(frame.groupby("side"), key=lambda x: x[0]):
         side = side.sort_values("pos")
         ids.append(side["id"].to_numpy()), counts.append(side["n"].to_numpy())
         trees.append(CoverTree(_matrix(side["v"]), side["level"].to_numpy(), _matrix(side["cover"]).T))
-    return ids, counts, trees
+    return (ids, counts, trees) if len(trees) == 2 or not frame["side"].any() else ([], [], [])
 
 
 def _pairer(threshold: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         ids, _, trees = _task_trees(frame)
+        if not trees:
+            return pd.DataFrame({"a": [], "b": [], "cosine": []})
         found = [(ids[0][i], ids[-1][j], c) for i, j, c in joined(trees[0], trees[-1], threshold)]
         if not found:
             return pd.DataFrame({"a": [], "b": [], "cosine": []})
@@ -295,6 +297,8 @@ def _linker(threshold: float):
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         ids, counts, trees = _task_trees(frame)
+        if not trees:
+            return pd.DataFrame({"id": [], "links": [], "root": []}, dtype=np.int64)
         every, times, shift = np.concatenate(ids), np.concatenate(counts), len(ids[0]) if len(ids) > 1 else 0
         label, links = np.arange(len(every)), np.zeros(len(every))
         for i, j, _ in joined(trees[0], trees[-1], threshold):
@@ -367,7 +371,7 @@ def _routed(one: DataFrame, threshold: float, block: int | None) -> DataFrame |
     shared = spark.sparkContext.broadcast((pivots, *(np.array(x) for x in zip(*covers))))
     links = materialise(spark.range(0, count, 1, min(count, 2000)).mapInPandas(_neighbouring(shared, reach_of(threshold)), "a long, b long"), "block-pairs")
     task = F.col("a") * F.lit(count) + F.col("b")
-    sides = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b").alias("block"), F.lit(1).alias("side"))))
+    sides = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("a").alias("block"), F.lit(1).alias("side")), F.struct(F.col("b").alias("block"), F.lit(2).alias("side"))))
     tasks = links.select(task.alias("task"), F.explode(sides).alias("s")).select("task", "s.block", "s.side")
     return trees.join(tasks, "block").drop("block").repartition(min(max(1, links.count()), 20_000), "task").groupBy("task")
 

@@ -91,7 +91,7 @@ def odd_rows(x):
     return [(1000, x[0]), (1001, x[0] * 3), (1002, None), (1003, []), (1004, [0.0] * 16), (1005, [1.0]), (1006, [float("nan")] * 16), (1007, [None] * 16), (None, x[0]), (1008, [2.0])]
 
 
-@pytest.mark.parametrize("threshold,block", [(0.9, 64), (0.9, None), (0.6, 40)])
+@pytest.mark.parametrize("threshold,block", [(0.9, 64), (0.9, None), (0.6, 40), (0.6, 15)])
 def test_near_duplicates(spark, threshold, block):
     x = clustered(300)
     rows = list(enumerate(x)) + odd_rows(x)
@@ -112,6 +112,8 @@ def test_near_duplicates_edges(spark):
     one = frame(spark, [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0])])
     assert classes(covertree.near_duplicates(one)) == {1: (1, 1), 2: (1, 1)}
     assert classes(covertree.near_duplicates(frame(spark, [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0])]))) == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
+    few = frame(spark, [(i, [1.0, float(i % 7) / 100]) for i in range(7)])  # one cell, cut by hash into blocks that may be empty
+    assert set(classes(covertree.near_duplicates(few, block=1)).values()) == {(0, 6)}
     same = frame(spark, [(i, [1.0, 2.0]) for i in range(50)] + [(i, [2.0, 4.0]) for i in range(50, 70)])
     assert set(classes(covertree.near_duplicates(same)).values()) == {(0, 69)}
     names = frame(spark, [(1, [1.0, 0.0]), (2, [1.0, 0.0])]).selectExpr("vec_id", "embedding", "label as id", "1 as v", "2 as rep", "3 as n", "4 as links", "5 as `a.b`", "6 as component")
