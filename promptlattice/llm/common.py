@@ -177,18 +177,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     joined back, so that a node of very many edges is no task of its own. Each round ends in a written table. Self-loops and nulls are dropped, repeated edges count once; no edges give an empty result."""
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     e = materialise(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
-    while True:
+    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    seen, now = None, state(e)
+    while now[0] and now != seen:  # stars around their least nodes stay as they are
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         pairs = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         e = materialise(small.select(F.explode(pairs).alias("p")).select("p.u", "p.v").where("u <> v").distinct(), "edges")
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen:
-            break
-        seen = tuple(state)
+        seen, now = now, state(e)
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
