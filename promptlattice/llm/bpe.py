@@ -32,7 +32,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How texts are split into words before merging: contractions, letters, numbers, other signs, each with the space before it, and white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries at which a worker's tables (words, arcs, byte states) start anew. They bound memory and change no result. Slots of the byte states' table, a power of two.
-CACHE, ARCS, STATES, SLOTS = 100_000, 200_000, 200_000, 1 << 20
+CACHE, ARCS, STATES, SLOTS = 70_000, 200_000, 200_000, 1 << 20
 #: Words of more bytes go through the table one by one.
 LONG = 48
 

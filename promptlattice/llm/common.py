@@ -215,12 +215,13 @@ def held(key, build):
 
 
 def release() -> None:
-    """Frees what the worker holds. Workers serve all operators of a session in turn, so one that needs room of its own calls this first."""
+    """Frees what the worker holds, and gives back what its allocators keep of earlier tasks. Workers serve all operators of a session in turn, so a task calls this first."""
     if _HELD:
         _HELD.clear()
         gc.enable()
         gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):
-            pass
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
