@@ -12,7 +12,8 @@ Documents become sets of hashed word n-grams (lower case, words as Python's \\w+
    below it, their size range and the most bit collisions of a document below it. The dual traversal descends from the pair
    (root, root) and drops a node pair as soon as its size ranges are too far apart or its greatest possible overlap,
    common bits plus collisions, is less than the threshold needs. What is left is verified exactly on the whole sets.
-   A component of more than block documents' worth is cut into blocks by size and hash, and each pair of blocks whose sizes may match is a task, so no pair is lost.
+   A component of more than block documents' worth is cut into blocks by size and common n-grams. A block meets those documents of other blocks whose sizes may match and that have one of the n-grams of step 3 in
+   common with it, so no pair is lost, and a document goes to few blocks, however many there are.
 5. A task returns a row for each document with a partner in it: how many it has, and one that stands for its part of the task. Groups of copies never leave a task as pairs.
 """
 
@@ -262,13 +263,16 @@ def dual_traversal(levels: list[Node], threshold: float) -> Iterator[tuple[np.nd
             stack.append((level - 1, x[i : i + SLICE], y[i : i + SLICE]))
 
 
-def tree_join(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All pairs (i, j, jaccard) of the sets (none of them empty) of at least threshold, each once."""
+def tree_join(sets: list[np.ndarray], threshold: float, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs (i, j, jaccard) of the sets (none of them empty) of at least threshold, each once; of sets on the same side, unless it is 0, none."""
     none = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))
     if len(sets) < 2:
         return none
     order, levels = build_tree(sets)
     found = list(dual_traversal(levels, threshold))
+    if side is not None and side.any():
+        side = side[order]
+        found = [(a[meet], b[meet]) for a, b in found for meet in [(side[a] != side[b]) | (side[a] == 0)] if meet.any()]
     if not found:
         return none
     a, b = (np.concatenate(x) for x in zip(*found))
@@ -296,7 +300,7 @@ def tree_join(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.
 
 
 def _tasks_of(frame: pd.DataFrame, n: int, threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
-    """(rows, i, j, jaccard) of each task of a bucket, a component or a pair of blocks of one: rows of the frame, and pairs of places in rows."""
+    """(rows, i, j, jaccard) of each task of a bucket, a component or a block of one with its guests: rows of the frame, and pairs of places in rows."""
     texts, every = frame["text"].tolist(), []
     for part in chunks(texts):
         every += gram_sets(texts[part], n)
@@ -306,12 +310,7 @@ def _tasks_of(frame: pd.DataFrame, n: int, threshold: float) -> Iterator[tuple[n
     for rows in frame.groupby(["component", "task"], sort=False).indices.values():
         rows = rows[chosen[rows]]
         rows = rows[np.unique(ids[rows], return_index=True)[1]]
-        i, j, jac = tree_join([every[r] for r in rows], threshold)
-        side = sides[rows]
-        if side.any():  # two blocks: pairs within a block are found where the block meets itself
-            cross = side[i] != side[j]
-            i, j, jac = i[cross], j[cross], jac[cross]
-        yield rows, i, j, jac
+        yield rows, *tree_join([every[r] for r in rows], threshold, sides[rows])
 
 
 def _pairer(n: int, threshold: float):
@@ -345,27 +344,39 @@ def _linker(n: int, threshold: float):
     return run
 
 
-def _tasks(members: DataFrame, threshold: float, most: int) -> DataFrame:
-    """members (id, component, size, h1, n) with their tasks: the whole component if it has at most so many n-grams; else it is cut into steps of size and these, by hash, into blocks, and each pair of blocks of
-    the same step or of neighbouring ones is a task, side telling the two apart. Sizes two steps apart differ by more than the threshold allows, so these pairs of blocks go by their size ranges."""
+def _tasks(members: DataFrame, threshold: float, most: int, met: DataFrame | None = None) -> DataFrame:
+    """members (id, component, size, h1, n) with their tasks: the whole component if it has at most so many n-grams; else it is cut into blocks of at most about so many, each of one step of size. Documents whose most
+    common n-gram of met (h1, token) is the same are together, or cut by hash if they are more than a block; others fill blocks by hash. A block's task also has its guests: the documents of later blocks, of
+    its step or a neighbouring one, that meet one of its own, as only these may match it. Guests of more than a block's n-grams come in several tasks. side: 0 meets all, 1 only guests, 2 is a guest.
+    Sizes two steps apart differ by more than the threshold allows. Without met all documents of a component meet."""
     # a little wider than the threshold needs, so that rounding loses nothing
     step = F.floor(F.log("size") / (1.0001 * max(0.01, log(1 / threshold)))).cast("long")
-    members = members.withColumn("step", step)
-    steps = members.groupBy("component", "step").agg(F.sum("size").alias("grams"))
-    whole = steps.groupBy("component").agg(F.sum("grams").alias("all"))
-    blocks = steps.join(whole, "component").select("component", "step", "all", F.ceil(F.col("grams") / most).alias("k"))
-    beside = lambda by, name: blocks.select("component", (F.col("step") + by).alias("step"), F.col("k").alias(name))
-    blocks = blocks.join(beside(-1, "up"), ["component", "step"], "left").join(beside(1, "down"), ["component", "step"], "left")
-    own = F.pmod(F.xxhash64("id"), "k")
-    one = lambda a, b, side: F.struct(F.concat_ws("/", *(x.cast("string") for x in (*a, *b))).alias("task"), F.lit(side).alias("side"))
-    each = lambda k, f: F.when(k > 0, F.transform(F.sequence(F.lit(0).cast("long"), k - 1), f)).otherwise(F.array().cast("array<struct<task:string,side:int>>"))
-    here = (F.col("step"), F.col("own"))
-    same = each(F.col("k"), lambda o: F.when(o == F.col("own"), one(here, here, 0)).when(o > F.col("own"), one(here, (F.col("step"), o), 1)).otherwise(one((F.col("step"), o), here, 2)))
-    above = each(F.coalesce("up", F.lit(0).cast("long")), lambda o: one(here, (F.col("step") + 1, o), 1))
-    below = each(F.coalesce("down", F.lit(0).cast("long")), lambda o: one((F.col("step") - 1, o), here, 2))
-    all_ = F.when(F.col("all") <= most, F.array(F.struct(F.lit("all").alias("task"), F.lit(0).alias("side")))).otherwise(F.concat(same, above, below))
-    placed = members.join(blocks, ["component", "step"]).withColumn("own", own)
-    return placed.select("id", "component", "size", "h1", "n", F.explode(all_).alias("t")).select("id", "component", "t.task", "t.side", "size", "h1", "n")
+    sized = members.join(members.groupBy("component").agg(F.sum("size").alias("all")), "component")
+    columns = ("id", "component", "task", "side", "size", "h1", "n")
+    whole = sized.where(F.col("all") <= most).withColumns({"task": F.lit("all"), "side": F.lit(0)}).select(*columns)
+    large = materialise(sized.where(F.col("all") > most).drop("all").withColumn("step", step), "large")
+    if not large.limit(1).count():
+        return whole
+    met = large.select("h1", F.col("component").alias("token")) if met is None else met
+    met = materialise(met.join(large.select("h1").distinct(), "h1").select("h1", "token").distinct(), "meetings")
+    label = met.join(met.groupBy("token").agg(F.count("*").alias("times")), "token").groupBy("h1").agg(F.max(F.struct("times", "token"))["token"].alias("label"))
+    labelled = large.join(label, "h1", "left").withColumn("label", F.coalesce("label", "h1"))
+    group = labelled.groupBy("component", "step", "label").agg(F.sum("size").alias("grams"))
+    bins = labelled.groupBy("component", "step").agg(F.ceil(F.sum("size") / most).alias("bins"))
+    cut = group.join(bins, ["component", "step"]).select("component", "step", "label", F.ceil(F.col("grams") / most).alias("k"), "bins")
+    own = F.when(F.col("k") > 1, F.xxhash64("component", "step", "label", F.pmod(F.xxhash64("id"), "k"))).otherwise(F.xxhash64("component", "step", F.pmod(F.xxhash64("label"), "bins")))
+    placed = materialise(labelled.join(cut, ["component", "step", "label"]).select("id", "component", "size", "h1", "n", "step", own.alias("block")), "blocks")
+    here = met.join(placed.select("h1", "step", "block"), "h1")
+    there = here.select("token", F.col("step").alias("to_step"), F.col("block").alias("to")).distinct()
+    several = there.groupBy("token").agg(F.min("to").alias("least"), F.max("to").alias("last")).where("least < last").select("token")
+    seen = here.join(several, "token").join(there, "token").where((F.col("block") > F.col("to")) & (F.abs(F.col("step") - F.col("to_step")) <= 1)).select("h1", "to").distinct()
+    guests = materialise(seen.join(placed, "h1").where(F.col("block") > F.col("to")).select("id", "component", "size", "h1", "n", F.col("to").alias("block")), "guests")
+    turns = guests.groupBy("block").agg(F.ceil(F.sum("size") / most).alias("turns"))
+    task = F.concat_ws("/", F.col("block").cast("string"), F.col("turn").cast("string")).alias("task")
+    hosts = placed.join(turns, "block", "left").withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("turns", F.lit(1).cast("long")) - 1)))
+    hosts = hosts.select("id", "component", task, F.when(F.col("turn") == 0, 0).otherwise(1).alias("side"), "size", "h1", "n")
+    guests = guests.join(turns, "block").withColumn("turn", F.pmod(F.xxhash64("id", F.lit(1)), "turns")).select("id", "component", task, F.lit(2).alias("side"), "size", "h1", "n")
+    return whole.unionByName(hosts).unionByName(guests)
 
 
 def _routed(docs: DataFrame, n: int, threshold: float, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, object]:
@@ -380,7 +391,7 @@ def _routed(docs: DataFrame, n: int, threshold: float, block: int, id_col: str,
     met = route.where("token is not null").select("token", "h1")
     edges = met.join(met.groupBy("token").agg(F.min("h1").alias("m")), "token").where("h1 <> m").select("h1", "m")
     members = components(edges, "h1", "m").select(F.col("id").alias("h1"), "component").join(reps, "h1").select(F.col("rep").alias("id"), "component", "size", "h1", "n")
-    tasks = materialise(_tasks(members, threshold, block * 500), "tasks")
+    tasks = materialise(_tasks(members, threshold, block * 500, met), "tasks")
     count, grams = tasks.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     buckets = max(1, grams // (block * 500))
     tasks = tasks.withColumn("bucket", F.pmod(F.xxhash64("component", "task"), F.lit(buckets))).drop("size")

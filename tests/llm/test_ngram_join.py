@@ -159,6 +159,26 @@ def test_tasks_of_a_large_component_meet_by_size(spark):
         assert want <= set(met) and len(met) < 48 * 47 // 2
 
 
+def test_a_document_goes_to_few_blocks_however_many_there_are(spark):
+    rows = {}
+    for groups in (20, 80):  # groups of ten, of sizes that may match, each joined to the next by one n-gram
+        members = spark.createDataFrame([(i, 7, 20 + i % 3, 5000 + i, 1) for i in range(10 * groups)], "id long, component long, size long, h1 long, n long")
+        tokens = [(5000 + i, i // 10) for i in range(10 * groups)] + [(5000 + 10 * g + k, 1000 + g) for g in range(groups - 1) for k in (9, 10)]
+        out = sigtree._tasks(members, 0.4, 250, spark.createDataFrame(tokens, "h1 long, token long")).collect()
+        met, by = {}, {}
+        for r in out:
+            by.setdefault(r["task"], []).append(r)
+        for rs in by.values():
+            for x in rs:
+                for y in rs:
+                    if x["id"] < y["id"] and (x["side"] != y["side"] or x["side"] == 0):
+                        met[x["id"], y["id"]] = met.get((x["id"], y["id"]), 0) + 1
+        assert set(met.values()) == {1}
+        assert met.keys() >= {(a, b) for a in range(10 * groups) for b in range(a + 1, min(10 * groups, a - a % 10 + 10))} | {(10 * g + 9, 10 * g + 10) for g in range(groups - 1)}
+        rows[groups] = len(out)
+    assert rows[80] < 5 * rows[20] and rows[80] < 2 * 800
+
+
 def test_long_text_hot_group_empty_and_clashing_names(spark):
     long = " ".join(f"w{k % 997} v{k}" for k in range(60_000))
     rows = [(1, long), (2, long + " end"), (3, "end")] + [(i, "one two three four") for i in range(10, 400)]
