@@ -263,15 +263,62 @@ def dual_traversal(levels: list[Node], threshold: float) -> Iterator[tuple[np.nd
             stack.append((level - 1, x[i : i + SLICE], y[i : i + SLICE]))
 
 
+#: Sets from which a join looks whether postings would be less work than the tree.
+MANY = 500
+#: What a test of two leaves costs, in entries of postings that are read.
+LEAF_COST = 10
+
+
+def _postings(sets: list[np.ndarray], levels: list[Node], side: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]] | None:
+    """As dual_traversal of sets in the tree's order, by postings of prefixes: of two sets at the threshold, each has a common n-gram among its first size - need + 1, rarest first. None where this would be more
+    work: where most sets have common n-grams, as near copies have."""
+    n, sizes = len(sets), levels[0].lo
+    doc = np.repeat(np.arange(n), sizes)
+    _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((token, times[token], doc))
+    token = token[order]
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    head = (place <= (sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64))[doc]) & (times[token] > 1)
+    doc, token = doc[head], token[head]
+    count = np.bincount(token, minlength=len(times))
+    by = np.argsort(token, kind="stable")
+    start, post = np.cumsum(count) - count, doc[by]
+    work = np.concatenate([[0], np.cumsum(np.bincount(doc, count[token], minlength=n))]).astype(np.int64)
+    if work[-1] > LEAF_COST * (n * (n - 1) // 2):
+        return None
+    at = np.searchsorted(doc, np.arange(n + 1))
+
+    def run() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        x = 0
+        while x < n:
+            # sets of about a million entries of postings and marks at a time
+            y = max(x + 1, min(x + 1 + 1_000_000 // n, int(np.searchsorted(work, work[x] + 1_000_000, side="right")) - 1))
+            own, t = doc[at[x] : at[y]], token[at[x] : at[y]]
+            c = count[t]
+            where = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c - start[t], c)
+            met = np.zeros((y - x, n), dtype=bool)
+            met[np.repeat(own - x, c), post[where]] = True
+            a, b = np.nonzero(met)
+            a += x
+            some = a < b if side is None else (a < b) & ((side[a] != side[b]) | (side[a] == 0))
+            a, b = a[some], b[some]
+            keep = _may_match(levels[0], levels[0], a, b, threshold)
+            yield a[keep], b[keep]
+            x = y
+
+    return run()
+
+
 def tree_join(sets: list[np.ndarray], threshold: float, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All pairs (i, j, jaccard) of the sets (none of them empty) of at least threshold, each once; of sets on the same side, unless it is 0, none."""
     none = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))
     if len(sets) < 2:
         return none
     order, levels = build_tree(sets)
-    found = list(dual_traversal(levels, threshold))
-    if side is not None and side.any():
-        side = side[order]
+    side = side[order] if side is not None and side.any() else None
+    found = _postings([sets[i] for i in order], levels, side, threshold) if len(sets) > MANY else None
+    found = list(dual_traversal(levels, threshold) if found is None else found)
+    if side is not None:
         found = [(a[meet], b[meet]) for a, b in found for meet in [(side[a] != side[b]) | (side[a] == 0)] if meet.any()]
     if not found:
         return none

@@ -63,6 +63,30 @@ def test_tree_join_is_exact():
         assert got == want and len(i) == len(got)
 
 
+def test_postings_test_few_pairs_and_lose_none(monkeypatch):
+    rng, tested, within = np.random.RandomState(5), [], sigtree._may_match
+    monkeypatch.setattr(sigtree, "_may_match", lambda x, y, a, b, t: tested.append(len(a)) or within(x, y, a, b, t))
+    lines = rng.randint(0, 2**62, (3000, 8)).astype(np.uint64)
+    # three of many lines, as short documents have them, and side by side some that share two
+    sets = [np.unique(lines[np.append(rng.randint(0, 3000, 2), i % 700)]) for i in range(1400)] + [np.unique(lines[[k, k + 1, k + j]].ravel()[j - 2 :]) for k in range(20) for j in (2, 2, 3, 4)]
+    sets += [np.unique(lines[k : k + 3].ravel()[c:]) for k in range(20) for c in (1, 3)]
+    side = rng.randint(0, 3, len(sets))
+    pairs = lambda x: sorted(zip(np.minimum(x[0], x[1]).tolist(), np.maximum(x[0], x[1]).tolist()))
+    for sides in (None, side):
+        for threshold in (0.2, 0.4, 0.6, 1.0):
+            tested.clear()
+            got, most = pairs(sigtree.tree_join(sets, threshold, sides)), sum(tested)
+            with monkeypatch.context() as m:
+                m.setattr(sigtree, "MANY", 10**9)
+                want = pairs(sigtree.tree_join(sets, threshold))
+            assert got == [(a, b) for a, b in want if sides is None or side[a] != side[b] or not side[a]] and most < 0.05 * len(sets) ** 2
+            assert len(want) >= 20
+    alike = [np.unique(np.append(lines[:20], rng.randint(0, 2**62, 9).astype(np.uint64))) for _ in range(600)]
+    order, levels = sigtree.build_tree(alike)
+    assert sigtree._postings([alike[i] for i in order], levels, None, 0.4) is None
+    assert len(sigtree.tree_join(alike, 0.4)[0]) == 600 * 599 // 2
+
+
 def brute_classes(rows, threshold=sigtree.THRESHOLD):
     ids = sorted({i for i, _ in rows if i is not None})
     up, links = {i: i for i in ids}, {i: 0 for i in ids}
