@@ -402,10 +402,12 @@ def _tasks(members: DataFrame, threshold: float, most: int, met: DataFrame | Non
     columns = ("id", "component", "task", "side", "size", "h1", "n")
     whole = sized.where(F.col("all") <= most).withColumns({"task": F.lit("all"), "side": F.lit(0)}).select(*columns)
     large = materialise(sized.where(F.col("all") > most).drop("all").withColumn("step", step), "large")
-    if not large.limit(1).count():
+    count = large.count()
+    if not count:
         return whole
+    few = F.broadcast if count * 80 <= BROADCAST_BYTES else lambda d: d
     met = large.select("h1", F.col("component").alias("token")) if met is None else met
-    met = materialise(met.join(large.select("h1").distinct(), "h1").select("h1", "token").distinct(), "meetings")
+    met = materialise(met.join(few(large.select("h1").distinct()), "h1").select("h1", "token").distinct(), "meetings")
     label = met.join(met.groupBy("token").agg(F.count("*").alias("times")), "token").groupBy("h1").agg(F.max(F.struct("times", "token"))["token"].alias("label"))
     labelled = large.join(label, "h1", "left").withColumn("label", F.coalesce("label", "h1"))
     group = labelled.groupBy("component", "step", "label").agg(F.sum("size").alias("grams"))
@@ -413,11 +415,11 @@ def _tasks(members: DataFrame, threshold: float, most: int, met: DataFrame | Non
     cut = group.join(bins, ["component", "step"]).select("component", "step", "label", F.ceil(F.col("grams") / most).alias("k"), "bins")
     own = F.when(F.col("k") > 1, F.xxhash64("component", "step", "label", F.pmod(F.xxhash64("id"), "k"))).otherwise(F.xxhash64("component", "step", F.pmod(F.xxhash64("label"), "bins")))
     placed = materialise(labelled.join(cut, ["component", "step", "label"]).select("id", "component", "size", "h1", "n", "step", own.alias("block")), "blocks")
-    here = met.join(placed.select("h1", "step", "block"), "h1")
+    here = met.join(few(placed.select("h1", "step", "block")), "h1")
     there = here.select("token", F.col("step").alias("to_step"), F.col("block").alias("to")).distinct()
     several = there.groupBy("token").agg(F.min("to").alias("least"), F.max("to").alias("last")).where("least < last").select("token")
     seen = here.join(several, "token").join(there, "token").where((F.col("block") > F.col("to")) & (F.abs(F.col("step") - F.col("to_step")) <= 1)).select("h1", "to").distinct()
-    guests = materialise(seen.join(placed, "h1").where(F.col("block") > F.col("to")).select("id", "component", "size", "h1", "n", F.col("to").alias("block")), "guests")
+    guests = materialise(seen.join(few(placed), "h1").where(F.col("block") > F.col("to")).select("id", "component", "size", "h1", "n", F.col("to").alias("block")), "guests")
     turns = guests.groupBy("block").agg(F.ceil(F.sum("size") / most).alias("turns"))
     task = F.concat_ws("/", F.col("block").cast("string"), F.col("turn").cast("string")).alias("task")
     hosts = placed.join(turns, "block", "left").withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("turns", F.lit(1).cast("long")) - 1)))
